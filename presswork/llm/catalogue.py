@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-NAMES = ["history", "site_lines", "tokens", "packing", "lookalikes", "residue", "languages", "main_content"]
+NAMES = ["history", "site_lines", "tokens", "packing", "lookalikes", "residue", "languages", "main_content", "near_duplicates"]
 
 
 def _modules():
