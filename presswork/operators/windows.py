@@ -36,7 +36,7 @@ def fixed_windows(df: DataFrame, start: str, end: str, days: int) -> DataFrame:
 def coarse_windows(df: DataFrame, start: str, end: str, years: int = COARSE_YEARS) -> DataFrame:
     """Windows of n years; the one that would reach the year of the end takes all that is left."""
     n = max(1, years)
-    edges = F.transform(F.sequence(F.lit(0), (F.year(end) - F.year(start)) / n + 1), lambda i: F.add_months(F.col(start), (i * 12 * n).cast("int")))
+    edges = F.transform(F.sequence(F.lit(0), F.floor((F.year(end) - F.year(start)) / n).cast("int") + 1), lambda i: F.add_months(F.col(start), i * (12 * n)))
     starts = F.filter(edges, lambda x: (x == F.col(start)) | ((F.year(x) < F.year(F.col(end))) & (x <= F.col(end))))
     out = df.withColumn("__s", starts).select("*", F.posexplode("__s").alias("__i", "window_start"))
     nxt = F.try_element_at("__s", F.col("__i") + 2)

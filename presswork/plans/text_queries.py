@@ -87,7 +87,7 @@ def normalise_key(spark, d):
 
 def rfc822_parse(spark, d):
     r = read_table(spark, d, "rss_items")
-    return r.select("item_id", F.unix_seconds(text.rfc822_utc(F.col("rss_pubdate"))).alias("at_s"))
+    return r.select("item_id", F.coalesce(F.unix_seconds(text.rfc822_utc(F.col("rss_pubdate"))), F.lit(-1)).alias("at_s"))
 
 
 def coalesce_names(spark, d):
@@ -216,7 +216,7 @@ SELECT search_string, array_to_string(list_transform({_FIRSTS.format(l='l')}, la
     + " FROM search_strings",
     "normalise_key": f"""SELECT item_id, lower({_nws("translate(rss_title, '‘’‛′“”«»', '''''''''\"\"\"\"')")}) AS key FROM rss_items""",
     "rfc822_parse": r"""WITH t AS (SELECT item_id, regexp_replace(trim(coalesce(rss_pubdate, '')), '^[A-Za-z]{3},\s*', '') AS t FROM rss_items)
-SELECT item_id, coalesce(epoch(try_strptime(t, '%-d %b %Y %H:%M:%S %z')), epoch(try_strptime(regexp_replace(t, ' (GMT|UTC)$', ' +0000'), '%-d %b %Y %H:%M:%S %z')))::BIGINT AS at_s FROM t""",
+SELECT item_id, coalesce(epoch(try_strptime(t, '%-d %b %Y %H:%M:%S %z')), epoch(try_strptime(regexp_replace(t, ' (GMT|UTC)$', ' +0000'), '%-d %b %Y %H:%M:%S %z')), -1)::BIGINT AS at_s FROM t""",
     "coalesce_names": "SELECT item_id, coalesce(nullif(trim(source_domain), ''), nullif(trim(source_url), ''), nullif(trim(source_hint), ''), '') AS source FROM rss_items",
     "extract_domain": f"""WITH n AS (SELECT item_id, {_nws('google_news_redirect_url')} AS g, {_nws('source_url')} AS s FROM rss_items)
 SELECT item_id, {_HOST.format(t='g')} AS host, {_HOST.format(t='s')} AS source_host FROM n""",
