@@ -181,13 +181,21 @@ def fit(samples: DataFrame, titles: DataFrame | None = None, articles: DataFrame
         if frame is None:
             continue
         labelled_rows = frame.select("text", label_language(F.col("label")).alias("label")).where(F.col("label").isin(LANGUAGES))
-        rows = labelled_rows.orderBy(F.xxhash64("text", "label"), "text").limit(bound).collect()
+        rows = _bounded_sample(labelled_rows, bound).collect()
         lines = [(line, r[1]) for r in rows for line in (r[0] or "").split("\n")]
         langs, sure, _, _ = model.batch([x[0] for x in lines])
         out += [x for x, lang, p in zip(lines, _names(langs), sure) if lang == x[1] and p >= 0.99]
     return out
 
 
+def _bounded_sample(rows: DataFrame, bound: int) -> DataFrame:
+    """At most `bound` distinct rows of a whole table, the same on every run: of each of `bound` hash buckets the row with
+    the least hash. Tasks fold their rows to one number per bucket; no task sends the driver anything by itself."""
+    hashed = rows.withColumn("__h", F.xxhash64(*rows.columns))
+    least = hashed.groupBy(F.pmod("__h", F.lit(bound)).alias("__b")).agg(F.min("__h").alias("__h")).select("__h")
+    return hashed.join(F.broadcast(least), "__h", "left_semi").distinct().orderBy("__h").drop("__h")
+
+
 def corpus_samples(spark: SparkSession, sf_dir: str) -> list[tuple[str, str]]:
     titles = read_table(spark, sf_dir, "rss_items").selectExpr("rss_title AS text", "rss_language AS label")
     articles = read_table(spark, sf_dir, "fulltext").selectExpr("full_text AS text", "article_language AS label")
