@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from presswork.llm.render import render
 from presswork.session import read_table
 
-#: A line is recurrent if it stands on at least this share of pages and on MIN_PAGES; so there are at most (mean lines of
+#: A line is recurrent if at least this share of pages, and MIN_PAGES, are different articles with it; so there are at most (mean lines of
 #: a page) / RECURRENT_SHARE recurrent lines, whatever the number of pages, and the table of them can be broadcast.
 RECURRENT_SHARE, MIN_PAGES = 0.001, 3
 #: Share of a recurrent short line's occurrences that must be followed by a paragraph or list for it to be a subhead.
@@ -82,13 +82,13 @@ class PageTree:
                 seen.add(key)
                 yield key, int(kind == PROSE), int(self.content_after(i))
 
-    def furniture(self, notices: set[str], subheads: set[str], recurrent: set[str]) -> list[int]:
+    def furniture(self, notices: set[int], subheads: set[int], recurrent: set[int]) -> list[int]:
         """Numbers (from 1) of the non-blank lines that are not the page's own article."""
         import regex
 
         n = len(self.lines)
         consent = regex.compile(CONSENT)
-        own = [k in (PROSE, LIST) and key not in notices and not (k == PROSE and consent.search(x)) for k, key, x in zip(self.kinds, self.keys, self.lines)]
+        own = [k in (PROSE, LIST) and _hash(key) not in notices and not (k == PROSE and consent.search(x)) for k, key, x in zip(self.kinds, self.keys, self.lines)]
         body = [i for i in range(n) if own[i]]
         head = self._headline(body)
         if head is None and (self.slug or not body):
@@ -106,9 +106,10 @@ class PageTree:
             if self.kinds[i] != OTHER or i in keep:
                 continue
             key = self.keys[i]
-            if key in subheads:
+            h = _hash(key)
+            if h in subheads:
                 keep.add(i)
-            elif key not in recurrent and len(key.split()) <= MAX_SUBHEAD and ":" not in key and self._between(i, own):
+            elif h not in recurrent and len(key.split()) <= MAX_SUBHEAD and ":" not in key and self._between(i, own):
                 keep.add(i)
         return [i + 1 for i in range(n) if self.kinds[i] != BLANK and i not in keep]
 
@@ -139,27 +140,43 @@ class PageTree:
         return sharing[-1] if sharing else candidates[-1] if candidates else None
 
 
-def line_statistics(pages: DataFrame, id_col: str, url: str, text: str) -> DataFrame:
-    """(key, sentence, pages, followed): recurrent lines of the corpus, over all pages."""
+def _hash(key: str) -> int:
+    """64-bit hash of a line's key, signed as Spark has it."""
+    import xxhash
+
+    h = xxhash.xxh64_intdigest(key)
+    return h - (1 << 64) if h >> 63 else h
+
+
+def line_statistics(pages: DataFrame, url: str, text: str) -> DataFrame:
+    """(h, sentence, articles, followed): recurrent lines of the corpus by hash, over all pages.
+
+    A line counts once per article, that is per last part of the address, so that an article copied to a third of all
+    pages makes none of its own sentences recurrent. `followed` counts the articles in which content follows the line.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            counts: dict[tuple[str, int], list[int]] = {}
-            for t in b.column(0).to_pylist():
+            seen: dict[tuple[int, int, int], int] = {}
+            for u, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 if t:
-                    for key, sentence, followed in PageTree(t, None).observations():
-                        c = counts.setdefault((key, sentence), [0, 0])
-                        c[0] += 1
-                        c[1] += followed
+                    tree = PageTree(t, u)
+                    article = _hash(" ".join(tree.slug) or t)
+                    for key, sentence, followed in tree.observations():
+                        at = (_hash(key), sentence, article)
+                        seen[at] = max(seen.get(at, 0), followed)
+            keys = list(seen)
             yield pa.RecordBatch.from_arrays(
-                [pa.array([k[0] for k in counts], pa.string()), pa.array([k[1] for k in counts], pa.int32()), pa.array([c[0] for c in counts.values()], pa.int64()), pa.array([c[1] for c in counts.values()], pa.int64())],
-                names=["key", "sentence", "pages", "followed"],
+                [pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int32()), pa.array([k[2] for k in keys], pa.int64()), pa.array(list(seen.values()), pa.int32())],
+                names=["h", "sentence", "article", "followed"],
             )
 
-    seen = pages.select(text).mapInArrow(run, "key string, sentence int, pages long, followed long")
+    each = pages.select(url, text).mapInArrow(run, "h long, sentence int, article long, followed int")
+    each = each.groupBy("h", "sentence", "article").agg(F.max("followed").alias("followed"))
+    sums = each.groupBy("h", "sentence").agg(F.count(F.lit(1)).alias("articles"), F.sum("followed").alias("followed"))
     total = pages.where(F.length(F.trim(F.coalesce(F.col(text), F.lit("")))) > 0).agg(F.count(F.lit(1)).alias("total"))
-    sums = seen.groupBy("key", "sentence").agg(F.sum("pages").alias("pages"), F.sum("followed").alias("followed")).where(F.col("pages") >= MIN_PAGES)
-    return sums.join(F.broadcast(total)).where(F.col("pages") >= F.col("total") * F.lit(RECURRENT_SHARE)).drop("total")
+    least = F.greatest(F.lit(MIN_PAGES), F.col("total") * F.lit(RECURRENT_SHARE))
+    return sums.where(F.col("articles") >= MIN_PAGES).join(F.broadcast(total)).where(F.col("articles") >= least).drop("total")
 
 
 def furniture_lines(pages: DataFrame, id_col: str = "page_id", url: str = "final_url", text: str = "full_text") -> DataFrame:
@@ -167,10 +184,10 @@ def furniture_lines(pages: DataFrame, id_col: str = "page_id", url: str = "final
 
     NULL and empty texts have no lines. A page without an article is furniture throughout.
     """
-    stats = line_statistics(pages, id_col, url, text).collect()  # bounded by RECURRENT_SHARE, see there
-    notices = {r["key"] for r in stats if r["sentence"]}
-    recurrent = {r["key"] for r in stats if not r["sentence"]}
-    subheads = {r["key"] for r in stats if not r["sentence"] and r["followed"] >= SUBHEAD_SHARE * r["pages"]}
+    stats = line_statistics(pages, url, text).collect()  # bounded by RECURRENT_SHARE, see there
+    notices = {r["h"] for r in stats if r["sentence"]}
+    recurrent = {r["h"] for r in stats if not r["sentence"]}
+    subheads = {r["h"] for r in stats if not r["sentence"] and r["followed"] >= SUBHEAD_SHARE * r["articles"]}
     shared = pages.sparkSession.sparkContext.broadcast((notices, subheads, recurrent))
     kind = dict(pages.dtypes)[id_col]
 
