@@ -47,9 +47,14 @@ def folded(text: Column) -> Column:
     wide = "".join(chr(c) for c in range(0xFF01, 0xFF5F))
     plain = "".join(chr(c - 0xFEE0) for c in range(0xFF01, 0xFF5F))
     t = F.translate(t, wide, plain)
+    return t
+
+
+def _without_ligatures(c: Column) -> Column:
+    t = c
     for lig, letters in LIGATURES.items():
         t = F.replace(t, F.lit(lig), F.lit(letters))
-    return t
+    return F.when(c.rlike("[" + "".join(LIGATURES) + "]"), t).otherwise(c)
 
 
 @F.pandas_udf(T.StringType())
@@ -63,6 +68,7 @@ def composed(texts: pd.Series) -> pd.Series:
 def plain_forms(documents: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, form): texts after the steps without a choice; only texts with combining marks leave the JVM's columns."""
     forms = documents.select(F.col(id_col).alias("doc_id"), folded(F.col(text)).alias("form"))
+    forms = forms.select("doc_id", _without_ligatures(F.col("form")).alias("form"))
     return forms.select("doc_id", _composed_where_needed(F.col("form")).alias("form"))
 
 
@@ -129,7 +135,7 @@ def _substituted(forms: pd.Series, olds: pd.Series, news: pd.Series) -> pd.Serie
 
 def canonical_forms(documents: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, form): every text in the one form that equal-looking texts share; NULL stays NULL, empty stays empty."""
-    forms = plain_forms(documents, id_col, text)
+    forms = written(plain_forms(documents, id_col, text), "forms")
     repairs = written(vocabulary_repairs(forms), "repairs")
     odd = forms.where(F.col("form").rlike(rf"[{SCRIPT_LETTER}]"))
     tokens = odd.select("doc_id", F.explode(F.array_distinct(F.regexp_extract_all("form", F.lit(rf"({TOKEN})")))).alias("token"))
