@@ -26,4 +26,4 @@ def oracle_sql() -> dict[str, str]:
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return queries()["p3_key_summary"](spark, sf_dir)
+    return queries()["domain_blocklist_metrics"](spark, sf_dir)
