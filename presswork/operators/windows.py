@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from presswork.session import written
+
 LADDER = [30, 14, 7, 3, 1]
 THRESHOLD = 100
 COARSE_YEARS = 5
@@ -71,13 +73,15 @@ def split_ladder(
     spark: SparkSession = facts.sparkSession
     levels = ladder_levels(levels)
     days = facts.where(F.col(day).between(F.to_date(F.lit(start)), F.to_date(F.lit(end)))).groupBy(key, day).agg(F.count(F.lit(1)).alias("n"))
+    days = written(days, "ladder-days")
     whole = facts.select(key).distinct().select(key, F.to_date(F.lit(start)).alias("s"), F.to_date(F.lit(end)).alias("e"))
     coarse = coarse_windows(spark.createDataFrame([(0,)], "x int").select(F.to_date(F.lit(start)).alias("a"), F.to_date(F.lit(end)).alias("b")), "a", "b", years)
     coarse = coarse.select(F.col("window_start").alias("s2"), F.col("window_end").alias("e2"))
     frontier, leaves = whole, None
     steps: list[int | None] = [None, *levels]
     for depth in range(len(steps) + 1):
-        counted = _count(days, frontier, key, day)
+        # written at each level: leaves and splits read it, and no level computes the ones above again
+        counted = written(_count(days, frontier, key, day), "ladder-level")
         # a window of at most the level's size passes on unchanged until a level is smaller; single days stay whole
         split = (F.col("entries") >= threshold) & (F.datediff("e", "s") > 0) & F.lit(depth < len(steps))
         leaf, deeper = counted.where(~split), counted.where(split)
