@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import io
 import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -26,8 +28,34 @@ def local_session(cpus: str = "*", memory: str = "8g") -> SparkSession:
     )
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Give the session's Python workers this package, once per context, wherever they were started.
+
+    A zip of its modules is put into the shared folder and added to the context; executors fetch it from there.
+    """
+    context = spark.sparkContext
+    if getattr(context, "_presswork_shipped", False):
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    packed = io.BytesIO()
+    with zipfile.ZipFile(packed, "w", zipfile.ZIP_DEFLATED) as z:
+        for folder, _, files in os.walk(root):
+            for f in sorted(files):
+                if f.endswith(".py"):
+                    full = os.path.join(folder, f)
+                    z.write(full, os.path.join(os.path.basename(root), os.path.relpath(full, root)))
+    path = f"{new_path(spark, 'package')}/{os.path.basename(root)}.zip"
+    target = context._jvm.org.apache.hadoop.fs.Path(path)
+    out = target.getFileSystem(context._jsc.hadoopConfiguration()).create(target, True)
+    out.write(bytearray(packed.getvalue()))
+    out.close()
+    context.addPyFile(path)
+    context._presswork_shipped = True
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One table of a data directory; projections and filters put on it reach the parquet scan."""
+    ship_package(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
