@@ -135,7 +135,9 @@ class PageTree:
         if not body:
             return None
         names = set(regex.findall(r"\p{Lu}\p{L}+(?:-\p{L}+)+", " ".join(self.lines[i] for i in body)))
-        candidates = [i for i in range(body[0]) if self.kinds[i] == OTHER and len(self.lines[i].split()) > MIN_SENTENCE]
+        # a path or bar of links has marks between its parts
+        plain = [i for i in range(body[0]) if self.kinds[i] == OTHER and not regex.search(r"\s[>»›/|·]\s", self.lines[i])]
+        candidates = [i for i in plain if len(self.lines[i].split()) > MIN_SENTENCE]
         sharing = [i for i in candidates if any(x in self.lines[i] for x in names)]
         return sharing[-1] if sharing else candidates[-1] if candidates else None
 
