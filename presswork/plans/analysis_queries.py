@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from presswork.operators import evaluation as ev
-from presswork.operators import groups, overlap, reports, resample, topics
+from presswork.operators import groups, overlap, reports, resample, state, topics
 from presswork.operators.resample import hash_number
 from presswork.session import read_table
 
@@ -94,12 +94,17 @@ def krippendorff_alpha(spark, d):
     return ev.krippendorff_alpha(_ratings(spark, d))
 
 
+def _numbered(spark, d):
+    """(item, rn) of all documents and their number."""
+    docs = _docs(spark, d)
+    return state.global_rank(docs, [F.col("item")]), docs.count()
+
+
 def alpha_bootstrap(spark, d):
-    """Alpha of 5 resamples of 200 items each: percentile bounds come from these."""
-    r = _ratings(spark, d)
-    ids = _docs(spark, d).where("item <= 200").select(F.col("item").alias("rn"))
-    s = resample.bootstrap(ids, "rn", 200, 5, 200, "alpha").select("batch_id", F.concat_ws(":", "draw", "rn").alias("unit"), F.col("rn").alias("item"))
-    return ev.krippendorff_alpha(s.join(r, "item").select("batch_id", F.col("unit").alias("item"), "label"), by=["batch_id"])
+    """Alpha of 5 resamples of as many items as there are: percentile bounds come from these."""
+    ids, n = _numbered(spark, d)
+    s = resample.bootstrap(ids, "rn", n, 5, n, "alpha").select("batch_id", F.concat_ws(":", "draw", "rn").alias("unit"), "item")
+    return ev.krippendorff_alpha(s.join(_ratings(spark, d), "item").select("batch_id", F.col("unit").alias("item"), "label"), by=["batch_id"])
 
 
 def cohen_kappa(spark, d):
@@ -154,12 +159,12 @@ def stratified_sample(spark, d):
 
 
 def bootstrap_samples(spark, d):
-    ids = _docs(spark, d).withColumnRenamed("item", "rn").where("rn <= 200")
-    return resample.bootstrap(ids, "rn", 200, 4, 100, "b")
+    ids, n = _numbered(spark, d)
+    return resample.bootstrap(ids, "rn", n, 4, n, "b").select("batch_id", "draw", "item")
 
 
 def batch_overlap(spark, d):
-    return resample.batch_overlap(bootstrap_samples(spark, d), "batch_id", "rn")
+    return resample.batch_overlap(bootstrap_samples(spark, d), "batch_id", "item")
 
 
 def _categories(spark, d):
@@ -320,9 +325,11 @@ pw AS (SELECT a.week, a.variant AS variant_a, b.variant AS variant_b, a.n AS art
   LEFT JOIN x ON x.week = a.week AND va = a.variant AND vb = b.variant),
 pj AS (SELECT *, (articles_a + articles_b - shared_articles)::BIGINT AS union_articles, round(shared_articles / (articles_a + articles_b - shared_articles), 6) AS jaccard, round(shared_articles / least(articles_a, articles_b), 6) AS overlap_coefficient FROM pw)
 """
-_BOOT = f"(SELECT b AS batch_id, w AS draw, {_H.format(x="'{seed}:' || b || ':' || w")} % 200 + 1 AS rn FROM range({{batches}}) t(b) CROSS JOIN range({{draws}}) s(w))"
-_B4 = _BOOT.replace("{seed}", "b").replace("{batches}", "4").replace("{draws}", "100")
-_B5 = _BOOT.replace("{seed}", "alpha").replace("{batches}", "5").replace("{draws}", "200")
+_BOOT = f"""(WITH rd AS (SELECT doc_id AS item, row_number() OVER (ORDER BY doc_id) AS rn FROM documents), n AS (SELECT count(*) AS n FROM documents),
+  s AS (SELECT b AS batch_id, rn - 1 AS draw, {_H.format(x="'{seed}:' || b || ':' || (rn - 1)")} % n + 1 AS pick FROM rd CROSS JOIN range({{batches}}) t(b) CROSS JOIN n)
+  SELECT batch_id, draw, item, pick AS rn FROM s JOIN rd ON pick = rd.rn)"""
+_B4 = _BOOT.replace("{seed}", "b").replace("{batches}", "4")
+_B5 = _BOOT.replace("{seed}", "alpha").replace("{batches}", "5")
 _CAT = "WITH c AS (SELECT item_id, pathogen_domain AS batch, search_string AS label, coalesce(rss_title, '') AS example FROM rss_items WHERE trim(search_string) <> '')\n"
 _STOP = "[" + ", ".join(f"'{w}'" for w in topics.STOP_WORDS) + "]"
 _WORDS = f"list_filter(regexp_extract_all(lower(coalesce(text, '')), '[a-z]{{2,}}'), lambda x: NOT list_contains({_STOP}, x))"
@@ -357,7 +364,7 @@ SELECT round(avg((kinds = 1)::INT), 6) AS full_agreement, round(sum(same) / sum(
 SELECT item, label, CASE WHEN t > 1 THEN round(n / t, 6) ELSE -1.0 END AS share FROM k WHERE rn = 1""",
     "label_counts": _R + "SELECT rater, coalesce(label, 'missing') AS label, count(*)::BIGINT AS n FROM ratings GROUP BY 1, 2",
     "krippendorff_alpha": _R + _ALPHA.format(b="", a="", src="ratings", j="CROSS JOIN t"),
-    "alpha_bootstrap": _R + f", bs AS (SELECT batch_id, draw || ':' || rn AS item, label FROM {_B5} JOIN ratings ON rn = ratings.item)" + _ALPHA.format(b="batch_id,", a="batch_id,", src="bs", j="JOIN t USING (batch_id)"),
+    "alpha_bootstrap": _R + f", bs AS (SELECT batch_id, draw || ':' || z.rn AS item, label FROM {_B5} z JOIN ratings ON z.item = ratings.item)" + _ALPHA.format(b="batch_id,", a="batch_id,", src="bs", j="JOIN t USING (batch_id)"),
     "cohen_kappa": _R + """, w AS (SELECT item, max(label) FILTER (rater = 'r1') AS a, max(label) FILTER (rater = 'r2') AS b FROM ratings GROUP BY 1), p AS (SELECT * FROM w WHERE a IS NOT NULL AND b IS NOT NULL),
 e AS (SELECT sum(x.n * y.n) AS e FROM (SELECT a, count(*) AS n FROM p GROUP BY 1) x JOIN (SELECT b, count(*) AS n FROM p GROUP BY 1) y ON a = b), s AS (SELECT count(*) AS t, count(*) FILTER (a = b) AS same FROM p)
 SELECT round((same / t - e / (t * t)) / (1 - e / (t * t)), 6) AS kappa FROM s CROSS JOIN e""",
@@ -373,9 +380,9 @@ FROM (SELECT week, count(*) AS un, count(*) FILTER (k = 1) AS ex, count(*) FILTE
     "peak_weeks": _VAR + ", n AS (SELECT week, variant, count(*) AS articles FROM u GROUP BY 1, 2) SELECT week, variant, articles FROM (SELECT *, row_number() OVER (PARTITION BY variant ORDER BY articles DESC, week) AS rn FROM n) WHERE rn = 1",
     "sample_split": "SELECT c_custkey, CASE WHEN row_number() OVER (ORDER BY md5('s1:' || c_custkey), c_custkey) <= 100 THEN 'sample' ELSE 'rest' END AS part FROM customer",
     "stratified_sample": "SELECT c_custkey, c_mktsegment FROM (SELECT *, row_number() OVER (PARTITION BY c_mktsegment ORDER BY md5('s2:' || c_custkey), c_custkey) AS rn FROM customer) WHERE rn <= 5",
-    "bootstrap_samples": f"SELECT batch_id, draw, rn FROM {_B4} JOIN documents ON doc_id = rn",
-    "batch_overlap": f"""WITH s AS (SELECT DISTINCT batch_id AS b, rn FROM {_B4} JOIN documents ON doc_id = rn), n AS (SELECT b, count(*) AS n FROM s GROUP BY 1)
-SELECT x.b AS l, y.b AS r, round(count(*) / any_value(n), 6) AS share FROM s x JOIN s y ON x.rn = y.rn AND x.b <> y.b JOIN n ON n.b = x.b GROUP BY 1, 2""",
+    "bootstrap_samples": f"SELECT batch_id, draw, item FROM {_B4}",
+    "batch_overlap": f"""WITH s AS (SELECT DISTINCT batch_id AS b, item FROM {_B4}), n AS (SELECT b, count(*) AS n FROM s GROUP BY 1)
+SELECT x.b AS l, y.b AS r, round(count(*) / any_value(n), 6) AS share FROM s x JOIN s y ON x.item = y.item AND x.b <> y.b JOIN n ON n.b = x.b GROUP BY 1, 2""",
     "build_groups": _CAT + """, g AS (SELECT batch, label, count(DISTINCT item_id) AS articles, array_to_string(list_sort(list(DISTINCT example))[1:2], ' | ') AS examples FROM c GROUP BY 1, 2)
 SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY batch ORDER BY articles DESC, label)::BIGINT AS rank FROM g) WHERE rank <= 5""",
     "shortest_label": _CAT + "SELECT lower(trim(label)) AS label_key, first(label ORDER BY length(label), label) AS label FROM c GROUP BY 1",

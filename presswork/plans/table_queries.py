@@ -200,8 +200,8 @@ def artifacts_outer(spark, d):
 
 
 def fallback_lookup(spark, d):
-    p = read_table(spark, d, "part").select("p_partkey", "p_name", "p_type")
-    by_name = p.where("p_partkey % 3 = 0").groupBy(F.lower("p_name").alias("k")).agg(F.min("p_type").alias("a"))
+    p = read_table(spark, d, "part").select("p_partkey", "p_name", "p_type", "p_size")
+    by_name = p.where("p_size > 25").groupBy(F.lower("p_name").alias("k")).agg(F.min("p_type").alias("a"))
     by_first = p.groupBy(F.lower(F.split("p_name", " ")[0]).alias("k2")).agg(F.min("p_type").alias("b"))
     j = p.join(by_name, F.lower("p_name") == F.col("k"), "left").join(by_first, F.lower(F.split("p_name", " ")[0]) == F.col("k2"), "left")
     return j.select("p_partkey", F.coalesce("a", "b", F.lit("unknown")).alias("profile"))
@@ -285,6 +285,6 @@ SELECT status, status IN ('failed', 'throttled', 'pending') AND a < 3 AS eligibl
     "union_sources": "SELECT c_name AS name, c_acctbal AS balance, 'c' AS kind FROM customer UNION ALL SELECT s_name, NULL, 's' FROM supplier",
     "artifacts_outer": """SELECT n_nationkey AS k, n_name, coalesce(c, 0)::BIGINT AS customers, coalesce(s, 0)::BIGINT AS suppliers FROM nation
 LEFT JOIN (SELECT c_nationkey, count(*) AS c FROM customer GROUP BY 1) ON c_nationkey = n_nationkey LEFT JOIN (SELECT s_nationkey, count(*) AS s FROM supplier GROUP BY 1) ON s_nationkey = n_nationkey""",
-    "fallback_lookup": """WITH a AS (SELECT lower(p_name) AS k, min(p_type) AS a FROM part WHERE p_partkey % 3 = 0 GROUP BY 1), b AS (SELECT lower(string_split(p_name, ' ')[1]) AS k2, min(p_type) AS b FROM part GROUP BY 1)
+    "fallback_lookup": """WITH a AS (SELECT lower(p_name) AS k, min(p_type) AS a FROM part WHERE p_size > 25 GROUP BY 1), b AS (SELECT lower(string_split(p_name, ' ')[1]) AS k2, min(p_type) AS b FROM part GROUP BY 1)
 SELECT p_partkey, coalesce(a, b, 'unknown') AS profile FROM part LEFT JOIN a ON lower(p_name) = k LEFT JOIN b ON lower(string_split(p_name, ' ')[1]) = k2""",
 }
