@@ -8,8 +8,9 @@ more than its bound, and the survivors are verified on their token sets. Neither
 
 Pairs meet by keys. Short sets use the two-token prefix filter, which loses no pair: with tokens ordered from rare to
 frequent, sets that share o tokens share two within their first n - o + 2. Long sets, where every pair of prefix tokens
-would be too many keys, use weighted minwise hashes in bands of two, in which rare tokens weigh most. Equal sets are one
-class from the start and are opened to their records last.
+would be too many keys, use unweighted minwise hashes in bands of four: whether two sets meet depends on their similarity
+alone, not on how many records hold their tokens. Equal sets are one class from the start and are opened to their records
+last.
 """
 
 from __future__ import annotations
@@ -29,11 +30,10 @@ from presswork.session import read_table, written
 #: Buckets of the table of token counts: its size is fixed. Tokens that share a bucket share a place in the order, which
 #: costs candidates but no result.
 COUNT_BUCKETS = 1 << 18
-#: Bands of two weighted minwise hashes for long sets. A pair whose weighted similarity is 0.35 is missed by all of them
-#: once in about 4000 cases.
-BANDS = 64
-#: Count at which a token's weight is half that of a token that occurs once.
-HALF_WEIGHT = 20.0
+#: Bands of minwise hashes for long sets, hashes of a band, and bands a pair must share. With q = s ** BAND_HASHES a pair
+#: of similarity s is missed with probability (1 - q) ** BANDS + BANDS * q * (1 - q) ** (BANDS - 1): 1.2e-6 at 1/2, 1e-14
+#: at 0.6, whatever the number of records that hold its tokens.
+BANDS, BAND_HASHES, SHARED_BANDS = 256, 4, 2
 #: Sets from this size on use single prefix tokens as keys instead of pairs of them.
 PAIR_KEYS_BELOW = 40
 FOLD_BITS = 512
@@ -129,24 +129,26 @@ def prefix_keys(tokens: np.ndarray, counts: np.ndarray, threshold: float) -> np.
 
 
 class BandKeys:
-    """Keys of long sets: BANDS pairs of weighted minwise hashes."""
+    """Keys of long sets: BANDS groups of BAND_HASHES minwise hashes."""
 
-    def __init__(self, counts: np.ndarray):
-        self.weight = ((1.0 + HALF_WEIGHT) / (np.maximum(counts, 1) + HALF_WEIGHT)).astype(np.float32)
-        self.seeds = _mix(np.arange(1, 2 * BANDS + 1, dtype=np.uint64) * _M1)
+    def __init__(self):
+        self.seeds = (_mix(np.arange(1, BAND_HASHES * BANDS + 1, dtype=np.uint64) * _M1) >> np.uint64(32)).astype(np.uint32)
         self.bands = np.arange(BANDS, dtype=np.uint64)
 
     def __call__(self, tokens: np.ndarray) -> np.ndarray:
-        inverse = (1.0 / self.weight[_buckets(tokens)])[None, :]
-        step = max(1, 2_000_000 // len(tokens))  # very long sets are hashed few functions at a time
-        picks = []
+        low = (_mix(tokens) >> np.uint64(32)).astype(np.uint32)
+        step = max(1, 16_384 // len(tokens))  # few functions at a time, so that their values stay in the cache
+        least = []
         for lo in range(0, len(self.seeds), step):
-            x = (tokens[None, :] ^ self.seeds[lo : lo + step, None]) * _M2
-            x ^= x >> np.uint64(29)
-            u = ((x * _M3) >> np.uint64(40)).astype(np.float32) + np.float32(0.5)
-            picks.append(np.argmin((np.float32(24 * math.log(2)) - np.log(u)) * inverse, axis=1))
-        chosen = tokens[np.concatenate(picks)].reshape(BANDS, 2)
-        return _mix(_mix(chosen[:, 0] * _M1 + self.bands) + chosen[:, 1]).view(np.int64)
+            x = low[None, :] ^ self.seeds[lo : lo + step, None]
+            x *= np.uint32(0x85EBCA6B)
+            x ^= x >> np.uint32(13)
+            x *= np.uint32(0xC2B2AE35)
+            least.append(x.min(axis=1))
+        key = self.bands
+        for h in np.concatenate(least).astype(np.uint64).reshape(BANDS, BAND_HASHES).T:
+            key = _mix(key * _M1 + h)
+        return key.view(np.int64)
 
 
 def _folded(tokens: np.ndarray, bits: int) -> np.ndarray:
@@ -157,14 +159,12 @@ def _folded(tokens: np.ndarray, bits: int) -> np.ndarray:
 
 def features(records: DataFrame, id_col: str, text: str, threshold: float, run: int, least_words: int, long_sets: bool) -> DataFrame:
     """(id, n, s1, s2, fold, keys) of every record with tokens: set size, set identity, fingerprint and join keys."""
-    counts = token_counts(records, text, run, least_words)
-    shared = records.sparkSession.sparkContext.broadcast(counts)
+    shared = None if long_sets else records.sparkSession.sparkContext.broadcast(token_counts(records, text, run, least_words))
     bits = FOLD_BITS if long_sets else 128
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = Tokens(run, least_words)
-        table = shared.value
-        band = BandKeys(table) if long_sets else None
+        band = BandKeys() if long_sets else None
         for b in batches:
             ids, n, s1, s2, fold, keys = [], [], [], [], [], []
             for key, t in zip(b.column(0).to_pylist(), map(tokens, b.column(1).to_pylist())):
@@ -176,7 +176,7 @@ def features(records: DataFrame, id_col: str, text: str, threshold: float, run:
                 s1.append(int(np.bitwise_xor.reduce(m).view(np.int64)))
                 s2.append(int(np.add.reduce(m * _M2).view(np.int64)))
                 fold.append(_folded(t, bits))
-                keys.append(band(t) if band else prefix_keys(t, table, threshold))
+                keys.append(band(t) if band else prefix_keys(t, shared.value, threshold))
             yield pa.RecordBatch.from_arrays(
                 [pa.array(ids, pa.int64()), pa.array(n, pa.int32()), pa.array(s1, pa.int64()), pa.array(s2, pa.int64()), _lists(fold), _lists(keys)],
                 names=["id", "n", "s1", "s2", "fold", "keys"],
@@ -219,9 +219,9 @@ def candidates(classes: DataFrame, threshold: float, long_sets: bool) -> DataFra
         tests = [_coordinates_within(threshold), f"bit_count(l.f0 ^ r.f0) + bit_count(l.f1 ^ r.f1) <= {_bound(threshold)}"]
     cond = " AND ".join(["l.key = r.key", "l.id < r.id", f"least(l.n, r.n) >= {threshold!r} * greatest(l.n, r.n) - 1e-9", *tests])
     pairs = rows.alias("l").join(rows.alias("r"), F.expr(cond)).selectExpr("l.id AS a", "r.id AS b", "l.n AS na", "r.n AS nb")
-    pairs = pairs.distinct()
     if not long_sets:
-        return pairs
+        return pairs.distinct()
+    pairs = pairs.groupBy("a", "b", "na", "nb").agg(F.count(F.lit(1)).alias("bands")).where(F.col("bands") >= SHARED_BANDS).drop("bands")
     fold = classes.select("id", "fold")
     both = pairs.join(fold.selectExpr("id AS a", "fold AS fa"), "a").join(fold.selectExpr("id AS b", "fold AS fb"), "b")
     distance = " + ".join(f"bit_count(fa[{i}] ^ fb[{i}])" for i in range(FOLD_BITS // 64))

@@ -95,6 +95,15 @@ def test_articles_by_runs_of_words(spark):
     assert per[10] >= 1 and 1 not in per and 2 not in per
 
 
+def test_large_group_of_near_copies_loses_no_pair(spark):
+    # the group's common runs of words are in every article, each article's own edits in one
+    common = [f"c{k}" for k in range(100)]
+    rows = [(i, " ".join(common + [f"own{i}x{k}" for k in range(40)])) for i in range(200)]
+    df = spark.createDataFrame(rows, "article_id long, full_text string")
+    got = {tuple(r) for r in near_duplicates.NearDuplicates(df, "article_id", "full_text", 0.5, 3, 60, True).pairs().collect()}
+    assert got == set(itertools.combinations(range(200), 2)) == brute(rows, 0.5, 3, 60)
+
+
 def test_copies_are_one_class_and_empty_table(spark):
     df = spark.createDataFrame([(i, "same words here") for i in range(40)] + [(99, "others")], "item_id long, rss_title string")
     nd = near_duplicates.NearDuplicates(df, "item_id", "rss_title", 0.75)
