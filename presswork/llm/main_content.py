@@ -9,13 +9,14 @@ whether a sentence is a notice, is learned from the whole corpus: how many pages
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import re
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from presswork.llm.render import render
+from presswork.llm.render import render, source_lines
 from presswork.session import read_table
 
 #: A line is recurrent if at least this share of pages, and MIN_PAGES, are different articles with it; so there are at most (mean lines of
@@ -31,6 +32,9 @@ NUMBERS = r"\d+(?:[.,]\d+)*"
 #: A sentence with two of these, on a page of any corpus, is a notice on data and consent.
 CONSENT = r"(?i)\b(cookies?|traceurs|rastreadores)\b.*\b(policy|politique|pol[íi]tica|agree|acceptez|acepta|aceita)\b|\byour privacy\b|\bvotre vie privée\b|\bsu privacidad\b|\bsua privacidade\b"
 
+#: A text is markup if it begins with a tag or ends an element; one that merely mentions a tag is not.
+MARKUP = r"(?i)^\s*<(?:!doctype|!--|[a-z])|</(?:html|body|div|p|ul|ol|table|article|section|main)\s*>"
+
 HEADLINE, PROSE, LIST, OTHER, BLANK = "h", "p", "l", "o", "b"
 
 
@@ -40,8 +44,9 @@ class PageTree:
     def __init__(self, text: str, url: str | None):
         import regex
 
-        lines = render(text).split("\n") if regex.search(r"(?i)<(?:html|body|div|p|ul|table|article)\b", text) else text.split("\n")
-        self.lines = [x.strip() for x in lines]
+        self.text, self.markup = text, bool(regex.search(MARKUP, text))
+        self.shown = (render(text) if self.markup else text).split("\n")
+        self.lines = [x.strip() for x in self.shown]
         self.keys = [regex.sub(NUMBERS, "0", x).lower() for x in self.lines]
         self.kinds = [self.kind(x) for x in self.lines]
         self.slug = self._slug(url)
@@ -83,7 +88,22 @@ class PageTree:
                 yield key, int(kind == PROSE), int(self.content_after(i))
 
     def furniture(self, notices: set[int], subheads: set[int], recurrent: set[int]) -> list[int]:
-        """Numbers (from 1) of the non-blank lines that are not the page's own article."""
+        """Numbers (from 1) of the non-blank lines of the text that show nothing of the page's own article."""
+        keep = self.article(notices, subheads, recurrent)
+        if not self.markup:
+            return [i + 1 for i, k in enumerate(self.kinds) if k != BLANK and i not in keep]
+        sources = source_lines(self.text)
+        kept = {n for i in keep for n in sources[i]}
+        return [n for n, x in enumerate(self.text.split("\n"), 1) if x.strip() and n not in kept]
+
+    def main_text(self, notices: set[int], subheads: set[int], recurrent: set[int]) -> str:
+        """The shown lines of the page's own article."""
+        keep = self.article(notices, subheads, recurrent)
+        body = "\n".join(x for i, x in enumerate(self.shown) if i in keep or self.kinds[i] == BLANK)
+        return re.sub("\n{3,}", "\n\n", body).strip("\n " if self.markup else " ")
+
+    def article(self, notices: set[int], subheads: set[int], recurrent: set[int]) -> set[int]:
+        """Places of the shown lines that are the page's own article."""
         import regex
 
         n = len(self.lines)
@@ -111,7 +131,7 @@ class PageTree:
                 keep.add(i)
             elif h not in recurrent and len(key.split()) <= MAX_SUBHEAD and ":" not in key and self._between(i, own):
                 keep.add(i)
-        return [i + 1 for i in range(n) if self.kinds[i] != BLANK and i not in keep]
+        return keep
 
     def _between(self, i: int, own: list[bool]) -> bool:
         """A rare short line counts as subhead only with the article's own blocks directly before and after it."""
@@ -181,37 +201,44 @@ def line_statistics(pages: DataFrame, url: str, text: str) -> DataFrame:
     return sums.where(F.col("articles") >= MIN_PAGES).join(F.broadcast(total)).where(F.col("articles") >= least).drop("total")
 
 
-def furniture_lines(pages: DataFrame, id_col: str = "page_id", url: str = "final_url", text: str = "full_text") -> DataFrame:
-    """(page_id, line_no): non-blank lines that are not headline, subhead, list or paragraph of the page's own article.
-
-    NULL and empty texts have no lines. A page without an article is furniture throughout.
-    """
+def _known_lines(pages: DataFrame, url: str, text: str):
+    """The broadcast sets (notices, subheads, recurrent short lines) of the pages."""
     stats = line_statistics(pages, url, text).collect()  # bounded by RECURRENT_SHARE, see there
     notices = {r["h"] for r in stats if r["sentence"]}
     recurrent = {r["h"] for r in stats if not r["sentence"]}
     subheads = {r["h"] for r in stats if not r["sentence"] and r["followed"] >= SUBHEAD_SHARE * r["articles"]}
-    shared = pages.sparkSession.sparkContext.broadcast((notices, subheads, recurrent))
+    return pages.sparkSession.sparkContext.broadcast((notices, subheads, recurrent))
+
+
+def _per_page(pages: DataFrame, id_col: str, url: str, text: str, of: Callable, column: str, arrow: pa.DataType) -> DataFrame:
+    """(id, column): a row for each value that of(tree, notices, subheads, recurrent) gives; tree is None without text."""
+    shared = _known_lines(pages, url, text)
     kind = dict(pages.dtypes)[id_col]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids, nos = [], []
+            ids, out = [], []
             for key, u, t in zip(*[c.to_pylist() for c in b.columns]):
-                if t:
-                    got = PageTree(t, u).furniture(*shared.value)
-                    ids += [key] * len(got)
-                    nos += got
-            yield pa.RecordBatch.from_arrays([pa.array(ids, b.schema.field(0).type), pa.array(nos, pa.int32())], names=[id_col, "line_no"])
+                got = of(PageTree(t, u) if t else None, *shared.value)
+                ids += [key] * len(got)
+                out += got
+            yield pa.RecordBatch.from_arrays([pa.array(ids, b.schema.field(0).type), pa.array(out, arrow)], names=[id_col, column])
+
+    return pages.select(id_col, url, text).mapInArrow(run, f"`{id_col}` {kind}, {column} {'int' if arrow == pa.int32() else 'string'}")
 
-    return pages.select(id_col, url, text).mapInArrow(run, f"`{id_col}` {kind}, line_no int")
+
+def furniture_lines(pages: DataFrame, id_col: str = "page_id", url: str = "final_url", text: str = "full_text") -> DataFrame:
+    """(page_id, line_no): non-blank lines that are not headline, subhead, list or paragraph of the page's own article.
+
+    NULL and empty texts have no lines. A page without an article is furniture throughout. On a page of markup a line of
+    the text is furniture if no block of the article shows any of it.
+    """
+    return _per_page(pages, id_col, url, text, lambda tree, *known: tree.furniture(*known) if tree else [], "line_no", pa.int32())
 
 
 def main_text(pages: DataFrame, id_col: str = "page_id", url: str = "final_url", text: str = "full_text") -> DataFrame:
-    """(page_id, main_text): headline and article body of each page; empty where a page has no article."""
-    drop = furniture_lines(pages, id_col, url, text).groupBy(id_col).agg(F.collect_set("line_no").alias("__drop"))
-    parts = F.filter(F.split(F.col(text), "\n", -1), lambda x, i: ~F.array_contains(F.coalesce("__drop", F.array().cast("array<int>")), i + 1))
-    body = F.trim(F.regexp_replace(F.array_join(parts, "\n"), "\n{3,}", "\n\n"))
-    return pages.select(id_col, text).join(drop, id_col, "left").select(id_col, F.coalesce(body, F.lit("")).alias("main_text"))
+    """(page_id, main_text): headline and article body of each page as they show; empty where a page has no article."""
+    return _per_page(pages, id_col, url, text, lambda tree, *known: [tree.main_text(*known) if tree else ""], "main_text", pa.string())
 
 
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,6 +8,7 @@ with aligned columns.
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass, field
 from html.parser import HTMLParser
 
@@ -56,8 +57,9 @@ class Node:
 class TreeBuilder(HTMLParser):
     """Builds the tree; end tags that fit nothing open are ignored, open elements end with their parent."""
 
-    def __init__(self) -> None:
+    def __init__(self, marked: bool = False) -> None:
         super().__init__(convert_charrefs=True)
+        self.marked = marked
         self.root = Node("html")
         self.stack = [self.root]
 
@@ -80,6 +82,9 @@ class TreeBuilder(HTMLParser):
                 return
 
     def handle_data(self, data: str) -> None:
+        if self.marked:
+            first = self.getpos()[0]
+            data = "\n".join(re.sub(r"\S", lambda m: f"\ue000{first + k}\ue001{m[0]}", x, count=1) for k, x in enumerate(data.split("\n")))
         self.stack[-1].children.append(data)
 
     def _close(self, tags: set[str], boundary: set[str]) -> None:
@@ -94,8 +99,8 @@ class TreeBuilder(HTMLParser):
             del self.stack[cut:]
 
 
-def parse(html: str) -> Node:
-    builder = TreeBuilder()
+def parse(html: str, marked: bool = False) -> Node:
+    builder = TreeBuilder(marked)
     builder.feed(html)
     builder.close()
     return builder.root
@@ -197,3 +202,11 @@ def render(html: str) -> str:
     _emit(parse(html), to, "", 0)
     to.line()
     return "\n".join(to.out)
+
+
+def source_lines(html: str) -> list[set[int]]:
+    """Numbers (from 1) of the source lines that each line of render() shows."""
+    to = _Lines()
+    _emit(parse(html, marked=True), to, "", 0)
+    to.line()
+    return [{int(n) for n in re.findall("\ue000(\\d+)\ue001", x)} for x in to.out]

@@ -116,6 +116,21 @@ def test_main_content(spark):
     assert body[0].startswith("Ladoro-Mezi residents") and body[50] == "" and body[52] == ""
 
 
+def test_main_text_of_markup(spark):
+    head, foot = "<html><body>\n<nav><a href='/'>Home</a></nav>\n", "<footer>Contact</footer>\n</body></html>"
+    article = "<h1>Mezi residents told to avoid pigs</h1>\n<p>Officials in Mezi said <b>on\nTuesday</b> that pigs were ill.</p>\n"
+    notice = "<div>We use cookies, see our cookie policy to agree.</div>\n"
+    html = head + article + notice + foot
+    plain = "Mezi residents told to avoid pigs\nThe tag <p> begins a block.\nOfficials closed two markets.\nContact"
+    url = "https://h.example/mezi-residents-told-to-avoid-pigs"
+    df = spark.createDataFrame([(1, url, html), (2, url, html.replace("\n", " ")), (3, url, plain)], "page_id long, final_url string, full_text string")
+    body = {r.page_id: r.main_text for r in main_content.main_text(df).collect()}
+    want = "Mezi residents told to avoid pigs\n\nOfficials in Mezi said on Tuesday that pigs were ill."
+    assert body == {1: want, 2: want, 3: plain.removesuffix("\nContact")}
+    got = sorted((r.page_id, r.line_no) for r in main_content.furniture_lines(df).collect())
+    assert got == [(1, 1), (1, 2), (1, 6), (1, 7), (1, 8), (3, 4)]
+
+
 def test_rendering():
     html = "<html><head><title>t</title></head><body><nav hidden>n</nav><h1>Head<p>One <b>two</b><p>Three<script>x</script><ul><li>a<li>b<ul><li>c</ul></ul><table><tr><th>k<td>1<tr><td>long key<td>22</table><div style='display: none'>no</div>end</body>"
     assert render.render(html) == "Head\n\nOne two\n\nThree\n\n- a\n- b\n  - c\n\nk         1\nlong key  22\n\nend"
