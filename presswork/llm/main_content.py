@@ -4,7 +4,7 @@ Pages are rendered to visible blocks (render.py; text that is rendered already h
 put into a tree of banner, article and footer: the article begins at the page's own headline, which names what the last
 part of the page's address names, and ends at its last paragraph or list. Inside it the visibility rules drop what sends
 the reader elsewhere: teasers, headings of link lists, notices. Whether a short line is a subhead or such a heading, and
-whether a sentence is a notice, is learned from the whole corpus: how many pages have the line, and what follows it.
+whether a sentence is a notice, is learned from the whole corpus and from the page's site: how many pages have the line, and what follows it.
 """
 
 from __future__ import annotations
@@ -13,15 +13,17 @@ import re
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from presswork.llm.render import render, source_lines
-from presswork.session import read_table
+from presswork.session import read_table, written
 
 #: A line is recurrent if at least this share of pages, and MIN_PAGES, are different articles with it; so there are at most (mean lines of
-#: a page) / RECURRENT_SHARE recurrent lines, whatever the number of pages, and the table of them can be broadcast.
+#: a page) / RECURRENT_SHARE such lines, whatever the number of pages, and the table of them can be broadcast.
 RECURRENT_SHARE, MIN_PAGES = 0.001, 3
+#: A line is recurrent within a site too if at least this share of the site's articles, and MIN_PAGES, have it.
+SITE_SHARE = 0.01
 #: Share of a recurrent short line's occurrences that must be followed by a paragraph or list for it to be a subhead.
 SUBHEAD_SHARE = 0.85
 MIN_SENTENCE, MAX_SUBHEAD = 4, 8
@@ -170,61 +172,84 @@ def _hash(key: str) -> int:
     return h - (1 << 64) if h >> 63 else h
 
 
-def line_statistics(pages: DataFrame, url: str, text: str) -> DataFrame:
-    """(h, sentence, articles, followed): recurrent lines of the corpus by hash, over all pages.
+def site(url: Column) -> Column:
+    """Host of an address in lower case without "www.", NULL where there is none."""
+    return F.nullif(F.regexp_replace(F.lower(F.regexp_extract(F.trim(url), r"^(?:[a-zA-Z]+:)?//([^/?#]+)", 1)), r"^www\.", ""), F.lit(""))
 
-    A line counts once per article, that is per last part of the address, so that an article copied to a third of all
-    pages makes none of its own sentences recurrent. `followed` counts the articles in which content follows the line.
-    """
+
+def observed(pages: DataFrame, id_col: str, url: str, text: str) -> DataFrame:
+    """(page, site, h, sentence, article, followed): the lines of each page that could recur."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            seen: dict[tuple[int, int, int], int] = {}
-            for u, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            out, at = [[], [], [], [], []], []
+            for i, (u, t) in enumerate(zip(b.column(2).to_pylist(), b.column(3).to_pylist())):
                 if t:
                     tree = PageTree(t, u)
                     article = _hash(" ".join(tree.slug) or t)
                     for key, sentence, followed in tree.observations():
-                        at = (_hash(key), sentence, article)
-                        seen[at] = max(seen.get(at, 0), followed)
-            keys = list(seen)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int32()), pa.array([k[2] for k in keys], pa.int64()), pa.array(list(seen.values()), pa.int32())],
-                names=["h", "sentence", "article", "followed"],
-            )
-
-    each = pages.select(url, text).mapInArrow(run, "h long, sentence int, article long, followed int")
-    each = each.groupBy("h", "sentence", "article").agg(F.max("followed").alias("followed"))
-    sums = each.groupBy("h", "sentence").agg(F.count(F.lit(1)).alias("articles"), F.sum("followed").alias("followed"))
+                        at.append(i)
+                        for values, v in zip(out, (_hash(key), sentence, article, followed)):
+                            values.append(v)
+            rows = pa.array(at, pa.int64())
+            columns = [b.column(0).take(rows), b.column(1).take(rows)] + [pa.array(v, k) for v, k in zip(out, (pa.int64(), pa.int32(), pa.int64(), pa.int32()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["page", "site", "h", "sentence", "article", "followed"])
+
+    kind = dict(pages.dtypes)[id_col]
+    rows = pages.select(F.col(id_col).alias("page"), site(F.col(url)).alias("site"), url, text)
+    return rows.mapInArrow(run, f"page {kind}, site string, h long, sentence int, article long, followed int")
+
+
+def _sums(each: DataFrame, by: list[str]) -> DataFrame:
+    """A line counts once per article, that is per last part of the address, so that an article copied to a third of all
+    pages makes none of its own sentences recurrent. `followed` counts the articles in which content follows the line."""
+    once = each.groupBy(*by, "h", "sentence", "article").agg(F.max("followed").alias("followed"))
+    return once.groupBy(*by, "h", "sentence").agg(F.count(F.lit(1)).alias("articles"), F.sum("followed").alias("followed")).where(F.col("articles") >= MIN_PAGES)
+
+
+def line_statistics(each: DataFrame, pages: DataFrame, text: str) -> DataFrame:
+    """(h, sentence, articles, followed): recurrent lines of the corpus by hash, over all pages."""
     total = pages.where(F.length(F.trim(F.coalesce(F.col(text), F.lit("")))) > 0).agg(F.count(F.lit(1)).alias("total"))
-    least = F.greatest(F.lit(MIN_PAGES), F.col("total") * F.lit(RECURRENT_SHARE))
-    return sums.where(F.col("articles") >= MIN_PAGES).join(F.broadcast(total)).where(F.col("articles") >= least).drop("total")
+    return _sums(each, []).join(F.broadcast(total)).where(F.col("articles") >= F.col("total") * F.lit(RECURRENT_SHARE)).drop("total")
 
 
-def _known_lines(pages: DataFrame, url: str, text: str):
-    """The broadcast sets (notices, subheads, recurrent short lines) of the pages."""
-    stats = line_statistics(pages, url, text).collect()  # bounded by RECURRENT_SHARE, see there
-    notices = {r["h"] for r in stats if r["sentence"]}
-    recurrent = {r["h"] for r in stats if not r["sentence"]}
-    subheads = {r["h"] for r in stats if not r["sentence"] and r["followed"] >= SUBHEAD_SHARE * r["articles"]}
-    return pages.sparkSession.sparkContext.broadcast((notices, subheads, recurrent))
+def site_statistics(each: DataFrame) -> DataFrame:
+    """(site, h, sentence, articles, followed): recurrent lines of each site, over its own articles."""
+    known = each.where("site IS NOT NULL")
+    totals = known.select("site", "article").distinct().groupBy("site").agg(F.count(F.lit(1)).alias("total"))
+    return _sums(known, ["site"]).join(totals, "site").where(F.col("articles") >= F.col("total") * F.lit(SITE_SHARE)).drop("total")
 
 
 def _per_page(pages: DataFrame, id_col: str, url: str, text: str, of: Callable, column: str, arrow: pa.DataType) -> DataFrame:
     """(id, column): a row for each value that of(tree, notices, subheads, recurrent) gives; tree is None without text."""
-    shared = _known_lines(pages, url, text)
+    each = written(observed(pages, id_col, url, text), "observed")
+    stats = line_statistics(each, pages, text).collect()  # bounded by RECURRENT_SHARE, see there
+    notices = {r["h"] for r in stats if r["sentence"]}
+    recurrent = {r["h"] for r in stats if not r["sentence"]}
+    subheads = {r["h"] for r in stats if not r["sentence"] and r["followed"] >= SUBHEAD_SHARE * r["articles"]}
+    shared = pages.sparkSession.sparkContext.broadcast((notices, subheads, recurrent))
+    # recurrent lines of sites have no small bound: they are joined by key and reach a page as its own few
+    kinds = F.when(F.col("sentence") == 1, 0).when(F.col("followed") >= SUBHEAD_SHARE * F.col("articles"), 1).otherwise(2)
+    own = site_statistics(each).select("site", "h", "sentence", kinds.alias("kind"))
+    hits = each.select("page", "site", "h", "sentence").join(own, ["site", "h", "sentence"])
+    hits = hits.groupBy("page").agg(*[F.collect_set(F.when(F.col("kind") == k, F.col("h"))).alias(f"__site{k}") for k in range(3)])
     kind = dict(pages.dtypes)[id_col]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ids, out = [], []
-            for key, u, t in zip(*[c.to_pylist() for c in b.columns]):
-                got = of(PageTree(t, u) if t else None, *shared.value)
+            notices, subheads, recurrent = shared.value
+            for key, u, t, *site_lines in zip(*[c.to_pylist() for c in b.columns]):
+                n, s, r = (set(x or ()) for x in site_lines)
+                # the whole corpus judges the short lines it knows
+                of_site = (notices | n, subheads | (s - recurrent), recurrent | r) if n or s or r else shared.value
+                got = of(PageTree(t, u) if t else None, *of_site)
                 ids += [key] * len(got)
                 out += got
             yield pa.RecordBatch.from_arrays([pa.array(ids, b.schema.field(0).type), pa.array(out, arrow)], names=[id_col, column])
 
-    return pages.select(id_col, url, text).mapInArrow(run, f"`{id_col}` {kind}, {column} {'int' if arrow == pa.int32() else 'string'}")
+    rows = pages.select(id_col, url, text).join(hits, F.col(id_col) == F.col("page"), "left").drop("page")
+    return rows.mapInArrow(run, f"`{id_col}` {kind}, {column} {'int' if arrow == pa.int32() else 'string'}")
 
 
 def furniture_lines(pages: DataFrame, id_col: str = "page_id", url: str = "final_url", text: str = "full_text") -> DataFrame:

@@ -131,6 +131,18 @@ def test_main_text_of_markup(spark):
     assert got == [(1, 1), (1, 2), (1, 6), (1, 7), (1, 8), (3, 4)]
 
 
+def test_notice_of_a_small_site_in_a_large_corpus(spark):
+    notice = "Subscribers of the Pebu Herald read more every single day."
+    rows = []
+    for i in range(30_000):
+        word = "".join(chr(97 + int(d)) for d in f"{i:05d}")
+        host = "www.pebu.example" if i < 25 else f"h{i % 900}.example"
+        lines = [f"Story of {word} ends", "", f"The {word} was seen in town today.", *([notice] if i < 25 else []), f"Last word on {word} came from the mayor."]
+        rows.append((i, f"https://{host}/a/story-of-{word}-ends", "\n".join(lines)))
+    df = spark.createDataFrame(rows, "page_id long, final_url string, full_text string").repartition(4)
+    assert {(r.page_id, r.line_no) for r in main_content.furniture_lines(df).collect()} == {(i, 4) for i in range(25)}
+
+
 def test_rendering():
     html = "<html><head><title>t</title></head><body><nav hidden>n</nav><h1>Head<p>One <b>two</b><p>Three<script>x</script><ul><li>a<li>b<ul><li>c</ul></ul><table><tr><th>k<td>1<tr><td>long key<td>22</table><div style='display: none'>no</div>end</body>"
     assert render.render(html) == "Head\n\nOne two\n\nThree\n\n- a\n- b\n  - c\n\nk         1\nlong key  22\n\nend"
