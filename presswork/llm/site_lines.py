@@ -1,8 +1,8 @@
 """Problem 2: lines that a site repeats over and over are found from incremental per-source line counts and removed.
 
 State are two tables: articles per source, and articles per (source, line). A new partition adds its own counts as a
-delta; lines whose share crosses the threshold are compared before and after the merge, and only articles that hold a
-newly crossed line are rebuilt. Lines are one if they differ only in case, digits, white space, closing punctuation.
+delta; lines whose share crosses the threshold, upwards or downwards, are found by comparing before and after the merge,
+and only articles that hold such a line, and the new ones that hold a line over it, are rebuilt. Lines are one if they differ only in case, digits, white space, closing punctuation.
 """
 
 from __future__ import annotations
@@ -14,6 +14,8 @@ from presswork.session import read_table, written
 
 MIN_ARTICLES = 6
 MIN_SHARE = 0.2
+#: Partitions in which the queries take their table.
+PARTITIONS = 3
 
 _SPACE = r"[\s\p{Z}\x{1C}-\x{1F}\x{200B}\x{FEFF}]"
 
@@ -76,6 +78,8 @@ class LineCounts:
         self.sources: DataFrame | None = None
         self.lines: DataFrame | None = None
         self.crossed: DataFrame | None = None
+        #: (domain, h) that the last partition brought below the threshold
+        self.fallen: DataFrame | None = None
 
     def add(self, rows: DataFrame) -> DataFrame:
         """Merge the delta of hashed() rows; returns the (domain, h) that crossed the threshold by it."""
@@ -85,6 +89,7 @@ class LineCounts:
         self.lines = written(merge(self.lines, new_lines, ["domain", "h"]), "lines")
         now = written(over_threshold(self.sources, self.lines, self.min_articles, self.min_share), "crossed")
         newly = now if self.crossed is None else now.join(self.crossed, ["domain", "h"], "left_anti")
+        self.fallen = now.limit(0) if self.crossed is None else self.crossed.join(now, ["domain", "h"], "left_anti")
         self.crossed = now
         return newly
 
@@ -99,32 +104,51 @@ class LineCounts:
         return hit.select("article_id", (F.col("pos") + 1).cast("int").alias("line_no"))
 
     def rebuild(self, articles: DataFrame, newly: DataFrame, id_col: str = "article_id", text: str = "full_text") -> DataFrame:
-        """Articles that hold a newly crossed line, with their text without all lines over the threshold."""
+        """Articles that hold a line which crossed, upwards or downwards, with their text without all lines over the threshold."""
         rows = hashed(articles, id_col, "domain", text)
-        touched = self.occurrences(rows, newly).select("article_id").distinct()
+        changed = newly if self.fallen is None else newly.unionByName(self.fallen)
+        touched = self.occurrences(rows, changed).select("article_id").distinct()
         drop = self.occurrences(rows.join(touched, "article_id", "left_semi")).groupBy("article_id").agg(F.collect_set("line_no").alias("__drop"))
-        parts = F.filter(F.split(F.col(text), "\n", -1), lambda x, i: ~F.array_contains("__drop", i + 1))
-        base = articles.select(F.col(id_col).alias("article_id"), text)
-        return base.join(drop, "article_id").select("article_id", F.array_join(parts, "\n").alias(text))
+        none = F.array().cast("array<int>")
+        parts = F.filter(F.split(F.col(text), "\n", -1), lambda x, i: ~F.array_contains(F.coalesce("__drop", none), i + 1))
+        base = articles.select(F.col(id_col).alias("article_id"), text).join(touched, "article_id", "left_semi")
+        return base.join(drop, "article_id", "left").select("article_id", F.array_join(parts, "\n").alias(text))
+
+
+def _partitions(articles: DataFrame) -> list[DataFrame]:
+    return [articles.where(F.pmod(F.xxhash64("article_id"), F.lit(PARTITIONS)) == k) for k in range(PARTITIONS)]
+
+
+def cleaned(parts: list[DataFrame]) -> DataFrame:
+    """(article_id, clean_text) after the partitions have come one by one; what a partition's crossings touch is rebuilt."""
+    counts, seen, state = LineCounts(), None, None
+    for part in parts:
+        newly = counts.add(hashed(part))
+        # a new article may hold lines that crossed earlier
+        rows = hashed(part)
+        drop = counts.occurrences(rows).groupBy("article_id").agg(F.collect_set("line_no").alias("__drop"))
+        kept = F.filter(F.split(F.col("full_text"), "\n", -1), lambda x, i: ~F.array_contains("__drop", i + 1))
+        fresh = part.join(drop, "article_id", "left").select("article_id", F.when(F.col("__drop").isNull(), F.col("full_text")).otherwise(F.array_join(kept, "\n")).alias("clean_text"))
+        if state is None:
+            state, seen = written(fresh, "cleaned"), part
+            continue
+        rebuilt = counts.rebuild(seen, newly).select("article_id", F.col("full_text").alias("__new"), F.lit(True).alias("__hit"))
+        old = state.join(rebuilt, "article_id", "left").select("article_id", F.when(F.col("__hit"), F.col("__new")).otherwise(F.col("clean_text")).alias("clean_text"))
+        state, seen = written(old.unionByName(fresh), "cleaned"), seen.unionByName(part)
+    return state
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     articles = read_table(spark, sf_dir, "fulltext").select("article_id", "domain", "full_text")
-    rows = hashed(articles)
     counts = LineCounts()
-    counts.add(rows)
-    return counts.occurrences(rows)
+    for part in _partitions(articles):
+        counts.add(hashed(part))
+    return counts.occurrences(hashed(articles))
 
 
 def p2_cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every article without its site's lines; articles without a source or text come out as they are."""
-    articles = read_table(spark, sf_dir, "fulltext").select("article_id", "domain", "full_text")
-    counts = LineCounts()
-    newly = counts.add(hashed(articles))
-    rebuilt = counts.rebuild(articles, newly).withColumnRenamed("full_text", "__clean").withColumn("__hit", F.lit(True))
-    return articles.join(rebuilt, "article_id", "left").select(
-        "article_id", F.when(F.col("__hit"), F.col("__clean")).otherwise(F.col("full_text")).alias("clean_text")
-    )
+    return cleaned(_partitions(read_table(spark, sf_dir, "fulltext").select("article_id", "domain", "full_text")))
 
 
 QUERIES = {"p2_found": p2_found, "p2_cleaned": p2_cleaned}

@@ -46,6 +46,15 @@ def test_site_lines_merge_equals_one_pass(spark):
     assert {tuple(r) for r in whole.crossed.collect()} == {tuple(r) for r in parts.crossed.collect()}
 
 
+def test_site_lines_partitions_equal_one_run(spark):
+    # a line of 6 of 20 articles falls to 6 of 100 by the next partition; another crosses only then
+    first = [(i, "s.example", f"own {chr(97 + i)}\nShare this" if i < 6 else f"own {chr(97 + i)}\nLate line" if i < 9 else "Late line" if i < 11 else "body") for i in range(20)]
+    second = [(100 + i, "s.example", f"text {chr(97 + i % 26)}{chr(97 + i // 26)}" + ("\nLate line" if i < 40 else "")) for i in range(80)]
+    parts, whole = [articles(spark, first), articles(spark, second)], articles(spark, first + second)
+    got, want = ({r.article_id: r.clean_text for r in site_lines.cleaned(p).collect()} for p in (parts, [whole]))
+    assert got == want and got[0] == "own a\nShare this" and got[6] == "own g" and got[9] == "" and got[100] == "text aa"
+
+
 RESIDUE = ["{{ article.title }}", "Hi {name}, {{{x}}}", "by %AUTHOR_NAME% today", "in #{region_name} now", "[object Object]", "Lorem ipsum dolor eget gravida nullam sit amet.", "Error 404 - Page gone", "503 Service Temporarily Unavailable",
            "Please enable JavaScript and reload the page", "Votre navigateur doit autoriser les scripts", "Access denied. Reference 9af3", "Loading...", "[INSERT PLACE NAME]", "TK TK figures TK", "Your headline goes here", "@@SUMMARY@@"]
 PROSE = ["The portal showed an error 404 page, officials said.", '"The strain {clade 2.5} is new [sic] to us," they wrote.', "Aid of $14 million, about 12% of it.", "The registry asks farmers to enable scripts and cookies in the browser.", "404 herds were visited.",
