@@ -74,6 +74,12 @@ def threshold_tuning(spark, d):
     return ev.tune(_votes(spark, d), _labels(spark, d), "item", grid, [0.4, 0.5, 0.6], [0.34, 0.67]).select("candidate", "threshold", "agreement", "precision", "recall", "f1")
 
 
+def threshold_tuning_full(spark, d):
+    """The reference's whole grid, 225 candidates; threshold_tuning keeps the 36 that its SQL names."""
+    grid = ev.weight_grid(MODELS, 0.25)
+    return ev.tune(_votes(spark, d), _labels(spark, d), "item", grid, [0.65, 0.7, 0.75, 0.8, 0.85], [0.34, 0.67, 1.0]).select("candidate", "threshold", "agreement", "precision", "recall", "f1")
+
+
 def model_run_summary(spark, d):
     return _votes(spark, d).groupBy("alias").agg(F.min("item").alias("first_item"), F.sum(F.col("vote").cast("int")).cast("bigint").alias("positive"), F.round(F.avg("p"), 6).alias("mean_p"))
 
@@ -284,7 +290,7 @@ def log_sessionize(spark, d):
 QUERIES = {
     f.__name__: f
     for f in (
-        ensemble_vote, confusion_metrics, per_run_metrics, brier, ece, auprc, threshold_tuning, model_run_summary, agreement_summary, majority_vote,
+        ensemble_vote, confusion_metrics, per_run_metrics, brier, ece, auprc, threshold_tuning, threshold_tuning_full, model_run_summary, agreement_summary, majority_vote,
         label_counts, krippendorff_alpha, alpha_bootstrap, cohen_kappa, overlap_pairwise, overlap_summary, membership_patterns, jaccard_matrix,
         variant_counts, peak_weeks, sample_split, stratified_sample, bootstrap_samples, batch_overlap, build_groups, shortest_label, harmonize_groups,
         adjudicate, pair_similarity, ngram_counts, ctfidf, topic_keywords, mmr_keywords, topic_summary, kmeans_topics, projection_2d, null_rates,

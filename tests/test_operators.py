@@ -92,3 +92,25 @@ def test_overlap_of_empty_and_full(spark):
     assert (s.sum_variant_articles, s.union_articles, s.best_single_variant, s.shared_all_articles, s.exclusive_articles) == (3, 2, "a", 1, 1)
     assert overlap.pairwise(df, ["g"], "v", "k").first().jaccard == 0.5
     assert overlap.summary(df.limit(0), ["g"], "v", "k").count() == 0
+
+
+def test_full_tuning_grid_against_brute_force(spark, sf):
+    from presswork.plans import analysis_queries as aq
+
+    votes = {}
+    for r in aq._votes(spark, sf).collect():
+        votes.setdefault(r.item, {})[r.alias] = (r.p, r.vote)
+    truth = {r.item: r.truth for r in aq._labels(spark, sf).collect()}
+    cands = [(w, t, a) for w in evaluation.weight_grid(aq.MODELS, 0.25) for t in (0.65, 0.7, 0.75, 0.8, 0.85) for a in (0.34, 0.67, 1.0)]
+    assert len(cands) == 225
+    best = None
+    for i, (w, t, a) in enumerate(cands):
+        used = [m for m in aq.MODELS if w[m] > 0]
+        hit = {k: round(sum(w[m] * v[m][0] for m in used), 9) >= t and round(sum(v[m][1] for m in used) / len(used), 9) >= a for k, v in votes.items()}
+        tp, n, pos = sum(hit[k] and truth[k] for k in hit), sum(hit.values()), sum(truth.values())
+        p, r = tp / n if n else 0.0, tp / pos
+        f1 = round(2 * p * r / (p + r), 4) if p + r else 0.0
+        key = (round(r, 4) >= 0.85, f1, round(r, 4), t, a, -i)
+        best = max(best or key, key)
+    got = aq.threshold_tuning_full(spark, sf).first()
+    assert (got.candidate, got.threshold, got.agreement, got.f1) == (-best[5], best[3], best[4], best[1])
