@@ -202,7 +202,16 @@ def pair_similarity(spark, d):
 
 
 def ngram_counts(spark, d):
-    docs = read_table(spark, d, "documents").select("lang", "text").where("lang IN ('en', 'fr')")
+    return _ngrams(read_table(spark, d, "documents").select("lang", "text").where("lang IN ('en', 'fr')"))
+
+
+def ngram_counts_all(spark, d):
+    """Of all labels, missing ones as their own group; ngram_counts keeps the two that its SQL names."""
+    lang = F.coalesce(F.nullif(F.trim("lang"), F.lit("")), F.lit("(missing)"))
+    return _ngrams(read_table(spark, d, "documents").select(lang.alias("lang"), "text"))
+
+
+def _ngrams(docs):
     docs = docs.select("lang", topics.content_words(F.col("text")).alias("w"))
     t = docs.select("lang", F.explode(topics.ngrams(F.col("w"), 2)).alias("term"))
     return t.groupBy("lang", "term").agg(F.count(F.lit(1)).alias("tf")).where("tf >= 20")
@@ -293,7 +302,7 @@ QUERIES = {
         ensemble_vote, confusion_metrics, per_run_metrics, brier, ece, auprc, threshold_tuning, threshold_tuning_full, model_run_summary, agreement_summary, majority_vote,
         label_counts, krippendorff_alpha, alpha_bootstrap, cohen_kappa, overlap_pairwise, overlap_summary, membership_patterns, jaccard_matrix,
         variant_counts, peak_weeks, sample_split, stratified_sample, bootstrap_samples, batch_overlap, build_groups, shortest_label, harmonize_groups,
-        adjudicate, pair_similarity, ngram_counts, ctfidf, topic_keywords, mmr_keywords, topic_summary, kmeans_topics, projection_2d, null_rates,
+        adjudicate, pair_similarity, ngram_counts, ngram_counts_all, ctfidf, topic_keywords, mmr_keywords, topic_summary, kmeans_topics, projection_2d, null_rates,
         value_share, length_describe, top_errors, hotspots, scan_overview, stage_summary, status_breakdown, deepest_stage, log_sessionize,
     )
 }

@@ -45,14 +45,27 @@ def serialize_arrays(spark, d):
 
 
 def extractive_summary(spark, d):
-    """The three best sentences of each document in their order; a sentence scores by keywords, punctuation and length."""
-    t = read_table(spark, d, "documents").where("lang = 'en' AND text IS NOT NULL").select("doc_id", F.split(text.normalize_ws(F.col("text")), r"(?<=[.!?]) ").alias("s"))
+    return summaries(read_table(spark, d, "documents"))
+
+
+def summaries(documents, budget=6000):
+    """The three best sentences of each document in their order; a sentence scores by keywords, punctuation and length.
+
+    The first sentence that would exceed the budget of characters ends the summary; if it is the first of all, the summary
+    is the beginning of the text.
+    """
+    t = documents.where("text IS NOT NULL").select("doc_id", F.split(text.normalize_ws(F.col("text")), r"(?<=[.!?]) ").alias("s"))
     one = t.select("doc_id", F.posexplode("s").alias("pos", "sentence")).where("sentence <> ''")
     kw = F.regexp_count(F.lower("sentence"), F.lit("samples|deaths|virus|outbreak|market"))
     score = 2 * kw + 0.15 * F.regexp_count("sentence", F.lit("[,;:]")) + F.least(F.length("sentence"), F.lit(260)) / 260
     ranked = reports.Window.partitionBy("doc_id").orderBy(F.round(F.col("score"), 9).desc(), "pos")
     best = one.withColumn("score", score).withColumn("n", F.row_number().over(ranked)).where("n <= 3")
-    return best.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "sentence"))), lambda x: x["sentence"]), " ").alias("summary"))
+    run = F.sum(F.length("sentence") + 1).over(reports.Window.partitionBy("doc_id").orderBy("pos"))
+    fits = F.when(run <= budget, F.struct("pos", "sentence"))
+    out = best.withColumn("fits", fits).groupBy("doc_id").agg(F.array_sort(F.collect_list("fits")).alias("f"))
+    whole = F.array_join(F.transform("f", lambda x: x["sentence"]), " ")
+    cut = out.where(F.size("f") == 0).select("doc_id").join(documents, "doc_id").select("doc_id", F.left("text", F.lit(budget)).alias("summary"))
+    return out.where(F.size("f") > 0).select("doc_id", whole.alias("summary")).unionByName(cut)
 
 
 def rss_pipeline(spark, d):

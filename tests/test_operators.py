@@ -114,3 +114,16 @@ def test_full_tuning_grid_against_brute_force(spark, sf):
         best = max(best or key, key)
     got = aq.threshold_tuning_full(spark, sf).first()
     assert (got.candidate, got.threshold, got.agreement, got.f1) == (-best[5], best[3], best[4], best[1])
+
+
+def test_summaries_and_ngrams_of_all_labels(spark, sf):
+    from presswork.plans import analysis_queries, record_queries
+
+    rows = [(1, None, "One is here. Two, two. Three it is. Four."), (2, "es", "Uno. Dos."), (3, "en", "x" * 50), (4, "en", None)]
+    df = spark.createDataFrame(rows, "doc_id long, lang string, text string")
+    got = {r.doc_id: r.summary for r in record_queries.summaries(df, 24).collect()}
+    assert got == {1: "One is here. Two, two.", 2: "Uno. Dos.", 3: "x" * 24}
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    assert record_queries.extractive_summary(spark, sf).count() == docs.where("trim(text) <> ''").count()
+    labels = {r.lang for r in analysis_queries.ngram_counts_all(spark, sf.replace("sf0.001", "sf0.01")).select("lang").distinct().collect()}
+    assert {"en", "fr", "es", "pt", "(missing)"} <= labels
