@@ -8,7 +8,7 @@ more than its bound, and the survivors are verified on their token sets. Neither
 
 Pairs meet by keys. Short sets use the two-token prefix filter, which loses no pair: with tokens ordered from rare to
 frequent, sets that share o tokens share two within their first n - o + 2. Long sets, where every pair of prefix tokens
-would be too many keys, use unweighted minwise hashes in bands of four: whether two sets meet depends on their similarity
+would be too many keys, use unweighted minwise hashes in bands of five: whether two sets meet depends on their similarity
 alone, not on how many records hold their tokens. Equal sets are one class from the start and are opened to their records
 last.
 """
@@ -16,7 +16,6 @@ last.
 from __future__ import annotations
 
 import itertools
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,14 +29,16 @@ from presswork.session import read_table, written
 #: Buckets of the table of token counts: its size is fixed. Tokens that share a bucket share a place in the order, which
 #: costs candidates but no result.
 COUNT_BUCKETS = 1 << 18
-#: Bands of minwise hashes for long sets, hashes of a band, and bands a pair must share. With q = s ** BAND_HASHES a pair
-#: of similarity s is missed with probability (1 - q) ** BANDS + BANDS * q * (1 - q) ** (BANDS - 1): 1.2e-6 at 1/2, 1e-14
-#: at 0.6, whatever the number of records that hold its tokens.
-BANDS, BAND_HASHES, SHARED_BANDS = 256, 4, 2
+#: Bands of minwise hashes for long sets and hashes of a band. A pair of similarity s is missed with probability
+#: (1 - s ** BAND_HASHES) ** BANDS: 3.0e-4 at 1/2, 1.8e-6 at 0.55, 1e-9 at 0.6, whatever the number of records that hold
+#: its tokens. Five hashes keep pairs of similarity 0.2, of which a corpus of one subject has far more, to one in 12.
+BANDS, BAND_HASHES = 256, 5
 #: Sets from this size on use single prefix tokens as keys instead of pairs of them.
 PAIR_KEYS_BELOW = 40
 FOLD_BITS = 512
 WORDS_KEPT = 500_000
+#: Records whose tokens are in memory at a time.
+SLICE = 2000
 
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -61,30 +62,47 @@ class Tokens:
 
         self.find = regex.compile(r"[\p{L}\p{Nd}]+").findall
         self.hash = xxhash.xxh64_intdigest
-        self.run, self.least = run, least_words
+        self.run, self.least = run, max(least_words, run)
         self.known: dict[str, int] = {}
 
     def __call__(self, text: str | None) -> np.ndarray | None:
         """Sorted distinct 64-bit hashes; None where the text has no tokens."""
-        words = self.find(text.lower()) if text else []
-        if len(words) < max(self.least, self.run):
-            return None
-        if len(self.known) > WORDS_KEPT:
-            self.known.clear()
-        known, out = self.known, []
-        for w in words:
-            h = known.get(w)
-            if h is None:
-                h = known[w] = self.hash(w)
-            out.append(h)
-        h = np.array(out, dtype=np.uint64)
-        if self.run > 1:
+        _, tokens, bounds = self.sets([text])
+        return tokens if len(bounds) > 1 else None
+
+    def sets(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(places of the texts that have tokens, their sorted distinct hashes one set after the other, bounds of the sets)."""
+        known, hash_of = self.known, self.hash
+        if len(known) > WORDS_KEPT:
+            known.clear()
+        at, sizes, flat = [], [], []
+        for i, text in enumerate(texts):
+            words = self.find(text.lower()) if text else []
+            if len(words) < self.least:
+                continue
+            at.append(i)
+            sizes.append(len(words))
+            for w in words:
+                h = known.get(w)
+                if h is None:
+                    h = known[w] = hash_of(w)
+                flat.append(h)
+        h = np.array(flat, dtype=np.uint64)
+        owner = np.repeat(np.arange(len(at)), sizes)
+        if self.run > 1 and len(at):
             n = len(h) - self.run + 1
             acc = np.zeros(n, dtype=np.uint64)
             for i in range(self.run):
                 acc = _mix(acc * _M1 + h[i : i + n])
-            h = acc
-        return np.unique(h)
+            inside = owner[:n] == owner[self.run - 1 :]
+            h, owner = acc[inside], owner[:n][inside]
+        order = np.lexsort((h, owner))
+        h, owner = h[order], owner[order]
+        if len(h):
+            first = np.concatenate([[True], (h[1:] != h[:-1]) | (owner[1:] != owner[:-1])])
+            h, owner = h[first], owner[first]
+        bounds = np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=len(at)))])
+        return np.array(at, dtype=np.int64), h, bounds
 
 
 def _buckets(tokens: np.ndarray) -> np.ndarray:
@@ -97,9 +115,9 @@ def token_counts(records: DataFrame, text: str, run: int, least_words: int) -> n
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens, total = Tokens(run, least_words), np.zeros(COUNT_BUCKETS, dtype=np.int64)
         for b in batches:
-            found = [t for t in map(tokens, b.column(0).to_pylist()) if t is not None]
-            if found:
-                total += np.bincount(_buckets(np.concatenate(found)), minlength=COUNT_BUCKETS)
+            texts = b.column(0).to_pylist()
+            for lo in range(0, len(texts), SLICE):
+                total += np.bincount(_buckets(tokens.sets(texts[lo : lo + SLICE])[1]), minlength=COUNT_BUCKETS)
         at = np.nonzero(total)[0]
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], names=["bucket", "n"])
 
@@ -110,22 +128,38 @@ def token_counts(records: DataFrame, text: str, run: int, least_words: int) -> n
     return out
 
 
-def prefix_keys(tokens: np.ndarray, counts: np.ndarray, threshold: float) -> np.ndarray:
-    """Keys by which every other set of similarity >= threshold meets this one, for sets that differ."""
-    n = len(tokens)
-    if n < 3:
-        return np.zeros(0, dtype=np.int64)  # sets so small are similar only if equal, for thresholds above 2/3
-    order = np.lexsort((tokens, counts[_buckets(tokens)]))
+def prefix_keys(tokens: np.ndarray, bounds: np.ndarray, counts: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """(owners, keys): keys by which every other set of similarity >= threshold meets each set, for sets that differ.
+
+    Sets of fewer than three tokens have none: for thresholds above 2/3 they are similar only if equal.
+    """
+    n = np.diff(bounds)
+    owner = np.repeat(np.arange(len(n)), n)
+    order = np.lexsort((tokens, counts[_buckets(tokens)], owner))
     ranked = tokens[order]
-    keys = []
-    base = n - math.ceil(threshold * n - 1e-9)
-    if n < PAIR_KEYS_BELOW:
-        head = np.sort(ranked[: base + 2])
-        i, j = np.triu_indices(len(head), 1)
-        keys.append(_mix(head[i] * _M1 + head[j]))
-    if n >= PAIR_KEYS_BELOW * threshold:
-        keys.append(_mix(ranked[: base + 1] + _M1))
-    return np.concatenate(keys).view(np.int64)
+    base = n - np.ceil(threshold * n - 1e-9).astype(np.int64)
+    owners, keys = [], []
+    pairs = np.nonzero((n >= 3) & (n < PAIR_KEYS_BELOW))[0]
+    if len(pairs):
+        size = np.minimum(base[pairs] + 2, n[pairs])
+        place = np.arange(size.max())
+        inside = place[None, :] < size[:, None]
+        head = np.full(inside.shape, np.iinfo(np.uint64).max, dtype=np.uint64)
+        head[inside] = ranked[(bounds[:-1][pairs][:, None] + place)[inside]]
+        head.sort(axis=1)
+        for i, j in itertools.combinations(place.tolist(), 2):
+            has = size > j
+            owners.append(pairs[has])
+            keys.append(_mix(head[has, i] * _M1 + head[has, j]))
+    single = np.nonzero((n >= 3) & (n >= PAIR_KEYS_BELOW * threshold))[0]
+    for s in single.tolist():
+        owners.append(np.full(base[s] + 1, s))
+        keys.append(_mix(ranked[bounds[s] : bounds[s] + base[s] + 1] + _M1))
+    if not keys:
+        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+    owners, keys = np.concatenate(owners), np.concatenate(keys)
+    order = np.argsort(owners, kind="stable")
+    return owners[order], keys[order].view(np.int64)
 
 
 class BandKeys:
@@ -133,9 +167,9 @@ class BandKeys:
 
     def __init__(self):
         self.seeds = (_mix(np.arange(1, BAND_HASHES * BANDS + 1, dtype=np.uint64) * _M1) >> np.uint64(32)).astype(np.uint32)
-        self.bands = np.arange(BANDS, dtype=np.uint64)
 
     def __call__(self, tokens: np.ndarray) -> np.ndarray:
+        """One 32-bit key for each band, to be told apart by the band's number."""
         low = (_mix(tokens) >> np.uint64(32)).astype(np.uint32)
         step = max(1, 16_384 // len(tokens))  # few functions at a time, so that their values stay in the cache
         least = []
@@ -145,16 +179,19 @@ class BandKeys:
             x ^= x >> np.uint32(13)
             x *= np.uint32(0xC2B2AE35)
             least.append(x.min(axis=1))
-        key = self.bands
+        key = np.zeros(BANDS, dtype=np.uint64)
         for h in np.concatenate(least).astype(np.uint64).reshape(BANDS, BAND_HASHES).T:
             key = _mix(key * _M1 + h)
-        return key.view(np.int64)
+        return (key >> np.uint64(32)).astype(np.uint32).view(np.int32)
 
 
-def _folded(tokens: np.ndarray, bits: int) -> np.ndarray:
-    """The set folded into bits: each token flips one."""
+def _folded(tokens: np.ndarray, bounds: np.ndarray, bits: int) -> np.ndarray:
+    """The sets folded into bits: each token flips one. A row of longs for each set."""
+    sets = len(bounds) - 1
     at = (_mix(tokens) >> np.uint64(20)) % np.uint64(bits)
-    return np.packbits((np.bincount(at.astype(np.int64), minlength=bits) & 1).astype(np.uint8)).view(np.int64)
+    owner = np.repeat(np.arange(sets), np.diff(bounds))
+    flips = np.bincount(owner * bits + at.astype(np.int64), minlength=sets * bits).reshape(sets, bits)
+    return np.packbits((flips & 1).astype(np.uint8), axis=1).view(np.int64)
 
 
 def features(records: DataFrame, id_col: str, text: str, threshold: float, run: int, least_words: int, long_sets: bool) -> DataFrame:
@@ -166,29 +203,31 @@ def features(records: DataFrame, id_col: str, text: str, threshold: float, run:
         tokens = Tokens(run, least_words)
         band = BandKeys() if long_sets else None
         for b in batches:
-            ids, n, s1, s2, fold, keys = [], [], [], [], [], []
-            for key, t in zip(b.column(0).to_pylist(), map(tokens, b.column(1).to_pylist())):
-                if t is None:
+            texts = b.column(1).to_pylist()
+            for lo in range(0, len(texts), SLICE):
+                at, t, bounds = tokens.sets(texts[lo : lo + SLICE])
+                if not len(at):
                     continue
-                ids.append(key)
-                n.append(len(t))
-                m = _mix(t + _M1)
-                s1.append(int(np.bitwise_xor.reduce(m).view(np.int64)))
-                s2.append(int(np.add.reduce(m * _M2).view(np.int64)))
-                fold.append(_folded(t, bits))
-                keys.append(band(t) if band else prefix_keys(t, shared.value, threshold))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.int64()), pa.array(n, pa.int32()), pa.array(s1, pa.int64()), pa.array(s2, pa.int64()), _lists(fold), _lists(keys)],
-                names=["id", "n", "s1", "s2", "fold", "keys"],
-            )
+                m, starts = _mix(t + _M1), bounds[:-1]
+                if band:
+                    keys = _lists(np.concatenate([band(t[x:y]) for x, y in zip(starts, bounds[1:])]), np.full(len(at), BANDS))
+                else:
+                    owners, values = prefix_keys(t, bounds, shared.value, threshold)
+                    keys = _lists(values, np.bincount(owners, minlength=len(at)))
+                columns = [
+                    b.column(0).take(pa.array(at + lo)), pa.array(np.diff(bounds).astype(np.int32)),
+                    pa.array(np.bitwise_xor.reduceat(m, starts).view(np.int64)), pa.array(np.add.reduceat(m * _M2, starts).view(np.int64)),
+                    _lists(_folded(t, bounds, bits).ravel(), np.full(len(at), bits // 64)), keys,
+                ]
+                yield pa.RecordBatch.from_arrays(columns, names=["id", "n", "s1", "s2", "fold", "keys"])
 
-    return records.select(F.col(id_col).cast("long").alias("id"), text).mapInArrow(compute, "id long, n int, s1 long, s2 long, fold array<long>, keys array<long>")
+    kind = "int" if long_sets else "long"
+    return records.select(F.col(id_col).cast("long").alias("id"), text).mapInArrow(compute, f"id long, n int, s1 long, s2 long, fold array<long>, keys array<{kind}>")
 
 
-def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
-    offsets = np.concatenate([[0], np.cumsum([len(a) for a in arrays])]).astype(np.int32)
-    values = np.concatenate(arrays) if arrays else np.zeros(0, dtype=np.int64)
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values, pa.int64()))
+def _lists(values: np.ndarray, sizes: np.ndarray) -> pa.ListArray:
+    offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))
 
 
 def _bound(threshold: float) -> str:
@@ -207,10 +246,11 @@ def candidates(classes: DataFrame, threshold: float, long_sets: bool) -> DataFra
     Sizes are the coordinate of the empty reference set. Short sets carry eight distances to fixed reference fingerprints
     and the fingerprint through the join: coordinates discard most pairs there, the true distance nearly all others. For
     long sets at thresholds near 1/2 the bound exceeds any difference of such distances, so their longer fingerprints are
-    compared once per distinct pair.
+    compared once per distinct pair. A key that many classes hold is split by adaptive execution on both sides.
     """
     if long_sets:
-        rows = classes.select("id", "n", F.explode("keys").alias("key"))
+        rows = classes.select("id", "n", F.posexplode("keys").alias("band", "key"))
+        rows = rows.select("id", "n", F.expr("shiftleft(cast(band AS bigint), 32) | (key & 4294967295L)").alias("key"))
         tests = []
     else:
         rows = classes.select("id", "n", F.col("fold")[0].alias("f0"), F.col("fold")[1].alias("f1"), "keys")
@@ -218,10 +258,9 @@ def candidates(classes: DataFrame, threshold: float, long_sets: bool) -> DataFra
         rows = rows.select("id", "n", "f0", "f1", "v1", F.explode("keys").alias("key"))
         tests = [_coordinates_within(threshold), f"bit_count(l.f0 ^ r.f0) + bit_count(l.f1 ^ r.f1) <= {_bound(threshold)}"]
     cond = " AND ".join(["l.key = r.key", "l.id < r.id", f"least(l.n, r.n) >= {threshold!r} * greatest(l.n, r.n) - 1e-9", *tests])
-    pairs = rows.alias("l").join(rows.alias("r"), F.expr(cond)).selectExpr("l.id AS a", "r.id AS b", "l.n AS na", "r.n AS nb")
+    pairs = rows.alias("l").join(rows.alias("r"), F.expr(cond)).selectExpr("l.id AS a", "r.id AS b", "l.n AS na", "r.n AS nb").distinct()
     if not long_sets:
-        return pairs.distinct()
-    pairs = pairs.groupBy("a", "b", "na", "nb").agg(F.count(F.lit(1)).alias("bands")).where(F.col("bands") >= SHARED_BANDS).drop("bands")
+        return pairs
     fold = classes.select("id", "fold")
     both = pairs.join(fold.selectExpr("id AS a", "fold AS fa"), "a").join(fold.selectExpr("id AS b", "fold AS fb"), "b")
     distance = " + ".join(f"bit_count(fa[{i}] ^ fb[{i}])" for i in range(FOLD_BITS // 64))
@@ -235,8 +274,10 @@ def verified(pairs: DataFrame, records: DataFrame, id_col: str, text: str, thres
     def tokenise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = Tokens(run, least_words)
         for b in batches:
-            sets = [tokens(t) for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), _lists([(np.zeros(0, np.int64) if s is None else s.view(np.int64)) for s in sets])], names=["id", "tokens"])
+            texts = b.column(1).to_pylist()
+            for lo in range(0, len(texts), SLICE):
+                at, t, bounds = tokens.sets(texts[lo : lo + SLICE])
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at + lo)), _lists(t.view(np.int64), np.diff(bounds))], names=["id", "tokens"])
 
     needed = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     raw = records.select(F.col(id_col).cast("long").alias("id"), text).join(needed, "id", "left_semi")
@@ -262,7 +303,9 @@ class NearDuplicates:
         feats = written(features(records, id_col, text, threshold, run, least_words, long_sets), "features")
         firsts = feats.groupBy("s1", "s2").agg(F.min("id").alias("cls"), F.count(F.lit(1)).alias("copies"))
         self.members = written(feats.select("id", "s1", "s2").join(firsts, ["s1", "s2"]).select("id", "cls", "copies"), "members")
-        reps = feats.join(self.members.where("id = cls").select("id"), "id", "left_semi")
+        # copies are the exception; written, their size is known, and below Spark's threshold no fingerprint is shuffled
+        copies = written(self.members.where("id <> cls").select("id"), "copies")
+        reps = feats.join(copies, "id", "left_anti")
         found = written(candidates(reps, threshold, long_sets), "candidates")
         self.links = written(verified(found, records, id_col, text, threshold, run, least_words), "links")
 

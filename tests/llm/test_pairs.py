@@ -104,6 +104,20 @@ def test_large_group_of_near_copies_loses_no_pair(spark):
     assert got == set(itertools.combinations(range(200), 2)) == brute(rows, 0.5, 3, 60)
 
 
+@pytest.mark.parametrize("copies", [5, 200, 20_000])
+def test_versions_of_an_often_copied_story_stay_linked(spark, copies):
+    # similarity of the story and its versions, and of the versions, lies between 0.5 and 0.56
+    story = [f"s{k}" for k in range(142)]
+    versions = [story[:100] + [f"v{i}x{k}" for k in range(3)] + story[103:] if i == 0 else story[:102] + [f"v{i}x{k}" for k in range(40)] for i in range(21)]
+    rows = [(i, " ".join(versions[i])) for i in range(21)]
+    rows += [(1000 + i, " ".join(story)) for i in range(copies)]
+    df = spark.createDataFrame(rows, "article_id long, full_text string")
+    nd = near_duplicates.NearDuplicates(df, "article_id", "full_text", 0.5, 3, 60, True)
+    want = brute(rows[:22], 0.5, 3, 60)
+    assert {(r.a, r.b) for r in nd.links.collect()} == want and len(want) >= 210
+    assert nd.classes().where(f"cls = 1000 AND copies = {copies}").count() == copies
+
+
 def test_copies_are_one_class_and_empty_table(spark):
     df = spark.createDataFrame([(i, "same words here") for i in range(40)] + [(99, "others")], "item_id long, rss_title string")
     nd = near_duplicates.NearDuplicates(df, "item_id", "rss_title", 0.75)
