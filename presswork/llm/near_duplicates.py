@@ -8,9 +8,10 @@ more than its bound, and the survivors are verified on their token sets. Neither
 
 Pairs meet by keys. Short sets use the two-token prefix filter, which loses no pair: with tokens ordered from rare to
 frequent, sets that share o tokens share two within their first n - o + 2. Long sets, where every pair of prefix tokens
-would be too many keys, use unweighted minwise hashes in bands of five: whether two sets meet depends on their similarity
-alone, not on how many records hold their tokens. Equal sets are one class from the start and are opened to their records
-last.
+would be too many keys, use unweighted minwise hashes in bands of six: whether two sets meet depends on their similarity
+alone, not on how many records hold their tokens. Their fingerprint has one bit of each of 512 minwise hashes, whose
+Hamming distance tells the similarity of sets of any size. Equal sets are one class from the start and are opened to their
+records last.
 """
 
 from __future__ import annotations
@@ -29,13 +30,18 @@ from presswork.session import read_table, written
 #: Buckets of the table of token counts: its size is fixed. Tokens that share a bucket share a place in the order, which
 #: costs candidates but no result.
 COUNT_BUCKETS = 1 << 18
-#: Bands of minwise hashes for long sets and hashes of a band. A pair of similarity s is missed with probability
-#: (1 - s ** BAND_HASHES) ** BANDS: 3.0e-4 at 1/2, 1.8e-6 at 0.55, 1e-9 at 0.6, whatever the number of records that hold
-#: its tokens. Five hashes keep pairs of similarity 0.2, of which a corpus of one subject has far more, to one in 12.
-BANDS, BAND_HASHES = 256, 5
+#: Minwise hash functions for long sets; hashes of a band; bands in which a function takes part. There are
+#: FUNCTIONS // BAND_HASHES * USES = 510 bands. A pair of similarity s is missed with probability (1 - s ** 6) ** 510 if
+#: bands were independent: 3e-4 at 1/2, 6e-7 at 0.55, whatever the number of records that hold its tokens; as each
+#: function serves three bands it is about twice that. Six hashes keep pairs of similarity 0.2, of which a corpus of one
+#: subject has far more, to one in 31.
+FUNCTIONS, BAND_HASHES, USES = 1024, 6, 3
+#: Bits of the fingerprint of long sets, and the standard deviations by which a pair at the threshold may miss its expected
+#: distance: one such pair in 300,000 exceeds it.
+SIGNATURE_BITS, DEVIATIONS = 512, 4.5
 #: Sets from this size on use single prefix tokens as keys instead of pairs of them.
 PAIR_KEYS_BELOW = 40
-FOLD_BITS = 512
+FOLD_BITS = 128
 WORDS_KEPT = 500_000
 #: Records whose tokens are in memory at a time.
 SLICE = 2000
@@ -163,26 +169,36 @@ def prefix_keys(tokens: np.ndarray, bounds: np.ndarray, counts: np.ndarray, thre
 
 
 class BandKeys:
-    """Keys of long sets: BANDS groups of BAND_HASHES minwise hashes."""
+    """Keys of long sets: groups of BAND_HASHES of FUNCTIONS minwise hashes."""
 
     def __init__(self):
-        self.seeds = (_mix(np.arange(1, BAND_HASHES * BANDS + 1, dtype=np.uint64) * _M1) >> np.uint64(32)).astype(np.uint32)
-
-    def __call__(self, tokens: np.ndarray) -> np.ndarray:
-        """One 32-bit key for each band, to be told apart by the band's number."""
-        low = (_mix(tokens) >> np.uint64(32)).astype(np.uint32)
+        numbers = np.arange(1, FUNCTIONS + 1, dtype=np.uint64)
+        self.factors = (_mix(numbers * _M1) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
+        # each use of the functions puts all of them in another order and cuts it into bands
+        whole = FUNCTIONS // BAND_HASHES
+        orders = [np.argsort(_mix((numbers + np.uint64(u * FUNCTIONS)) * _M1))[: whole * BAND_HASHES] for u in range(1, USES + 1)]
+        self.bands = np.concatenate(orders).reshape(whole * USES, BAND_HASHES)
+
+    def least(self, tokens: np.ndarray) -> np.ndarray:
+        """The least value of each function, a * token + b of the two halves of a token, over the set."""
+        m = _mix(tokens)
+        a, b = (m >> np.uint64(32)).astype(np.uint32), m.astype(np.uint32)
         step = max(1, 16_384 // len(tokens))  # few functions at a time, so that their values stay in the cache
-        least = []
-        for lo in range(0, len(self.seeds), step):
-            x = low[None, :] ^ self.seeds[lo : lo + step, None]
-            x *= np.uint32(0x85EBCA6B)
-            x ^= x >> np.uint32(13)
-            x *= np.uint32(0xC2B2AE35)
-            least.append(x.min(axis=1))
-        key = np.zeros(BANDS, dtype=np.uint64)
-        for h in np.concatenate(least).astype(np.uint64).reshape(BANDS, BAND_HASHES).T:
+        out = []
+        for lo in range(0, len(self.factors), step):
+            x = self.factors[lo : lo + step, None] * a
+            x += b
+            out.append(x.min(axis=1))
+        return np.concatenate(out)
+
+    def __call__(self, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(a 32-bit key for each band, to be told apart by the band's number; the fingerprint)."""
+        least = self.least(tokens)
+        key = np.zeros(len(self.bands), dtype=np.uint64)
+        for h in least.astype(np.uint64)[self.bands].T:
             key = _mix(key * _M1 + h)
-        return (key >> np.uint64(32)).astype(np.uint32).view(np.int32)
+        bits = (least[:SIGNATURE_BITS] * np.uint32(0x9E3779B1)) >> np.uint32(31)
+        return (key >> np.uint64(32)).astype(np.uint32).view(np.int32), np.packbits(bits.astype(np.uint8)).view(np.int64)
 
 
 def _folded(tokens: np.ndarray, bounds: np.ndarray, bits: int) -> np.ndarray:
@@ -197,7 +213,6 @@ def _folded(tokens: np.ndarray, bounds: np.ndarray, bits: int) -> np.ndarray:
 def features(records: DataFrame, id_col: str, text: str, threshold: float, run: int, least_words: int, long_sets: bool) -> DataFrame:
     """(id, n, s1, s2, fold, keys) of every record with tokens: set size, set identity, fingerprint and join keys."""
     shared = None if long_sets else records.sparkSession.sparkContext.broadcast(token_counts(records, text, run, least_words))
-    bits = FOLD_BITS if long_sets else 128
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = Tokens(run, least_words)
@@ -210,14 +225,17 @@ def features(records: DataFrame, id_col: str, text: str, threshold: float, run:
                     continue
                 m, starts = _mix(t + _M1), bounds[:-1]
                 if band:
-                    keys = _lists(np.concatenate([band(t[x:y]) for x, y in zip(starts, bounds[1:])]), np.full(len(at), BANDS))
+                    made = [band(t[x:y]) for x, y in zip(starts, bounds[1:])]
+                    keys, fold = (np.stack([x[i] for x in made]) for i in (0, 1))
+                    keys = _lists(keys.ravel(), np.full(len(at), keys.shape[1]))
                 else:
+                    fold = _folded(t, bounds, FOLD_BITS)
                     owners, values = prefix_keys(t, bounds, shared.value, threshold)
                     keys = _lists(values, np.bincount(owners, minlength=len(at)))
                 columns = [
                     b.column(0).take(pa.array(at + lo)), pa.array(np.diff(bounds).astype(np.int32)),
                     pa.array(np.bitwise_xor.reduceat(m, starts).view(np.int64)), pa.array(np.add.reduceat(m * _M2, starts).view(np.int64)),
-                    _lists(_folded(t, bounds, bits).ravel(), np.full(len(at), bits // 64)), keys,
+                    _lists(fold.ravel(), np.full(len(at), fold.shape[1])), keys,
                 ]
                 yield pa.RecordBatch.from_arrays(columns, names=["id", "n", "s1", "s2", "fold", "keys"])
 
@@ -246,7 +264,8 @@ def candidates(classes: DataFrame, threshold: float, long_sets: bool) -> DataFra
     Sizes are the coordinate of the empty reference set. Short sets carry eight distances to fixed reference fingerprints
     and the fingerprint through the join: coordinates discard most pairs there, the true distance nearly all others. For
     long sets at thresholds near 1/2 the bound exceeds any difference of such distances, so their longer fingerprints are
-    compared once per distinct pair. A key that many classes hold is split by adaptive execution on both sides.
+    compared once per distinct pair. A key that many classes hold is split by
+    adaptive execution on both sides.
     """
     if long_sets:
         rows = classes.select("id", "n", F.posexplode("keys").alias("band", "key"))
@@ -263,9 +282,10 @@ def candidates(classes: DataFrame, threshold: float, long_sets: bool) -> DataFra
         return pairs
     fold = classes.select("id", "fold")
     both = pairs.join(fold.selectExpr("id AS a", "fold AS fa"), "a").join(fold.selectExpr("id AS b", "fold AS fb"), "b")
-    distance = " + ".join(f"bit_count(fa[{i}] ^ fb[{i}])" for i in range(FOLD_BITS // 64))
-    limit = f"floor({(1 - threshold) / (1 + threshold)!r} * (na + nb) + 1e-9)"
-    return both.where(F.expr(f"{distance} <= {limit}")).select("a", "b", "na", "nb")
+    distance = " + ".join(f"bit_count(fa[{i}] ^ fb[{i}])" for i in range(SIGNATURE_BITS // 64))
+    agree = (1 + threshold) / 2
+    limit = SIGNATURE_BITS * (1 - agree) + DEVIATIONS * (SIGNATURE_BITS * agree * (1 - agree)) ** 0.5
+    return both.where(F.expr(f"{distance} <= {int(limit)}")).select("a", "b", "na", "nb")
 
 
 def verified(pairs: DataFrame, records: DataFrame, id_col: str, text: str, threshold: float, run: int, least_words: int) -> DataFrame:
