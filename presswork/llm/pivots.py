@@ -3,12 +3,13 @@
 For any metric, |d(x, p) - d(y, p)| <= d(x, y) for every pivot p. A table that stores d(x, p_1..p_16) next to x can thus
 discard a pair as soon as one coordinate differs by more than the search radius, without touching the pair itself. The
 16 distances (0..128, one byte each) are packed into two longs, so with radius 0 "all coordinates agree" is equality of
-two longs, and with a larger radius the first coordinates, cut into ranges, are the keys of the join.
+two longs. The first coordinates, cut into ranges, are the cells by which tables are partitioned and joined.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -16,6 +17,8 @@ from pyspark.sql import functions as F
 PIVOTS = 16
 #: Coordinates whose ranges are join keys when the radius is above 0.
 RANGE_KEYS = 3
+#: Ranges of each of those coordinates where a table is partitioned by them.
+CUTS = 8
 
 
 def _signed(b: bytes) -> int:
@@ -76,10 +79,29 @@ def true_distance(left: str, right: str) -> Column:
     return F.expr(f"bit_count({left}.h1 ^ {right}.h1) + bit_count({left}.h2 ^ {right}.h2)")
 
 
-def absent_from(new: DataFrame, held: DataFrame) -> DataFrame:
-    """Rows of `new` whose fingerprint no row of `held` has: radius 0, where the coordinate ranges are single values."""
-    cond = (F.col("n.v1") == F.col("o.v1")) & (F.col("n.v2") == F.col("o.v2")) & (true_distance("n", "o") == 0)
-    return new.alias("n").join(held.alias("o"), cond, "left_anti")
+def cut_points(bits: int = 128, cuts: int = CUTS) -> list[int]:
+    """Distances at which the ranges after the first begin. The distance of a fingerprint to a fixed point is binomial,
+    so the quantiles that make ranges of like size are known without looking at data."""
+    points, below, d = [], 0, 0
+    for k in range(1, cuts):
+        while below * cuts < k * 2**bits:
+            below += math.comb(bits, d)
+            d += 1
+        points.append(d)
+    return points
+
+
+def cells() -> int:
+    return CUTS**RANGE_KEYS
+
+
+def cell_expr() -> str:
+    """SQL text of the number of the cell of packed coordinates v1: the ranges of its first RANGE_KEYS coordinates."""
+    parts = []
+    for k in range(RANGE_KEYS):
+        steps = " + ".join(f"cast((shiftright(v1, {8 * k}) & 255) >= {p} AS int)" for p in cut_points())
+        parts.append(f"({steps}) * {CUTS**k}")
+    return " + ".join(parts)
 
 
 def pairs_within(left: DataFrame, right: DataFrame, radius: int) -> DataFrame:

@@ -12,14 +12,13 @@ ITEM = "item_id long, google_news_redirect_url string, guid string, batch_no int
 
 
 def repeats(spark, batches):
-    h = history.PivotHistory(spark)
-    all_rows = None
+    h = history.PivotHistory(spark, buckets=4)
+    found = []
     for b in batches:
         df = spark.createDataFrame([(*x, 1, "clash", "n") for x in b], ITEM)
-        rows = history.identities(df)
-        h.admit(rows)
-        all_rows = rows if all_rows is None else all_rows.unionByName(rows)
-    return sorted(r.item_id for r in h.repeats(all_rows).collect())
+        found += [r.item_id for r in h.admit(history.identities(df)).collect()]
+    h.drop()
+    return sorted(found)
 
 
 def test_links_and_guids_in_other_spellings(spark):
@@ -38,6 +37,20 @@ def test_third_of_rows_share_an_identity(spark):
     assert repeats(spark, [rows[:50], rows[50:]]) == [i for i in range(6, 91, 3)]
 
 
+def test_new_batch_opens_only_its_ranges_of_a_long_history(spark):
+    h = history.PivotHistory(spark, buckets=16)
+    old = spark.range(20_000).selectExpr("id AS item_id", "cast(null AS string) AS google_news_redirect_url", "concat('g', id) AS guid")
+    h.admit(history.identities(old))
+    new = history.identities(spark.createDataFrame([(30_000 + i, None, g) for i, g in enumerate(["g7", "new", "g8", "G8"])], "item_id long, google_news_redirect_url string, guid string"))
+    touched = h._touched(new)
+    assert 1 <= len(touched) <= 4 and h.held(touched).count() < 20_000 * 0.05
+    plan = h.held(touched)._jdf.queryExecution().executedPlan().toString()
+    assert "SelectedBucketsCount" in plan or "isin" in plan.lower() or " IN (" in plan
+    assert sorted(r.item_id for r in h.admit(new).collect()) == [30_000, 30_002]
+    assert h.held().count() == 20_002
+    h.drop()
+
+
 def test_pairs_within_radius_against_brute_force(spark):
     rng = random.Random(3)
     base = [(i, rng.getrandbits(64) - 2**63, rng.getrandbits(64) - 2**63) for i in range(60)]
