@@ -1,8 +1,10 @@
 """Problem 2: lines that a site repeats over and over are found from incremental per-source line counts and removed.
 
-State are two tables: articles per source, and articles per (source, line). A new partition adds its own counts as a
-delta; lines whose share crosses the threshold, upwards or downwards, are found by comparing before and after the merge,
-and only articles that hold such a line, and the new ones that hold a line over it, are rebuilt. Lines are one if they differ only in case, digits, white space, closing punctuation.
+State are two append-only tables: articles per source, and articles per (source, line), a part for each partition that
+came. A new partition appends its own counts as a delta; lines whose share crosses the threshold, upwards or downwards, are
+found by summing the counts of the sources it touches with and without the delta, and only articles that hold such a line
+are rebuilt. Articles are hashed once, into narrow rows that find the articles of a line without their texts. Lines are one
+if they differ only in case, digits, white space, closing punctuation.
 """
 
 from __future__ import annotations
@@ -10,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from presswork.session import read_table, written
+from presswork.session import new_path, read_table, written
 
 MIN_ARTICLES = 6
 MIN_SHARE = 0.2
@@ -53,45 +55,52 @@ def delta(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     return per_source, lines.groupBy("domain", "h").agg(F.count(F.lit(1)).alias("articles"))
 
 
-def merge(old: DataFrame | None, new: DataFrame, keys: list[str]) -> DataFrame:
-    """Counts of the old table and a delta, added."""
-    if old is None:
-        return new
-    return old.unionByName(new).groupBy(*keys).agg(F.sum("articles").alias("articles"))
-
-
-def over_threshold(sources: DataFrame, lines: DataFrame, min_articles: int, min_share: float) -> DataFrame:
-    """(domain, h) of lines in at least min_articles articles and min_share of all articles of their source.
-
-    At most 1/min_share times the mean number of lines per article come out for a source.
-    """
-    often = lines.where(F.col("articles") >= min_articles)
-    joined = often.alias("l").join(sources.alias("s"), F.col("l.domain") == F.col("s.domain"))
-    return joined.where(F.col("l.articles") >= F.col("s.articles") * F.lit(min_share)).select("l.domain", "l.h")
-
-
 class LineCounts:
-    """The two count tables, merged partition by partition and kept in the shared folder."""
+    """The two count tables under one folder of the shared folder, and the lines over the threshold."""
 
-    def __init__(self, min_articles: int = MIN_ARTICLES, min_share: float = MIN_SHARE):
-        self.min_articles, self.min_share = min_articles, min_share
-        self.sources: DataFrame | None = None
-        self.lines: DataFrame | None = None
+    def __init__(self, spark: SparkSession, min_articles: int = MIN_ARTICLES, min_share: float = MIN_SHARE):
+        self.spark, self.min_articles, self.min_share = spark, min_articles, min_share
+        self.path = new_path(spark, "line-counts")
+        self.deltas = 0
+        #: (domain, h) over the threshold; at most 1/min_share times the mean number of lines per article for a source
         self.crossed: DataFrame | None = None
         #: (domain, h) that the last partition brought below the threshold
         self.fallen: DataFrame | None = None
 
+    def _parts(self, table: str) -> DataFrame:
+        """All deltas of a table, with `last` true for rows of the newest."""
+        kind = "domain string, articles long" if table == "sources" else "domain string, h long, articles long"
+        paths = [f"{self.path}/{table}-{k:06d}" for k in range(self.deltas)]
+        newest = self.spark.read.schema(kind).parquet(paths[-1]).withColumn("last", F.lit(True))
+        if len(paths) == 1:
+            return newest
+        return self.spark.read.schema(kind).parquet(*paths[:-1]).withColumn("last", F.lit(False)).unionByName(newest)
+
+    def lines(self) -> DataFrame:
+        """(domain, h, articles): the sums over all deltas."""
+        return self._parts("lines").groupBy("domain", "h").agg(F.sum("articles").alias("articles"))
+
     def add(self, rows: DataFrame) -> DataFrame:
-        """Merge the delta of hashed() rows; returns the (domain, h) that crossed the threshold by it."""
+        """Append the delta of hashed() rows; returns the (domain, h) that crossed the threshold by it."""
         new_sources, new_lines = delta(rows)
-        self.sources = written(merge(self.sources, new_sources, ["domain"]), "sources")
-        # lines that no later delta could be compared without are all kept: a line may cross at any time
-        self.lines = written(merge(self.lines, new_lines, ["domain", "h"]), "lines")
-        now = written(over_threshold(self.sources, self.lines, self.min_articles, self.min_share), "crossed")
-        newly = now if self.crossed is None else now.join(self.crossed, ["domain", "h"], "left_anti")
-        self.fallen = now.limit(0) if self.crossed is None else self.crossed.join(now, ["domain", "h"], "left_anti")
-        self.crossed = now
-        return newly
+        new_sources.write.parquet(f"{self.path}/sources-{self.deltas:06d}")
+        new_lines.write.parquet(f"{self.path}/lines-{self.deltas:06d}")
+        self.deltas += 1
+        before = F.sum(F.when(F.col("last"), 0).otherwise(F.col("articles")))
+        # a source that got no article keeps its lines as they are
+        sums = self._parts("sources").groupBy("domain").agg(F.sum("articles").alias("all"), before.alias("all_before"), F.max("last").alias("touched"))
+        sources = sums.where("touched").drop("touched")
+        # every line of a touched source is kept and summed: any may cross, upwards by its own count, downwards by the source's
+        counts = self._parts("lines").groupBy("domain", "h").agg(F.sum("articles").alias("n"), before.alias("n_before"))
+        over = lambda n, total: (F.col(n) >= self.min_articles) & (F.col(n) >= F.col(total) * F.lit(self.min_share))
+        judged = counts.where(F.col("n") >= self.min_articles).join(sources, "domain")
+        judged = judged.select("domain", "h", over("n", "all").alias("now"), over("n_before", "all_before").alias("earlier"))
+        judged = written(judged.where("now OR earlier"), "crossings")
+        untouched = None if self.crossed is None else self.crossed.join(judged.where("earlier"), ["domain", "h"], "left_anti")
+        now = judged.where("now").select("domain", "h")
+        self.crossed = now if untouched is None else written(untouched.unionByName(now), "crossed")
+        self.fallen = judged.where("earlier AND NOT now").select("domain", "h")
+        return judged.where("now AND NOT earlier").select("domain", "h")
 
     def occurrences(self, rows: DataFrame, lines: DataFrame | None = None) -> DataFrame:
         """(article_id, line_no) of each occurrence of the given lines (those over the threshold) in the articles.
@@ -103,52 +112,67 @@ class LineCounts:
         hit = each.join(self.crossed if lines is None else lines, ["domain", "h"], "left_semi")
         return hit.select("article_id", (F.col("pos") + 1).cast("int").alias("line_no"))
 
-    def rebuild(self, articles: DataFrame, newly: DataFrame, id_col: str = "article_id", text: str = "full_text") -> DataFrame:
-        """Articles that hold a line which crossed, upwards or downwards, with their text without all lines over the threshold."""
-        rows = hashed(articles, id_col, "domain", text)
-        changed = newly if self.fallen is None else newly.unionByName(self.fallen)
-        touched = self.occurrences(rows, changed).select("article_id").distinct()
-        drop = self.occurrences(rows.join(touched, "article_id", "left_semi")).groupBy("article_id").agg(F.collect_set("line_no").alias("__drop"))
-        none = F.array().cast("array<int>")
-        parts = F.filter(F.split(F.col(text), "\n", -1), lambda x, i: ~F.array_contains(F.coalesce("__drop", none), i + 1))
-        base = articles.select(F.col(id_col).alias("article_id"), text).join(touched, "article_id", "left_semi")
-        return base.join(drop, "article_id", "left").select("article_id", F.array_join(parts, "\n").alias(text))
-
-
-def _partitions(articles: DataFrame) -> list[DataFrame]:
-    return [articles.where(F.pmod(F.xxhash64("article_id"), F.lit(PARTITIONS)) == k) for k in range(PARTITIONS)]
-
-
-def cleaned(parts: list[DataFrame]) -> DataFrame:
-    """(article_id, clean_text) after the partitions have come one by one; what a partition's crossings touch is rebuilt."""
-    counts, seen, state = LineCounts(), None, None
-    for part in parts:
-        newly = counts.add(hashed(part))
-        # a new article may hold lines that crossed earlier
-        rows = hashed(part)
-        drop = counts.occurrences(rows).groupBy("article_id").agg(F.collect_set("line_no").alias("__drop"))
-        kept = F.filter(F.split(F.col("full_text"), "\n", -1), lambda x, i: ~F.array_contains("__drop", i + 1))
-        fresh = part.join(drop, "article_id", "left").select("article_id", F.when(F.col("__drop").isNull(), F.col("full_text")).otherwise(F.array_join(kept, "\n")).alias("clean_text"))
-        if state is None:
-            state, seen = written(fresh, "cleaned"), part
-            continue
-        rebuilt = counts.rebuild(seen, newly).select("article_id", F.col("full_text").alias("__new"), F.lit(True).alias("__hit"))
-        old = state.join(rebuilt, "article_id", "left").select("article_id", F.when(F.col("__hit"), F.col("__new")).otherwise(F.col("clean_text")).alias("clean_text"))
-        state, seen = written(old.unionByName(fresh), "cleaned"), seen.unionByName(part)
-    return state
+    def touched(self, rows: DataFrame, newly: DataFrame) -> DataFrame:
+        """(article_id) of hashed() rows that hold a line which the last partition brought over or under the threshold."""
+        return self.occurrences(rows, newly.unionByName(self.fallen)).select("article_id").distinct()
+
+    def rebuild(self, articles: DataFrame, rows: DataFrame, id_col: str = "article_id", text: str = "full_text") -> DataFrame:
+        """(article_id, text without all lines over the threshold) of the articles that `rows` has the hashes of."""
+        drop = self.occurrences(rows).groupBy("article_id").agg(F.collect_set("line_no").alias("__drop"))
+        parts = F.filter(F.split("__text", "\n", -1), lambda x, i: ~F.array_contains("__drop", i + 1))
+        base = articles.select(F.col(id_col).alias("article_id"), F.col(text).alias("__text"))
+        clean = F.when(F.col("__drop").isNull(), F.col("__text")).otherwise(F.array_join(parts, "\n"))
+        return base.join(drop, "article_id", "left").select("article_id", clean.alias(text))
+
+
+def cleaned(spark: SparkSession, articles: DataFrame, hashes: DataFrame, partitions: int) -> DataFrame:
+    """(article_id, full_text) after the partitions have come one by one.
+
+    Each partition appends its cleaned articles and those earlier ones that its crossings touch; of an article the version
+    appended last counts. `hashes` has the hashed() rows of all articles with a source and their `part`.
+    """
+    counts = LineCounts(spark)
+    versions: list[tuple[DataFrame, DataFrame | None]] = []
+    for k in range(partitions):
+        newly = counts.add(hashes.where(F.col("part") == k))
+        own = articles.where(_part(partitions) == k)
+        fresh = counts.rebuild(own, hashes.where(F.col("part") == k))
+        again = None
+        if k:
+            again = written(counts.touched(hashes.where(F.col("part") < k), newly), "touched")
+            rebuilt = counts.rebuild(articles.join(again, "article_id", "left_semi"), hashes.join(again, "article_id", "left_semi"))
+            fresh = fresh.unionByName(rebuilt)
+        versions.append((written(fresh, "cleaned"), again))
+    out, later = None, None
+    for version, again in reversed(versions):
+        kept = version if later is None else version.join(later, "article_id", "left_anti")
+        out = kept if out is None else out.unionByName(kept)
+        if again is not None:
+            later = again if later is None else later.unionByName(again)
+    return out
+
+
+def _part(partitions: int) -> Column:
+    return F.pmod(F.xxhash64("article_id"), F.lit(partitions))
+
+
+def _hashed_parts(articles: DataFrame, partitions: int = PARTITIONS) -> DataFrame:
+    """hashed() rows of all articles, written once, with the number of the partition each comes in."""
+    return written(hashed(articles).withColumn("part", _part(partitions)), "line-hashes")
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    articles = read_table(spark, sf_dir, "fulltext").select("article_id", "domain", "full_text")
-    counts = LineCounts()
-    for part in _partitions(articles):
-        counts.add(hashed(part))
-    return counts.occurrences(hashed(articles))
+    hashes = _hashed_parts(read_table(spark, sf_dir, "fulltext").select("article_id", "domain", "full_text"))
+    counts = LineCounts(spark)
+    for k in range(PARTITIONS):
+        counts.add(hashes.where(F.col("part") == k))
+    return counts.occurrences(hashes)
 
 
 def p2_cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every article without its site's lines; articles without a source or text come out as they are."""
-    return cleaned(_partitions(read_table(spark, sf_dir, "fulltext").select("article_id", "domain", "full_text")))
+    articles = read_table(spark, sf_dir, "fulltext").select("article_id", "domain", "full_text")
+    return cleaned(spark, articles, _hashed_parts(articles), PARTITIONS).withColumnRenamed("full_text", "clean_text")
 
 
 QUERIES = {"p2_found": p2_found, "p2_cleaned": p2_cleaned}

@@ -22,36 +22,47 @@ def test_site_lines_threshold_and_spelling(spark):
     rows += [(10 + i, "s.example", f"body {chr(97 + i)}") for i in range(24)]
     rows += [(50, None, "Share this"), (51, " ", "Share this"), (52, "s2.example", "Share this"), (53, "s.example", None), (54, "t.example", "")]
     df = articles(spark, rows)
-    counts = site_lines.LineCounts()
+    counts = site_lines.LineCounts(spark)
     hashed = site_lines.hashed(df)
     counts.add(hashed)
     # 31 articles of the site: 6 are below a fifth of them
     assert counts.occurrences(hashed).count() == 0
     fewer = articles(spark, rows[:28])
-    counts = site_lines.LineCounts()
+    counts = site_lines.LineCounts(spark)
     newly = counts.add(site_lines.hashed(fewer))
     assert {tuple(r) for r in counts.occurrences(site_lines.hashed(fewer)).collect()} == {(i, 3) for i in range(6)}
-    rebuilt = {r.article_id: r.full_text for r in counts.rebuild(fewer, newly).collect()}
+    touched = counts.touched(site_lines.hashed(fewer), newly)
+    rebuilt = {r.article_id: r.full_text for r in counts.rebuild(fewer.join(touched, "article_id", "left_semi"), site_lines.hashed(fewer)).collect()}
     assert rebuilt == {i: f"own text {chr(97 + i)}\n" for i in range(6)}
 
 
 def test_site_lines_merge_equals_one_pass(spark):
     rng = random.Random(1)
     rows = [(i, f"d{i % 2}", "\n".join(rng.choice(["alpha", "beta!", "gamma 3", "delta", "eps"]) for _ in range(3))) for i in range(40)]
-    whole, parts = site_lines.LineCounts(), site_lines.LineCounts()
+    whole, parts = site_lines.LineCounts(spark), site_lines.LineCounts(spark)
     whole.add(site_lines.hashed(articles(spark, rows)))
     crossed = [parts.add(site_lines.hashed(articles(spark, rows[a : a + 10]))).count() for a in range(0, 40, 10)]
-    key = lambda c: {tuple(r) for r in c.lines.select("domain", "h", "articles").collect()}
+    key = lambda c: {tuple(r) for r in c.lines().select("domain", "h", "articles").collect()}
     assert key(whole) == key(parts) and crossed[-1] <= whole.crossed.count()
     assert {tuple(r) for r in whole.crossed.collect()} == {tuple(r) for r in parts.crossed.collect()}
 
 
-def test_site_lines_partitions_equal_one_run(spark):
+def test_site_lines_partitions_equal_one_run(spark, monkeypatch):
     # a line of 6 of 20 articles falls to 6 of 100 by the next partition; another crosses only then
     first = [(i, "s.example", f"own {chr(97 + i)}\nShare this" if i < 6 else f"own {chr(97 + i)}\nLate line" if i < 9 else "Late line" if i < 11 else "body") for i in range(20)]
     second = [(100 + i, "s.example", f"text {chr(97 + i % 26)}{chr(97 + i // 26)}" + ("\nLate line" if i < 40 else "")) for i in range(80)]
-    parts, whole = [articles(spark, first), articles(spark, second)], articles(spark, first + second)
-    got, want = ({r.article_id: r.clean_text for r in site_lines.cleaned(p).collect()} for p in (parts, [whole]))
+    # and one of a site that the second partition does not touch
+    first += [(50 + i, "t.example", f"t {chr(97 + i)}\nFollow us") for i in range(7)]
+    whole = articles(spark, first + second)
+    part = F.when(F.col("article_id") < 100, 0).otherwise(1)
+    hashes = site_lines.hashed(whole).withColumn("part", part)
+    counts = site_lines.LineCounts(spark)
+    for k in (0, 1):
+        counts.add(hashes.where(F.col("part") == k))
+    assert {tuple(r) for r in counts.occurrences(hashes).collect()} >= {(50, 2), (56, 2)}
+    assert {r[0] for r in counts.touched(hashes.where("part = 0"), counts.crossed.where("domain = 's.example'")).collect()} == {*range(20)}
+    monkeypatch.setattr(site_lines, "_part", lambda n: part if n == 2 else F.lit(0))
+    got, want = ({r.article_id: r.full_text for r in site_lines.cleaned(spark, whole, hashes if n == 2 else hashes.withColumn("part", F.lit(0)), n).collect()} for n in (2, 1))
     assert got == want and got[0] == "own a\nShare this" and got[6] == "own g" and got[9] == "" and got[100] == "text aa"
 
 
