@@ -23,8 +23,12 @@ from presswork.session import read_table
 
 LANGUAGES = ["en", "fr", "es", "pt", "de"]
 #: The most rows the model is fitted on: labelled sentences (language_samples has 150), then titles and articles of the
-#: corpus whose own label agrees with a first model made of the sentences alone.
+#: corpus with their own labels.
 FIT_ROWS, FIT_TITLES, FIT_ARTICLES = 100_000, 20_000, 1_000
+#: Least confidence of the first model in a label for its text to be in the second.
+AGREED = 0.9
+#: Temperatures tried for the confidence, and the words of the pieces of sentences it is judged on.
+TEMPERATURES, PIECE_WORDS, FOLDS = (1, 1.5, 2, 3, 4, 6, 8, 12), 6, 5
 #: Share given to a word in languages that do not have it.
 UNSEEN = 1e-4
 MIN_FOREIGN_WORDS = 12
@@ -36,9 +40,13 @@ _WORD = r"[^\W\d_]+(?:['’][^\W\d_]+)?"
 
 
 class WordFirst:
-    """Scores of words per language from labelled sentences."""
+    """Scores of words per language from labelled sentences.
 
-    def __init__(self, samples: list[tuple[str, str]]):
+    Frequencies are shares of each language's own words, or with `joint` of all words: then a language of few texts, many
+    of which have its label by mistake, does not get the words of the others.
+    """
+
+    def __init__(self, samples: list[tuple[str, str]], joint: bool = False):
         import regex
 
         self.find = regex.compile(_WORD).findall  # a bound method of a pattern, which is pickled as its text
@@ -55,7 +63,7 @@ class WordFirst:
         total = Counter()
         for counts in words.values():
             total.update(counts)
-        n = {lang: max(1, total[lang]) for lang in LANGUAGES}
+        n = {lang: max(1, sum(total.values()) if joint else total[lang]) for lang in LANGUAGES}
         self.words = {w: np.array([math.log(c[lang] / n[lang] + UNSEEN) for lang in LANGUAGES]) for w, c in words.items()}
         grams: dict[str, np.ndarray] = {}
         for w, c in words.items():
@@ -68,6 +76,8 @@ class WordFirst:
         self.rows: dict[str, int] = {}
         self.table = np.zeros((1024, len(LANGUAGES)))
         self.used = 1
+        #: divides the scores where they become a confidence; see calibrated()
+        self.temperature = 1.0
 
     @staticmethod
     def _parts(word: str) -> list[str]:
@@ -122,7 +132,7 @@ class WordFirst:
         """(language numbers, confidences, summed scores, words with letters) of a list of texts.
 
         Without letters a text has language -1 and confidence 0; ties go to the first of LANGUAGES. The confidence is a
-        softmax of the summed scores. Texts of names only are scored by the n-grams of those names.
+        softmax of the summed scores over the temperature. Texts of names only are scored by the n-grams of those names.
         """
         n = len(texts)
         scores = np.zeros((n, len(LANGUAGES)))
@@ -160,7 +170,7 @@ class WordFirst:
             return np.zeros(0, dtype=np.int64), np.zeros(0), scores, counts
         scores = np.round(scores, 9)
         langs = np.where(counts > 0, scores.argmax(axis=1), -1)
-        e = np.exp(scores - scores.max(axis=1, keepdims=True))
+        e = np.exp((scores - scores.max(axis=1, keepdims=True)) / self.temperature)
         sure = np.where(counts > 0, np.round(e.max(axis=1) / e.sum(axis=1), 6), 0.0)
         return langs, sure, scores, counts
 
@@ -169,23 +179,55 @@ def _names(langs: np.ndarray) -> list[str | None]:
     return [LANGUAGES[i] if i >= 0 else None for i in langs]
 
 
-def fit(samples: DataFrame, titles: DataFrame | None = None, articles: DataFrame | None = None) -> list[tuple[str, str]]:
-    """The labelled texts the model is made of, in a fixed order: at most FIT_ROWS sentences (text, lang), FIT_TITLES
-    titles and FIT_ARTICLES articles (text, label). Of the latter two a text counts only if a model of the sentences
-    alone is sure of its label, since labels are wrong at times."""
+def fit(samples: DataFrame, titles: DataFrame | None = None, articles: DataFrame | None = None) -> WordFirst:
+    """A model of at most FIT_ROWS labelled sentences (text, lang), FIT_TITLES titles and FIT_ARTICLES articles (text, label).
+
+    Labels of titles and articles are wrong at times, and the sentences alone know too few words to tell which. So a first
+    model takes every label as it is, with joint frequencies, where the wrong ones are outnumbered word by word, and the
+    second keeps the lines whose label the first one confirms. The order is fixed, so the model is the same on every run.
+    """
     rows = samples.select("text", "lang").where(F.col("lang").isin(LANGUAGES)).orderBy(F.xxhash64("text", "lang"), "text").limit(FIT_ROWS)
     base = [(r[0], r[1]) for r in rows.collect()]
-    model = WordFirst(base)
-    out = list(base)
+    lines = []
     for frame, bound in ((titles, FIT_TITLES), (articles, FIT_ARTICLES)):
-        if frame is None:
-            continue
-        labelled_rows = frame.select("text", label_language(F.col("label")).alias("label")).where(F.col("label").isin(LANGUAGES))
-        rows = _bounded_sample(labelled_rows, bound).collect()
-        lines = [(line, r[1]) for r in rows for line in (r[0] or "").split("\n")]
-        langs, sure, _, _ = model.batch([x[0] for x in lines])
-        out += [x for x, lang, p in zip(lines, _names(langs), sure) if lang == x[1] and p >= 0.99]
-    return out
+        if frame is not None:
+            labelled_rows = frame.select("text", label_language(F.col("label")).alias("label")).where(F.col("label").isin(LANGUAGES))
+            lines += [(line, r[1]) for r in _bounded_sample(labelled_rows, bound).collect() for line in (r[0] or "").split("\n")]
+    return fitted(base, lines)
+
+
+def fitted(base: list[tuple[str, str]], lines: list[tuple[str, str]]) -> WordFirst:
+    """The model of correctly labelled sentences and of lines with labels of which some are wrong."""
+    model = WordFirst(base)
+    if lines:
+        langs, sure, _, _ = WordFirst(base + lines, joint=True).batch([x[0] for x in lines])
+        model = WordFirst(base + [x for x, lang, p in zip(lines, _names(langs), sure) if lang == x[1] and p >= AGREED])
+    model.temperature = calibrated(base)
+    return model
+
+
+def calibrated(samples: list[tuple[str, str]]) -> float:
+    """The temperature whose confidences fit best how often models are right about pieces of sentences they have not seen."""
+    scores, truth = [], []
+    for fold in range(FOLDS):
+        model = WordFirst([x for i, x in enumerate(samples) if i % FOLDS != fold])
+        pieces = []
+        for text, lang in samples[fold::FOLDS]:
+            words = text.split()
+            pieces += [(" ".join(words[i : i + PIECE_WORDS]), lang) for i in range(0, len(words), PIECE_WORDS)]
+        _, _, s, counts = model.batch([x[0] for x in pieces])
+        scores += [row for row, n in zip(s, counts) if n]
+        truth += [LANGUAGES.index(lang) for (_, lang), n in zip(pieces, counts) if n]
+    if not scores:
+        return 1.0
+    z, at = np.array(scores), np.arange(len(truth))
+
+    def loss(t: float) -> float:
+        x = z / t
+        x = x - x.max(axis=1, keepdims=True)
+        return float(np.mean(np.log(np.exp(x).sum(axis=1)) - x[at, truth]))
+
+    return float(min(TEMPERATURES, key=loss))
 
 
 def _bounded_sample(rows: DataFrame, bound: int) -> DataFrame:
@@ -196,7 +238,7 @@ def _bounded_sample(rows: DataFrame, bound: int) -> DataFrame:
     return hashed.join(F.broadcast(least), "__h", "left_semi").distinct().orderBy("__h").drop("__h")
 
 
-def corpus_samples(spark: SparkSession, sf_dir: str) -> list[tuple[str, str]]:
+def corpus_model(spark: SparkSession, sf_dir: str) -> WordFirst:
     titles = read_table(spark, sf_dir, "rss_items").selectExpr("rss_title AS text", "rss_language AS label")
     articles = read_table(spark, sf_dir, "fulltext").selectExpr("full_text AS text", "article_language AS label")
     return fit(read_table(spark, sf_dir, "language_samples"), titles, articles)
@@ -263,7 +305,7 @@ def article_segments(articles: DataFrame, model: WordFirst, id_col: str, text: s
 
 
 def _parts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    model = WordFirst(corpus_samples(spark, sf_dir))
+    model = corpus_model(spark, sf_dir)
     titles = title_languages(read_table(spark, sf_dir, "rss_items").select("item_id", "rss_title"), model, "item_id", "rss_title")
     articles = read_table(spark, sf_dir, "fulltext").select("article_id", "domain", "full_text")
     clean = articles.join(residue_articles(articles), "article_id", "left_anti")
@@ -289,7 +331,7 @@ def labelled(df: DataFrame, model: WordFirst, id_col: str, text: str, label: str
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    model = WordFirst(corpus_samples(spark, sf_dir))
+    model = corpus_model(spark, sf_dir)
     titles = labelled(read_table(spark, sf_dir, "rss_items"), model, "item_id", "rss_title", "rss_language")
     rss = titles.select(F.lit("rss_language").alias("field_name"), F.col("item_id").alias("record_no"), F.lit(0).alias("line_no"), "lang")
     articles = read_table(spark, sf_dir, "fulltext").select("article_id", "domain", "article_language", "full_text")
