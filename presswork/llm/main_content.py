@@ -4,7 +4,8 @@ Pages are rendered to visible blocks (render.py; text that is rendered already h
 put into a tree of banner, article and footer: the article begins at the page's own headline, which names what the last
 part of the page's address names, and ends at its last paragraph or list. Inside it the visibility rules drop what sends
 the reader elsewhere: teasers, headings of link lists, notices. Whether a short line is a subhead or such a heading, and
-whether a sentence is a notice, is learned from the whole corpus and from the page's site: how many pages have the line, and what follows it.
+whether a sentence is a notice, is learned from the page's site: how many of its articles have the line, and what follows it.
+Short lines are also judged by all sites that have them, as a site may have one too rarely to tell.
 """
 
 from __future__ import annotations
@@ -19,14 +20,14 @@ from pyspark.sql import functions as F
 from presswork.llm.render import render, source_lines
 from presswork.session import read_table, written
 
-#: A line is recurrent if at least this share of pages, and MIN_PAGES, are different articles with it; so there are at most (mean lines of
-#: a page) / RECURRENT_SHARE such lines, whatever the number of pages, and the table of them can be broadcast.
-RECURRENT_SHARE, MIN_PAGES = 0.001, 3
-#: A line is recurrent within a site too if at least this share of the site's articles, and MIN_PAGES, have it.
-SITE_SHARE = 0.01
+#: A line is recurrent within a site if at least this share of the site's articles, and MIN_PAGES, have it; over all sites a
+#: short line is if MIN_PAGES articles of MIN_SITES sites have it. None of this depends on the number of pages or sites.
+SITE_SHARE, MIN_PAGES, MIN_SITES = 0.01, 3, 3
 #: Share of a recurrent short line's occurrences that must be followed by a paragraph or list for it to be a subhead.
 SUBHEAD_SHARE = 0.85
-MIN_SENTENCE, MAX_SUBHEAD = 4, 8
+#: Words from which on a line with a sentence's end is prose; words of a subhead: of one that recurs, and of one that stands
+#: nowhere else, between two blocks of the article. Longer lines that are no sentences are taken for teasers.
+MIN_SENTENCE, MAX_SUBHEAD, MAX_OWN_SUBHEAD = 4, 8, 6
 
 PROSE_END = ".?!…»\"”’'"
 BULLETS = "-•*–▪·"
@@ -139,7 +140,7 @@ class PageTree:
         """A rare short line counts as subhead only with the article's own blocks directly before and after it."""
         before = next((j for j in range(i - 1, -1, -1) if self.kinds[j] != BLANK), None)
         after = next((j for j in range(i + 1, len(own)) if self.kinds[j] != BLANK), None)
-        return before is not None and after is not None and own[before] and own[after] and len(self.keys[i].split()) <= 6
+        return before is not None and after is not None and own[before] and own[after] and len(self.keys[i].split()) <= MAX_OWN_SUBHEAD
 
     def _headline(self, body: list[int]) -> int | None:
         """The first line that is no sentence and has the words of the address in their order; without an address, the
@@ -207,10 +208,11 @@ def _sums(each: DataFrame, by: list[str]) -> DataFrame:
     return once.groupBy(*by, "h", "sentence").agg(F.count(F.lit(1)).alias("articles"), F.sum("followed").alias("followed")).where(F.col("articles") >= MIN_PAGES)
 
 
-def line_statistics(each: DataFrame, pages: DataFrame, text: str) -> DataFrame:
-    """(h, sentence, articles, followed): recurrent lines of the corpus by hash, over all pages."""
-    total = pages.where(F.length(F.trim(F.coalesce(F.col(text), F.lit("")))) > 0).agg(F.count(F.lit(1)).alias("total"))
-    return _sums(each, []).join(F.broadcast(total)).where(F.col("articles") >= F.col("total") * F.lit(RECURRENT_SHARE)).drop("total")
+def wide_statistics(each: DataFrame) -> DataFrame:
+    """(h, articles, followed): short lines that several sites have, by hash, over all their articles."""
+    short = each.where("sentence = 0")
+    sites = short.where("site IS NOT NULL").select("h", "site").distinct().groupBy("h").agg(F.count(F.lit(1)).alias("sites")).where(F.col("sites") >= MIN_SITES)
+    return _sums(short, []).drop("sentence").join(sites, "h").drop("sites")
 
 
 def site_statistics(each: DataFrame) -> DataFrame:
@@ -220,35 +222,36 @@ def site_statistics(each: DataFrame) -> DataFrame:
     return _sums(known, ["site"]).join(totals, "site").where(F.col("articles") >= F.col("total") * F.lit(SITE_SHARE)).drop("total")
 
 
+def judged_lines(each: DataFrame) -> DataFrame:
+    """(page, notices, subheads, recurrent): hashes of the recurrent lines of each page by what they are there.
+
+    A short line is no subhead if its site or the sites together take it for another heading. The tables of recurrent lines
+    have no small bound; they are joined by key, and a page gets its own few lines.
+    """
+    headed = F.col("followed") >= SUBHEAD_SHARE * F.col("articles")
+    own = site_statistics(each).select("site", "h", "sentence", F.when(F.col("sentence") == 1, 0).when(headed, 1).otherwise(2).alias("own"))
+    wide = wide_statistics(each).select("h", F.lit(0).alias("sentence"), F.when(headed, 1).otherwise(2).alias("wide"))
+    rows = each.select("page", "site", "h", "sentence").join(own, ["site", "h", "sentence"], "left").join(wide, ["h", "sentence"], "left")
+    rows = rows.select("page", "h", F.greatest("own", "wide").alias("kind")).where("kind IS NOT NULL")
+    return rows.groupBy("page").agg(*[F.collect_set(F.when(F.col("kind") == k, F.col("h"))).alias(n) for k, n in enumerate(("notices", "subheads", "recurrent"))])
+
+
 def _per_page(pages: DataFrame, id_col: str, url: str, text: str, of: Callable, column: str, arrow: pa.DataType) -> DataFrame:
     """(id, column): a row for each value that of(tree, notices, subheads, recurrent) gives; tree is None without text."""
     each = written(observed(pages, id_col, url, text), "observed")
-    stats = line_statistics(each, pages, text).collect()  # bounded by RECURRENT_SHARE, see there
-    notices = {r["h"] for r in stats if r["sentence"]}
-    recurrent = {r["h"] for r in stats if not r["sentence"]}
-    subheads = {r["h"] for r in stats if not r["sentence"] and r["followed"] >= SUBHEAD_SHARE * r["articles"]}
-    shared = pages.sparkSession.sparkContext.broadcast((notices, subheads, recurrent))
-    # recurrent lines of sites have no small bound: they are joined by key and reach a page as its own few
-    kinds = F.when(F.col("sentence") == 1, 0).when(F.col("followed") >= SUBHEAD_SHARE * F.col("articles"), 1).otherwise(2)
-    own = site_statistics(each).select("site", "h", "sentence", kinds.alias("kind"))
-    hits = each.select("page", "site", "h", "sentence").join(own, ["site", "h", "sentence"])
-    hits = hits.groupBy("page").agg(*[F.collect_set(F.when(F.col("kind") == k, F.col("h"))).alias(f"__site{k}") for k in range(3)])
     kind = dict(pages.dtypes)[id_col]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ids, out = [], []
-            notices, subheads, recurrent = shared.value
-            for key, u, t, *site_lines in zip(*[c.to_pylist() for c in b.columns]):
-                n, s, r = (set(x or ()) for x in site_lines)
-                # the whole corpus judges the short lines it knows
-                of_site = (notices | n, subheads | (s - recurrent), recurrent | r) if n or s or r else shared.value
-                got = of(PageTree(t, u) if t else None, *of_site)
+            for key, u, t, *known in zip(*[c.to_pylist() for c in b.columns]):
+                got = of(PageTree(t, u) if t else None, *(set(x or ()) for x in known))
                 ids += [key] * len(got)
                 out += got
             yield pa.RecordBatch.from_arrays([pa.array(ids, b.schema.field(0).type), pa.array(out, arrow)], names=[id_col, column])
 
-    rows = pages.select(id_col, url, text).join(hits, F.col(id_col) == F.col("page"), "left").drop("page")
+    slim = pages.select(F.col(id_col).alias("__id"), F.col(url).alias("__url"), F.col(text).alias("__text"))
+    rows = slim.join(judged_lines(each), F.col("__id") == F.col("page"), "left").drop("page")
     return rows.mapInArrow(run, f"`{id_col}` {kind}, {column} {'int' if arrow == pa.int32() else 'string'}")
 
 
