@@ -80,6 +80,20 @@ def test_residue(spark):
     assert residue.residue_articles(df.limit(0)).count() == 0
 
 
+def test_wide_messages_and_retold_ones(spark):
+    # another wording than any rule's first words: residue where it stands between different lines on several sources
+    notice = "For this part of the site JavaScript has to be on."
+    rows = [(i, f"s{i}.example", f"Line {chr(97 + i)} of ours.\n{notice}\nEnd {chr(97 + i)}.") for i in range(4)]
+    # the same sentence in copies of one article, a message that names somebody, one site's own habit
+    rows += [(10 + i, f"s{i}.example", "Story.\nThe clinic needs JavaScript on its page.\nEnd.") for i in range(5)]
+    rows += [(20 + i, f"s{i}.example", f"Day {chr(97 + i)}.\nTo enable scripts is wrong, said Kivask.\nEnd {chr(97 + i)}.") for i in range(5)]
+    rows += [(30 + i, "one.example", f"Day {chr(97 + i)}.\nOur readers asked why JavaScript is slow.\nEnd.") for i in range(5)]
+    # upper-case copies, filler with one word of the public text and no word of a language, Spanish pain
+    rows += [(40, "a", "x\n[object Object]"), (41, "b", "x\n[OBJECT OBJECT]"), (42, "c", "Gravida saltor mivex tadem fusca cursat orati posta."), (43, "c", "El dolor de la gente en los pueblos del norte no cesa.")]
+    df = spark.createDataFrame(rows, "article_id long, domain string, full_text string")
+    assert sorted(r.article_id for r in residue.residue_articles(df).collect()) == [0, 1, 2, 3, 40, 41, 42]
+
+
 SAMPLES = "/root/testdata/sf0.001/language_samples.parquet"
 
 
@@ -104,6 +118,27 @@ def test_language_edges(spark):
     assert [r.x for r in lab.collect()] == ["fr", None, None, None, "en"]
 
 
+def test_language_labels_teach_words_the_samples_lack(spark):
+    # the sentences alone take these Portuguese titles for Spanish; a tenth of their labels is wrong, as in any feed
+    base = [(r.text, r.lang) for r in spark.read.parquet(SAMPLES).orderBy("sample_id").collect()]
+    rng = random.Random(2)
+    name = lambda: "".join(rng.choice("bdfgkl") + rng.choice("aeiou") for _ in range(3)).capitalize()
+    made = {
+        "pt": lambda: f"Por que {name()} teme que a gripe de {name()} chegue de {name()} até {name()}",
+        "es": lambda: f"Por qué {name()} teme que la gripe de {name()} llegue de {name()} hasta {name()}",
+        "en": lambda: f"Why {name()} fears that {name()} flu may reach {name()} from {name()}",
+    }
+    titles = [(make(), lang if rng.random() < 0.9 else rng.choice(languages.LANGUAGES)) for lang, make in made.items() for _ in range(300)]
+    df = spark.createDataFrame(titles, "text string, label string")
+    model = languages.fit(spark.read.parquet(SAMPLES), df)
+    for lang, make in made.items():
+        langs, sure, _, _ = model.batch([make() for _ in range(50)])
+        assert set(languages._names(langs)) == {lang} and sure.min() > 0.8
+    assert languages.fit(spark.read.parquet(SAMPLES), df.limit(0)).batch(["the town"])[0][0] == 0
+    # the temperature keeps short pieces from being taken for certain
+    assert 1 <= languages.calibrated(base) <= 12 and model.batch(["no"])[1][0] < 0.99
+
+
 PAGE = """Home / News / Sport
 Home > Health > Pebu
 Ladoro-Mezi residents told to avoid pigs: Kivask reports 4 alerts
@@ -163,6 +198,24 @@ def test_notice_of_a_small_site_in_a_large_corpus(spark):
     assert {(r.page_id, r.line_no) for r in main_content.furniture_lines(df).collect()} == {(i, 4) for i in range(25)}
 
 
+def test_other_sites_change_no_page_of_a_site(spark):
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("bdfgkl") + rng.choice("aeiou") for _ in range(3))
+
+    def page(i, site):
+        head = f"{word()} {word()} {word()} {word()} {word()}"
+        body = [f"The {word()} of {word()} said that {word()} was {word()}." for _ in range(4)]
+        lines = ["Home", head.capitalize(), body[0], "What is known", body[1], "Read on", f"{word()} {word()} more", "We value our readers on every day.", body[2], body[3], "About us"]
+        return (i, f"https://{site}.example/news/{head.replace(' ', '-')}", "\n".join(lines))
+
+    one = [page(i, "one") for i in range(30)]
+    schema = "page_id long, final_url string, full_text string"
+    few = {tuple(r) for r in main_content.furniture_lines(spark.createDataFrame(one, schema)).collect()}
+    many = one + [page(1000 + i, f"s{i % 40}") for i in range(400)]
+    more = {tuple(r) for r in main_content.furniture_lines(spark.createDataFrame(many, schema)).collect()}
+    assert {x for x in more if x[0] < 30} == few and {n for _, n in few} >= {1, 6, 8, 11} and not {n for _, n in few} & {2, 3, 4, 5, 9, 10}
+
+
 def test_rendering():
     html = "<html><head><title>t</title></head><body><nav hidden>n</nav><h1>Head<p>One <b>two</b><p>Three<script>x</script><ul><li>a<li>b<ul><li>c</ul></ul><table><tr><th>k<td>1<tr><td>long key<td>22</table><div style='display: none'>no</div>end</body>"
     assert render.render(html) == "Head\n\nOne two\n\nThree\n\n- a\n- b\n  - c\n\nk         1\nlong key  22\n\nend"
