@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from presswork.session import written
+
 
 def cross_manifest(*parts: DataFrame) -> DataFrame:
     """Every combination of small planning tables (search strings, locales, windows); the result is what is planned, so
@@ -45,29 +47,58 @@ def upsert_registry(old: DataFrame, new: DataFrame, key: str = "canonical_url")
     )
 
 
+def _in_order(df: DataFrame, order: list[Column]) -> DataFrame:
+    """The rows range partitioned and sorted, with their partition (__p) and place (__i); written, since a second plan of
+    the same ranges would draw other bounds and number other rows."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = df.repartitionByRange(n, *order).sortWithinPartitions(*order)
+    return written(rows.withColumn("__p", F.spark_partition_id()).withColumn("__i", F.monotonically_increasing_id()), "in-order")
+
+
 def global_rank(df: DataFrame, order: list[Column], to: str = "rn") -> DataFrame:
     """Position from 1 in a total order without a one-task window: rows are range partitioned and sorted, then shifted by
     the sizes of the partitions before (one number per partition)."""
-    spark = df.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    parts = df.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("__p", F.spark_partition_id()).withColumn("__i", F.monotonically_increasing_id())
+    parts = _in_order(df, order)
     sizes = parts.groupBy("__p").agg(F.count(F.lit(1)).alias("__n"), F.min("__i").alias("__min"))
     shift = sizes.select("__p", "__min", F.coalesce(F.sum("__n").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__shift"))
+    # a row per partition
     out = parts.join(F.broadcast(shift), "__p")
     return out.withColumn(to, (F.col("__i") - F.col("__min") + F.col("__shift") + 1).cast("bigint")).drop("__p", "__i", "__min", "__shift")
 
 
+def running_total(df: DataFrame, group: str, order: list[Column], value: Column, to: str) -> DataFrame:
+    """Adds the running sum of a value within each group, in a total order, without a task per group.
+
+    Rows are range partitioned by (group, order), so a group with a third of the rows spans many partitions; each part is
+    summed by itself and shifted by the totals of the group's parts before, of which there are as many as partitions.
+    """
+    key = F.struct(F.col(group).isNull(), F.col(group))
+    parts = _in_order(df.withColumn("__v", value), [F.col(group), *order]).withColumn("__g", key)
+    local = F.sum("__v").over(Window.partitionBy("__g", "__p").orderBy("__i").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    totals = parts.groupBy("__g", "__p").agg(F.sum("__v").alias("__t"))
+    before = F.sum("__t").over(Window.partitionBy("__g").orderBy("__p").rowsBetween(Window.unboundedPreceding, -1))
+    shift = totals.select(F.to_json("__g").alias("__k"), "__p", F.coalesce(before, F.lit(0)).alias("__shift"))
+    out = parts.withColumn(to, local).withColumn("__k", F.to_json("__g")).join(shift, ["__k", "__p"])
+    return out.withColumn(to, F.col(to) + F.col("__shift")).drop("__k", "__p", "__i", "__g", "__v", "__shift")
+
+
 def chunk_by_count(rows: DataFrame, group: str, order: list[Column], size: int) -> DataFrame:
     """Adds rn and chunk_no (from 0): at most `size` rows of a group in a chunk."""
-    rn = F.row_number().over(Window.partitionBy(group).orderBy(*order))
-    return rows.withColumn("rn", rn.cast("bigint")).withColumn("chunk_no", F.floor((F.col("rn") - 1) / size).cast("bigint"))
+    ranked = running_total(rows, group, order, F.lit(1), "rn").withColumn("rn", F.col("rn").cast("bigint"))
+    return ranked.withColumn("chunk_no", F.floor((F.col("rn") - 1) / size).cast("bigint"))
+
+
+def chunk_name(stem: Column, number: Column, first: int = 1) -> Column:
+    """Name of a batch: stem, mark and its number from `first` on, with at least four digits."""
+    n = (number + first).cast("string")
+    return F.concat(stem, F.lit("_headline_batch_"), F.lpad(n, F.greatest(F.lit(4), F.length(n)), F.lit("0")))
 
 
 def chunk_greedy(rows: DataFrame, group: str, order: str, sizes: list[tuple[str, int]], count_cap: int) -> DataFrame:
     """Adds chunk_no: rows in order, a new chunk begins when the row would break the count cap or a size's cap.
 
-    The rule is a resetting scan, so a group is folded in order, as a stream of Arrow batches whose state is one counter
-    per cap; no group is ever held in memory.
+    The rule is a resetting scan: where a chunk begins depends on all rows before. A group is folded in order, as a stream
+    of Arrow batches whose state is one counter per cap; no group is ever held in memory, but one task scans it.
     """
     import pandas as pd
 
@@ -95,5 +126,4 @@ def chunk_greedy(rows: DataFrame, group: str, order: str, sizes: list[tuple[str,
 
 def take_under_cap(rows: DataFrame, group: str, order: list[Column], size: str, cap: int) -> DataFrame:
     """Rows of each group, in order, until the running sum first passes the cap."""
-    w = Window.partitionBy(group).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return rows.withColumn("running", F.sum(size).over(w)).where(F.col("running") <= cap)
+    return running_total(rows, group, order, F.col(size), "running").where(F.col("running") <= cap)

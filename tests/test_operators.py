@@ -30,10 +30,45 @@ def test_fold_against_brute_force(spark):
 def test_cascade_is_sequential(spark):
     rows = [(1, "u1", "g1"), (2, "u1", "g2"), (3, "u2", "g2"), (4, None, "g1"), (5, None, None)]
     df = spark.createDataFrame(rows, "id long, u string, g string")
-    kept, stages = dedupe.cascade(df, [("u", F.col("u")), ("g", F.col("g"))], [F.col("id")])
-    assert sorted(r.id for r in kept.collect()) == [1, 3, 5]
-    flags = {r.id: r.dropped_by for r in dedupe.cascade_flags(df, [("u", F.col("u")), ("g", F.col("g"))], [F.col("id")]).collect()}
-    assert flags == {1: None, 2: "u", 3: None, 4: "g", 5: None}
+    passes = [("u", F.col("u")), ("g", F.col("g"))]
+    assert sorted(r.id for r in dedupe.cascade(df, "id", passes, []).collect()) == [1, 3, 5]
+    flags = dedupe.cascade_flags(df, "id", passes, [])
+    assert {r.id: r.dropped_by for r in flags.collect()} == {1: None, 2: "u", 3: None, 4: "g", 5: None}
+    assert {r.metric: r.value for r in dedupe.cascade_metrics(flags, ["u", "g"]).collect()} == {"before_u": 5, "before_g": 4, "kept_rows": 3}
+    assert {r.value for r in dedupe.cascade_metrics(dedupe.cascade_flags(df.limit(0), "id", passes, []), ["u", "g"]).collect()} == {0}
+    # missing order values come last, ties go to the least id
+    late = spark.createDataFrame([(1, "k", None), (2, "k", "b"), (3, "k", "a"), (4, "k", "a")], "id long, u string, g string")
+    assert [r.id for r in dedupe.cascade(late, "id", [("u", F.col("u"))], [F.col("g")]).collect()] == [3]
+
+
+def test_cascade_reads_its_table_once(spark, sf):
+    from presswork.plans import table_queries as tq
+
+    for q in (tq.dedupe_cascade, tq.dedupe_metrics):
+        assert "rss_items" not in q(spark, sf)._jdf.queryExecution().executedPlan().toString()  # only written rows are read after it
+
+
+def test_ranks_with_payload_over_many_partitions(spark):
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    try:
+        df = spark.range(3_000_000).select((F.col("id") * 7919 % 3_000_000).alias("x"), F.md5(F.col("id").cast("string")).alias("payload"), (F.col("id") % 3 == 0).alias("hot"))
+        ranked = state.global_rank(df, [F.col("x")])
+        assert ranked.where("rn <> x + 1").count() == 0 and ranked.select("rn").distinct().count() == 3_000_000
+        small = df.limit(20_000).select("x", F.when(F.col("hot"), F.lit(None)).otherwise(F.lit("g")).cast("string").alias("g"))
+        sums = state.running_total(small, "g", [F.col("x")], F.col("x"), "s").collect()
+        by, want = {}, {}
+        for r in sorted(small.collect(), key=lambda r: r.x):
+            by[r.g] = by.get(r.g, 0) + r.x
+            want[r.g, r.x] = by[r.g]
+        assert {(r.g, r.x): r.s for r in sums} == want
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_chunk_names(spark):
+    got = spark.range(2).select(state.chunk_name(F.lit("human_en"), F.col("id") * 12345).alias("n")).collect()
+    assert [r.n for r in got] == ["human_en_headline_batch_0001", "human_en_headline_batch_12346"]
 
 
 def test_blocklist_suffixes(spark):
