@@ -12,8 +12,8 @@ from presswork.session import written
 def first_per_key(df: DataFrame, key: Column, order: list[Column], keep_missing: bool = True) -> DataFrame:
     """Rows that are first of their key in the given total order; rows without a key are all kept (or all dropped).
 
-    Only keys and order are ranked by a window whose group limit runs before the shuffle too, so a key that holds a
-    third of the rows arrives as one row per input partition.
+    The window's group limit runs before the shuffle too, so a key that holds a third of the rows arrives as one row per
+    input partition.
     """
     keyed = df.withColumn("__key", key)
     ranked = keyed.where(F.col("__key").isNotNull()).withColumn("__n", F.row_number().over(Window.partitionBy("__key").orderBy(*order)))
@@ -21,28 +21,40 @@ def first_per_key(df: DataFrame, key: Column, order: list[Column], keep_missing:
     return firsts.unionByName(keyed.where(F.col("__key").isNull()).drop("__key")) if keep_missing else firsts
 
 
-def cascade(df: DataFrame, passes: list[tuple[str, Column]], order: list[Column]) -> tuple[DataFrame, list[tuple[str, DataFrame]]]:
-    """(rows kept, [(pass name, rows before that pass)]): each pass keeps the first row per key among the survivors of the
-    one before; a row dropped early thus shadows nothing later. Missing keys never match."""
-    stages = []
-    for name, key in passes:
-        stages.append((name, df))
-        df = first_per_key(df, key, order)
-    return df, stages
-
-
-def cascade_flags(df: DataFrame, passes: list[tuple[str, Column]], order: list[Column]) -> DataFrame:
-    """df with `dropped_by`: the pass that drops the row, NULL for kept rows. Counts per value conserve the input."""
-    out = df.withColumn("dropped_by", F.lit(None).cast("string"))
-    for name, key in passes:
-        live = F.col("dropped_by").isNull() & F.col("__key").isNotNull()
-        out = out.withColumn("__key", key)
-        w = Window.partitionBy("__live", "__key").orderBy(*order)
-        # rows out of the game get a key of their own, so that they share no task
-        out = out.withColumn("__live", live).withColumn("__key", F.when(F.col("__live"), F.col("__key")).otherwise(F.uuid()))
-        n = F.row_number().over(w)
-        out = out.withColumn("dropped_by", F.when(F.col("__live") & (n > 1), name).otherwise(F.col("dropped_by"))).drop("__key", "__live")
-    return out
+def cascade_flags(df: DataFrame, id_col: str, passes: list[tuple[str, Column]], order: list[Column]) -> DataFrame:
+    """(id, dropped_by) of every row: the pass that drops it, NULL for kept rows. Each pass keeps the first row per key
+    among the survivors of the one before, so a row dropped early shadows nothing later; missing keys never match; order
+    is rising, missing values last. Counts per value of dropped_by conserve the input.
+
+    The table is read once, into written rows of id, keys and order. A pass folds them to the first id of each key by
+    partial aggregates, so a key on a third of the rows is no task's burden, and joins those ids back by id, which is
+    unique; only ids of dropped rows are written.
+    """
+    names = [name for name, _ in passes]
+    rank = F.struct(*[x for c in order for x in (c.isNull(), c)], F.col(id_col))
+    base = written(df.select(F.col(id_col).alias("id"), *[k.alias(f"k{i}") for i, (_, k) in enumerate(passes)], rank.alias("rank")), "cascade")
+    live, gone = base, None
+    for i, name in enumerate(names):
+        have = live.where(F.col(f"k{i}").isNotNull())
+        firsts = have.groupBy(f"k{i}").agg(F.min("rank").alias("rank")).select(F.col(f"rank.{id_col}").alias("id"))
+        dropped = written(have.select("id").join(firsts, "id", "left_anti").withColumn("dropped_by", F.lit(name)), "dropped")
+        gone = dropped if gone is None else gone.unionByName(dropped)
+        live = live.join(dropped.select("id"), "id", "left_anti")
+    return base.select("id").join(gone, "id", "left") if gone is not None else base.select("id", F.lit(None).cast("string").alias("dropped_by"))
+
+
+def cascade(df: DataFrame, id_col: str, passes: list[tuple[str, Column]], order: list[Column]) -> DataFrame:
+    """The rows of df that cascade_flags keeps."""
+    kept = cascade_flags(df, id_col, passes, order).where("dropped_by IS NULL").select(F.col("id").alias(id_col))
+    return df.join(kept, id_col, "left_semi")
+
+
+def cascade_metrics(flags: DataFrame, passes: list[str]) -> DataFrame:
+    """(metric, value): rows before each pass and rows kept, from one count over the flags."""
+    n = flags.groupBy("dropped_by").agg(F.count(F.lit(1)).alias("n"))
+    later = lambda names: F.coalesce(F.sum(F.when(F.col("dropped_by").isNull() | F.col("dropped_by").isin(names), F.col("n"))), F.lit(0)).cast("bigint")
+    values = [F.struct(F.lit(f"before_{p}").alias("metric"), later(passes[i:]).alias("value")) for i, p in enumerate(passes)]
+    return n.agg(F.array(*values, F.struct(F.lit("kept_rows").alias("metric"), later([]).alias("value"))).alias("m")).select(F.inline("m"))
 
 
 def first_ignoring_case(df: DataFrame, col: str, order: list[Column]) -> DataFrame:

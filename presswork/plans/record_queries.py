@@ -74,7 +74,7 @@ def rss_pipeline(spark, d):
     cols = ["item_id", "dataset_key", "source_domain", "rss_pubdate_utc", "date_window_start", "date_window_end", "retrieved_at", "google_news_redirect_url", "guid", "rss_title"]
     items = read_table(spark, d, "rss_items").select(*cols).withColumn("host", extract_domain(F.col("source_domain")))
     passes, order = _cascade_parts()
-    kept = dedupe.cascade(blocklist.without_blocked(items, "host", blocked), passes, order)[0]
+    kept = dedupe.cascade(blocklist.without_blocked(items, "host", blocked), "item_id", passes, order)
     return kept.groupBy("dataset_key").agg(F.count(F.lit(1)).alias("items"), F.countDistinct("host").alias("hosts"))
 
 

@@ -13,7 +13,7 @@ _ORDER = ["date_window_start", "date_window_end", "retrieved_at", "google_news_r
 
 
 def _cascade_parts():
-    order = [F.col(c).asc_nulls_last() for c in _ORDER] + [F.col("item_id")]
+    order = [F.col(c) for c in _ORDER]
     stamp = F.date_format("rss_pubdate_utc", "yyyy-MM-dd HH:mm:ss")
     passes = [
         ("redirect_url", F.nullif(F.col("google_news_redirect_url"), F.lit(""))),
@@ -25,19 +25,13 @@ def _cascade_parts():
 
 def dedupe_cascade(spark, d):
     passes, order = _cascade_parts()
-    slim = read_table(spark, d, "rss_items").select("item_id", "rss_pubdate_utc", *_ORDER)
-    return dedupe.cascade(slim, passes, order)[0].select("item_id")
+    flags = dedupe.cascade_flags(read_table(spark, d, "rss_items"), "item_id", passes, order)
+    return flags.where("dropped_by IS NULL").select(F.col("id").alias("item_id"))
 
 
 def dedupe_metrics(spark, d):
     passes, order = _cascade_parts()
-    slim = read_table(spark, d, "rss_items").select("item_id", "rss_pubdate_utc", *_ORDER)
-    kept, stages = dedupe.cascade(slim, passes, order)
-    sizes = [f.agg(F.count(F.lit(1)).alias("n")).select(F.lit(f"before_{name}").alias("metric"), F.col("n").alias("value")) for name, f in stages]
-    out = kept.agg(F.count(F.lit(1)).alias("n")).select(F.lit("kept_rows").alias("metric"), F.col("n").alias("value"))
-    for s in sizes:
-        out = out.unionByName(s)
-    return out
+    return dedupe.cascade_metrics(dedupe.cascade_flags(read_table(spark, d, "rss_items"), "item_id", passes, order), [name for name, _ in passes])
 
 
 def dedupe_first(spark, d):
