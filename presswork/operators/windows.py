@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from presswork.session import written
-
 LADDER = [30, 14, 7, 3, 1]
 THRESHOLD = 100
 COARSE_YEARS = 5
@@ -67,39 +65,38 @@ def split_ladder(
     """(key, window_start, window_end, entries, status, saturated): leaves of the ladder for each key.
 
     A window with `threshold` entries or more is split into the coarse windows, then into those of the next level; a
-    child equal to its parent is not split again. Facts are counted once per (key, day); at each level every day finds
-    its window by arithmetic, so no level needs a range join. The loop runs over the levels, never over windows.
+    child equal to its parent is not split again, single days stay whole. Facts are counted once per (key, day) and summed
+    up over the days of the period, one array of a number per day for each key; the entries of any window are the
+    difference of two of them. So the whole ladder is one expression over a key's row, without a join or a scan per level.
     """
     spark: SparkSession = facts.sparkSession
     levels = ladder_levels(levels)
-    days = facts.where(F.col(day).between(F.to_date(F.lit(start)), F.to_date(F.lit(end)))).groupBy(key, day).agg(F.count(F.lit(1)).alias("n"))
-    days = written(days, "ladder-days")
-    whole = facts.select(key).distinct().select(key, F.to_date(F.lit(start)).alias("s"), F.to_date(F.lit(end)).alias("e"))
-    coarse = coarse_windows(spark.createDataFrame([(0,)], "x int").select(F.to_date(F.lit(start)).alias("a"), F.to_date(F.lit(end)).alias("b")), "a", "b", years)
-    coarse = coarse.select(F.col("window_start").alias("s2"), F.col("window_end").alias("e2"))
-    frontier, leaves = whole, None
-    steps: list[int | None] = [None, *levels]
-    for depth in range(len(steps) + 1):
-        # written at each level: leaves and splits read it, and no level computes the ones above again
-        counted = written(_count(days, frontier, key, day), "ladder-level")
-        # a window of at most the level's size passes on unchanged until a level is smaller; single days stay whole
-        split = (F.col("entries") >= threshold) & (F.datediff("e", "s") > 0) & F.lit(depth < len(steps))
-        leaf, deeper = counted.where(~split), counted.where(split)
-        done = leaf.select(key, F.col("s").alias("window_start"), F.col("e").alias("window_end"), "entries")
-        leaves = done if leaves is None else leaves.unionByName(done)
-        if depth == len(steps):
-            break
-        size = steps[depth]
-        if size is None:
-            frontier = deeper.join(F.broadcast(coarse)).select(key, F.col("s2").alias("s"), F.col("e2").alias("e"))
-        else:
-            frontier = fixed_windows(deeper.select(key, "s", "e"), "s", "e", size).select(key, F.col("window_start").alias("s"), F.col("window_end").alias("e"))
+    first, last = F.to_date(F.lit(start)), F.to_date(F.lit(end))
+    per_day = facts.where(F.col(day).between(first, last)).groupBy(key, day).agg(F.count(F.lit(1)).alias("n"))
+    # a key without an entry in the period keeps its one empty window; a row per day of the period
+    dense = facts.select(key).distinct().select(key, F.explode(F.sequence(first, last)).alias(day)).join(per_day, [key, day], "left")
+    up_to = F.sum(F.coalesce("n", F.lit(0))).over(Window.partitionBy(key).orderBy(day))
+    sums = dense.select(key, F.struct(day, up_to.alias("c")).alias("x")).groupBy(key).agg(F.array_sort(F.collect_list("x")).alias("x"))
+    sums = sums.select(key, F.array_insert(F.transform("x", lambda x: x["c"]), 1, F.lit(0).cast("bigint")).alias("sums"))
+
+    def entries(w: Column) -> Column:
+        return F.element_at("sums", F.datediff(w["e"], first) + 2) - F.element_at("sums", F.datediff(w["s"], first) + 1)
+
+    def split(w: Column, children: Column) -> Column:
+        return F.when((entries(w) >= threshold) & (F.datediff(w["e"], w["s"]) > 0), children).otherwise(F.array(w))
+
+    def of_size(w: Column, size: int) -> Column:
+        starts = F.sequence(w["s"], w["e"], F.expr(f"interval {size} days"))
+        return F.transform(starts, lambda x: F.struct(x.alias("s"), F.least(w["e"], F.date_add(x, size - 1)).alias("e")))
+
+    whole = spark.range(1).select(first.alias("a"), last.alias("b"))
+    # a few windows of several years
+    periods = [(r.window_start, r.window_end) for r in coarse_windows(whole, "a", "b", years).orderBy("window_start").collect()]
+    coarse = F.array(*[F.struct(F.lit(a).alias("s"), F.lit(b).alias("e")) for a, b in periods])
+    out = sums.withColumn("w", F.array(F.struct(first.alias("s"), last.alias("e"))))
+    out = out.withColumn("w", F.flatten(F.transform("w", lambda w: split(w, coarse))))
+    for size in levels:
+        out = out.withColumn("w", F.flatten(F.transform("w", lambda w: split(w, of_size(w, size)))))  # noqa: B023
+    leaves = out.select(key, F.inline(F.transform("w", lambda w: F.struct(w["s"].alias("window_start"), w["e"].alias("window_end"), entries(w).alias("entries")))))
     status = F.when(F.col("entries") == 0, "empty").otherwise("success")
     return leaves.withColumn("status", status).withColumn("saturated", (F.col("entries") >= threshold))
-
-
-def _count(days: DataFrame, windows: DataFrame, key: str, day: str) -> DataFrame:
-    """Windows with the number of entries in them: an equi-join on (key, day) of the windows' days."""
-    each = windows.select(key, "s", "e", F.explode(F.sequence("s", "e", F.expr("interval 1 day"))).alias(day))
-    hits = each.join(days, [key, day]).groupBy(key, "s", "e").agg(F.sum("n").alias("entries"))
-    return windows.join(hits, [key, "s", "e"], "left").select(key, "s", "e", F.coalesce("entries", F.lit(0)).cast("bigint").alias("entries"))
