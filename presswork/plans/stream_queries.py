@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from presswork.session import new_path
-from presswork.sources.writers import append_table
+from presswork.sources.writers import write_batch
 from presswork.streaming.ingest import start, windowed_counts
 
 
@@ -30,7 +30,7 @@ def stream_first_events(spark, d):
     """Each event once, by a stream that drops repeats within its watermark, per type."""
     out = new_path(spark, "events")
     once = _events(spark, d).withWatermark("ts", "60 days").dropDuplicatesWithinWatermark(["event_id"]).select("event_id", "event_type")
-    start(once, lambda df, n: append_table(df, out), new_path(spark, "events-state")).awaitTermination()
+    start(once, lambda df, n: write_batch(df, n, out), new_path(spark, "events-state")).awaitTermination()
     return spark.read.parquet(out).groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("event_id").alias("ids"))
 
 

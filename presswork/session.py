@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import io
 import os
+import shutil
 import tempfile
 import uuid
 import zipfile
@@ -62,18 +64,26 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share, as the cluster names it in spark.checkpoint.dir.
 
-    Only where that setting is absent (tests, local runs) a folder of our own is made and set.
+    Only where that setting is absent and driver and executors are one process (tests, local runs) a folder of our own is
+    made and set; it goes when the process ends. On a cluster without the setting there is no folder to use.
     """
     given = spark.conf.get("spark.checkpoint.dir", None)
     if given is None:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise RuntimeError(f"spark.checkpoint.dir must name a folder that all executors of {master} share")
         given = tempfile.mkdtemp(prefix="presswork-")
+        atexit.register(shutil.rmtree, given, True)
         spark.conf.set("spark.checkpoint.dir", given)
     return given
 
 
 def new_path(spark: SparkSession, label: str) -> str:
-    """A fresh path under the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/presswork-{label}-{uuid.uuid4().hex}"
+    """A fresh path under the shared folder; release() removes it."""
+    path = f"{shared_dir(spark).rstrip('/')}/presswork-{label}-{uuid.uuid4().hex}"
+    context = spark.sparkContext
+    context._presswork_paths = [*getattr(context, "_presswork_paths", []), *([] if label == "package" else [path])]
+    return path
 
 
 def written(df: DataFrame, label: str, partition_by: list[str] | None = None) -> DataFrame:
@@ -87,6 +97,18 @@ def written(df: DataFrame, label: str, partition_by: list[str] | None = None) ->
     return spark.read.schema(df.schema).parquet(path) if not partition_by else spark.read.parquet(path)
 
 
+def release(spark: SparkSession) -> int:
+    """Remove all intermediate tables written so far; frames built on them can no longer be read. Returns their number.
+
+    Frames are lazy, so only the caller knows when a result has been read or stored.
+    """
+    context = spark.sparkContext
+    paths, context._presswork_paths = getattr(context, "_presswork_paths", []), []
+    for path in paths:
+        delete_path(spark, path)
+    return len(paths)
+
+
 def delete_path(spark: SparkSession, path: str) -> None:
     """Remove a folder written by new_path/written, on whatever file system holds it."""
     jvm = spark.sparkContext._jvm

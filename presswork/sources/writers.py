@@ -13,10 +13,27 @@ def _fs(spark: SparkSession, path: str):
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
 
 
+def recover_table(spark: SparkSession, path: str) -> bool:
+    """Put back the table that a replacement took aside, if it broke off before the new one was in place."""
+    fs, target = _fs(spark, path)
+    _, aside = _fs(spark, f"{path.rstrip('/')}.replaced")
+    if not fs.exists(aside):
+        return False
+    if fs.exists(target):
+        fs.delete(aside, True)
+        return False
+    return fs.rename(aside, target)
+
+
 def replace_table(df: DataFrame, path: str, fmt: str = "parquet", partition_by: list[str] | None = None) -> None:
-    """Write beside the target, then swap: readers see the old table or the new one."""
+    """Write beside the target, take the old table aside, move the new one in, remove the old.
+
+    A folder cannot be replaced in one step on every file system: between the two renames the path is absent, and no row
+    is ever lost. A job that breaks off there leaves the old table aside; the next call, or recover_table(), puts it back.
+    """
     spark = df.sparkSession
     staged = f"{path.rstrip('/')}.staged"
+    recover_table(spark, path)
     writer = df.write.mode("overwrite").format(fmt)
     if fmt == "csv":
         writer = writer.option("header", True).option("escape", '"')
@@ -25,9 +42,15 @@ def replace_table(df: DataFrame, path: str, fmt: str = "parquet", partition_by:
     writer.save(staged)
     fs, target = _fs(spark, path)
     _, source = _fs(spark, staged)
-    fs.delete(target, True)
+    _, aside = _fs(spark, f"{path.rstrip('/')}.replaced")
+    had = fs.exists(target)
+    if had and not fs.rename(target, aside):
+        raise OSError(f"could not move {path} aside")
     if not fs.rename(source, target):
+        recover_table(spark, path)
         raise OSError(f"could not move {staged} to {path}")
+    if had:
+        fs.delete(aside, True)
 
 
 def append_table(df: DataFrame, path: str, fmt: str = "parquet", partition_by: list[str] | None = None) -> None:
@@ -35,6 +58,11 @@ def append_table(df: DataFrame, path: str, fmt: str = "parquet", partition_by: l
     (writer.partitionBy(*partition_by) if partition_by else writer).save(path)
 
 
+def write_batch(df: DataFrame, batch: int, path: str, fmt: str = "parquet") -> None:
+    """One micro-batch of a stream under its number: a batch that is run again after a failure replaces its own rows."""
+    df.write.mode("overwrite").format(fmt).save(f"{path.rstrip('/')}/batch={batch}")
+
+
 def write_requests(df: DataFrame, path: str) -> None:
     """Request lines as JSON, one file per chunk_no if there is such a column."""
     writer = df.write.mode("overwrite")

@@ -31,6 +31,10 @@ def windowed_counts(events: DataFrame, at: str, key: str, size: str = "1 hour",
 
 
 def start(df: DataFrame, each_batch: Callable[[DataFrame, int], None], checkpoint: str, available_now: bool = True) -> StreamingQuery:
-    """Run a stream into a function of (batch, number); the checkpoint makes it resume where it ended."""
+    """Run a stream into a function of (batch, number); the checkpoint makes it resume where it ended.
+
+    After a failure the last batch comes again under its number, so the function must replace by number what it wrote
+    (writers.write_batch) or merge by key; plain appending would double its rows.
+    """
     writer = df.writeStream.foreachBatch(each_batch).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()
