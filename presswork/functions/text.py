@@ -64,6 +64,28 @@ def model_text(title: Column, body: Column, limit: int = 900) -> Column:
     return F.when((t != "") & (b != ""), F.concat(t, F.lit("\n\n"), b)).when(t != "", t).otherwise(b)
 
 
+def model_ready(body: Column, counted: Column, least: int = 120) -> Column:
+    """An article with text and enough words for a topic model."""
+    return (normalize_ws(body) != "") & (F.coalesce(counted.cast("string").try_cast("double"), F.lit(0.0)) >= least)
+
+
+def to_float(c: Column) -> Column:
+    """A number from its text, NULL for anything else."""
+    return F.trim(text_or_empty(c)).try_cast("double")
+
+
+def with_subtype(name: Column, subtype: Column) -> Column:
+    """The name with its subtype behind it, unless it holds it already."""
+    n, s = normalize_ws(name), normalize_ws(subtype)
+    return F.when((s == "") | F.lower(n).contains(F.lower(s)), n).otherwise(F.concat_ws(" ", F.nullif(n, F.lit("")), s))
+
+
+def elapsed(seconds: Column) -> Column:
+    """Seconds as hours, minutes and seconds."""
+    s = F.floor(seconds).cast("bigint")
+    return F.format_string("%02d:%02d:%02d", F.floor(s / 3600).cast("bigint"), F.floor(s % 3600 / 60).cast("bigint"), s % 60)
+
+
 def token_set(c: Column) -> Column:
     """Distinct lower-case ASCII words, sorted."""
     return F.array_sort(F.array_distinct(F.regexp_extract_all(F.lower(text_or_empty(c)), F.lit("([a-z0-9]+)"))))

@@ -5,8 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from presswork.functions.text import normalize_ws, slugify
+from presswork.operators.windows import window_days
 from presswork.session import written
 
+#: Columns that name a planned request.
+MANIFEST_KEYS = ["pathogen_domain", "language_code", "locale_id", "request_lang", "request_country", "request_accept_language", "search_string", "window_start", "window_end", "window_role"]
+
 
 def cross_manifest(*parts: DataFrame) -> DataFrame:
     """Every combination of small planning tables (search strings, locales, windows); the result is what is planned, so
@@ -17,6 +22,58 @@ def cross_manifest(*parts: DataFrame) -> DataFrame:
     return out
 
 
+def cache_path(dataset: Column, locale: Column, slug: Column, start: Column, end: Column, extension: str = "json") -> Column:
+    """Where the answer to a request lies: the same for the same request."""
+    name = F.concat(dataset, F.lit("_"), start, F.lit("_"), end, F.lit(f".{extension}"))
+    return F.concat_ws("/", F.lit("data/raw/rss"), dataset, locale, slug, name)
+
+
+def new_manifest(domain: str, language: str, strings: DataFrame, locales: DataFrame, windows: DataFrame, role: str = "base") -> DataFrame:
+    """Pending rows of every search string, locale (id, lang, country, accept_language) and window."""
+    spec = locales.selectExpr("id AS locale_id", "lang AS request_lang", "country AS request_country", "accept_language AS request_accept_language")
+    m = cross_manifest(strings.select("search_string"), spec, windows.select("window_start", "window_end"))
+    dataset = F.lit(f"{domain}_{language}")
+    days = window_days(F.to_date("window_start"), F.to_date("window_end")).cast("string")
+    empty = {c: F.lit("") for c in ("parent_window_start", "parent_window_end", "split_trigger_entries", "entry_count", "http_status", "last_attempt_at", "next_eligible_attempt_at", "error_summary")}
+    m = m.withColumns({"pathogen_domain": F.lit(domain), "language_code": F.lit(language), "query_slug": slugify(F.col("search_string")), "window_days": days, "window_role": F.lit(role), "status": F.lit("pending")})
+    m = m.withColumns({"attempts": F.lit("0"), "elapsed_request_seconds": F.lit("0"), **empty})
+    return m.withColumn("cached_path", cache_path(dataset, F.col("locale_id"), F.col("query_slug"), F.col("window_start"), F.col("window_end")))
+
+
+def load_manifest(default: DataFrame, existing: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
+    """A stored manifest brought up to the plan: its rows, missing values filled from the planned row of their key, then
+    the planned rows it lacks. Rows without a role are base windows if planned, else children.
+
+    If not one stored row is planned, the manifest is of another way of scanning and the plan replaces it.
+    """
+    same = [F.col(f"e.{k}").eqNullSafe(F.col(f"p.{k}")) for k in keys]
+    if not existing.isEmpty() and not default.isEmpty() and existing.alias("e").join(default.alias("p"), same, "left_semi").isEmpty():
+        return default.select(*keys, *values)
+    filled = [F.coalesce(F.nullif(F.trim(f"e.{v}"), F.lit("")), F.col(f"p.{v}")).alias(v) for v in values]
+    planned = F.when(F.col("p.__planned"), "base").otherwise("hierarchical_child")
+    role = [F.coalesce(F.nullif(F.trim("e.window_role"), F.lit("")), planned).alias(k) if k == "window_role" else F.col(f"e.{k}") for k in keys]
+    stored = existing.alias("e").join(default.withColumn("__planned", F.lit(True)).alias("p"), same, "left").select(*role, *filled)
+    absent = default.alias("p").join(existing.alias("e"), same, "left_anti").select(*keys, *values)
+    return stored.unionByName(absent)
+
+
+def valid_success(status: Column, full_text: Column, content_hash: Column, words: Column, least: int = 120) -> Column:
+    """A stored article that need not be fetched again."""
+    n = F.coalesce(words.cast("string").try_cast("double"), F.lit(0.0))
+    return (F.lower(normalize_ws(status)) == "success") & (normalize_ws(full_text) != "") & (normalize_ws(content_hash) != "") & (n >= least)
+
+
+def select_rows(rows: DataFrame, column: str, wanted: list[str]) -> DataFrame:
+    """Rows whose column has one of the wanted values, all rows if none are named; a name that no row has is an error."""
+    if not wanted:
+        return rows
+    out = rows.where(F.col(column).isin(list(wanted)))
+    known = {r[0] for r in out.select(column).distinct().collect()}
+    if set(wanted) - known:
+        raise ValueError(f"no row has {column} {sorted(set(wanted) - known)}")
+    return out
+
+
 def merge_manifest(default: DataFrame, existing: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
     """Rows of either table by key; values of the existing row win where they are not missing."""
     e = existing.select(*keys, *[F.nullif(F.trim(c), F.lit("")).alias(f"__{c}") for c in values]).dropDuplicates(keys)

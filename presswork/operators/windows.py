@@ -59,6 +59,54 @@ def stage_label(days: Column, levels: list[int]) -> Column:
     return out
 
 
+def role_stage(role: Column, days: Column, levels: list[int] | None = None, years: int = COARSE_YEARS) -> Column:
+    """Stage of a planned window by its role, or by the smallest level that holds its days (the largest if none does)."""
+    steps = ladder_levels(levels)
+    r, n = F.coalesce(F.nullif(F.trim(role), F.lit("")), F.lit("species_scan")), F.greatest(F.coalesce(days, F.lit(1)), F.lit(1))
+    return F.when(r == "species_scan", "whole_period").when(r == "coarse_period", f"{max(1, years)}_year").otherwise(stage_label(F.least(n, F.lit(steps[0])), steps))
+
+
+def stage_rank(stage: Column, levels: list[int] | None = None, years: int = COARSE_YEARS) -> Column:
+    """Place of a stage in the order of work, unknown ones last."""
+    order = ["whole_period", f"{max(1, years)}_year", *[f"{n}_day" for n in ladder_levels(levels)]]
+    return F.coalesce(*[F.when(stage == name, i) for i, name in enumerate(order)], F.lit(len(order)))
+
+
+def scan_summary(manifest: DataFrame, threshold: int = THRESHOLD, levels: list[int] | None = None, years: int = COARSE_YEARS) -> DataFrame:
+    """The manifest with stage_label, stage_rank, entry_count, threshold_bucket and next_action.
+
+    Entries fall back to those that caused a split, then to 0 where the status says empty; else they are unknown.
+    """
+    as_int = lambda c: F.expr(f"try_cast({c} AS bigint)")
+    n = F.coalesce(as_int("entry_count"), as_int("split_trigger_entries"), F.when(F.col("status") == "empty", 0))
+    role = F.coalesce(F.nullif(F.trim("window_role"), F.lit("")), F.lit("species_scan"))
+    bucket = F.when(n.isNull(), "unknown").when(n >= threshold, "at_or_above_threshold").otherwise("below_threshold")
+    action = (
+        F.when(F.col("status").isin("success", "empty"), "scrape_now")
+        .when((F.col("status") == "split") & (role == "species_scan"), "split_into_coarse_periods")
+        .when(F.col("status") == "split", "split_into_smaller_windows")
+        .when(F.col("status").isin("throttled", "failed"), "retry_needed")
+        .otherwise("pending")
+    )
+    stage = role_stage(F.col("window_role"), as_int("window_days").cast("int"), levels, years)
+    out = manifest.withColumn("stage_label", stage).withColumn("stage_rank", stage_rank(F.col("stage_label"), levels, years))
+    return out.withColumns({"threshold_bucket": bucket, "next_action": action, "entry_count": n})
+
+
+def marked_runs(rows: DataFrame, key: str, order: list[str], start: Column, end: Column, warning: Column) -> DataFrame:
+    """(key, run_no, started, ended, warnings): runs that a start marker opens and the next end marker closes; rows before
+    the first start and after an end belong to no run, a start within an open run begins another. Unfinished runs are left
+    out. One log is one key."""
+    w = Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    run = rows.withColumn("__start", start).withColumn("__end", end).withColumn("__warn", warning)
+    run = run.withColumn("run_no", F.sum(F.coalesce("__start", F.lit(False)).cast("int")).over(w)).where("run_no > 0")
+    own = Window.partitionBy(key, "run_no").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ends = F.coalesce(F.col("__end"), F.lit(False)).cast("int")
+    run = run.withColumn("__closed", F.sum(ends).over(own) - ends).where("__closed = 0")
+    g = run.groupBy(key, "run_no").agg(F.min(order[0]).alias("started"), F.min(F.when(F.col("__end"), F.col(order[0]))).alias("ended"), F.sum(F.coalesce("__warn", F.lit(False)).cast("int")).cast("bigint").alias("warnings"))
+    return g.where("ended IS NOT NULL").withColumn("run_no", F.col("run_no").cast("bigint"))
+
+
 def split_ladder(
     facts: DataFrame, key: str, day: str, start: str, end: str, threshold: int = THRESHOLD, levels: list[int] | None = None, years: int = COARSE_YEARS
 ) -> DataFrame:

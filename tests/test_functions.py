@@ -3,7 +3,7 @@ from email.utils import parsedate_to_datetime
 
 from pyspark.sql import functions as F
 
-from presswork.functions import html, model_output, text, urls
+from presswork.functions import html, links, model_output, text, urls
 
 
 def one(spark, value, fn):
@@ -75,3 +75,51 @@ def test_page_fields():
 def test_term_lists(spark):
     assert one(spark, "b; B ,, a|b", text.split_terms) == ["b", "a"]
     assert one(spark, "x", lambda c: text.search_string(F.array(c, F.lit('q"r')))) == '"x" OR "qr"'
+
+
+def article_id(url, marks=b"\x08\x13\x22"):
+    import base64
+
+    raw, n = url.encode(), len(url.encode())
+    size = bytes([n]) if n < 128 else bytes([n % 128 + 128, n // 128])
+    return base64.urlsafe_b64encode(marks + size + raw + b"\xd2\x01\x00").decode().rstrip("=")
+
+
+def test_decoded_article_ids():
+    long = "https://p.example/" + "a" * 300
+    for url in ("https://p.example/a?b=1", "HTTP://p.example/", long):
+        assert links.decode_article_id(article_id(url)) == url and links.decode_article_id(article_id(url, b"\x08\x13")) == url
+    # a wrong length, or none that fits: the address among the bytes
+    import base64
+
+    odd = base64.urlsafe_b64encode(b"\x05zz https://q.example/x\" y").decode()
+    assert links.decode_article_id(odd) == "https://q.example/x"
+    for bad in (None, "", "a", "AAAA", "?!", base64.urlsafe_b64encode(b"\xff" * 20).decode()):
+        assert links.decode_article_id(bad) is None
+
+
+def test_link_decisions(spark):
+    hub = "https://news.google.com/rss/articles/"
+    rows = [("https://p.example/a", None, None), (hub + article_id("https://p.example/b") + "?oc=5", None, None), (hub + "AAAA", "https://p.example/c", None), (hub + "AAAA", None, "missing_sig_ts"), (None, None, None)]
+    df = spark.createDataFrame(rows, "u string, online string, err string").select(links.resolved_link(F.coalesce("u", F.lit("")), F.col("online"), F.col("err")).alias("r"))
+    assert [tuple(r.r) for r in df.collect()] == [
+        ("https://p.example/a", "not_wrapper", ""), ("https://p.example/b", "decoded_offline", ""), ("https://p.example/c", "decoded_online", ""), (hub + "AAAA", "decode_failed", "missing_sig_ts"), ("", "not_wrapper", ""),
+    ]
+
+
+def test_locales_and_instants(spark):
+    for v, want in {"es-419": "MX", "pt-PT": "PT", "fr": "FR", "en-gb": "GB", "pt": "BR", "xx": None}.items():
+        assert one(spark, v, links.variant_country) == want
+    got = spark.range(1).select(links.accept_language(F.lit("fr"), F.lit("fr-CA"), F.array(*map(F.lit, ["fr", "fr-CA", " ", "fr-FR"]))).alias("a")).first().a
+    assert got == "fr-CA,fr;q=0.9,fr-FR;q=0.8,en;q=0.3"
+    for s, want in {"2021-01-03T09:32:06Z": 1609666326, "2021-01-03 09:32:06+02:00": 1609659126, "2021-01-03": 1609632000, "03 Jan 2021": None, "": None, "2021-13-40": None}.items():
+        assert one(spark, s, lambda c: F.unix_seconds(links.lenient_instant(c))) == want
+    assert one(spark, "Sorry: Before you continue to Google", lambda c: links.consent_page(F.lit(None).cast("string"), c)) is True
+    assert one(spark, "cookies and data", lambda c: links.consent_page(F.lit("https://x.example"), c)) is False
+
+
+def test_small_text_rules(spark):
+    assert one(spark, " 1e2 ", text.to_float) == 100.0 and one(spark, "x", text.to_float) is None
+    assert one(spark, "a  virus", lambda c: text.with_subtype(c, F.lit("H5 Virus"))) == "a virus H5 Virus"
+    assert one(spark, "H5 virus b", lambda c: text.with_subtype(c, F.lit("h5 Virus"))) == "H5 virus b"
+    assert spark.range(1).select(text.elapsed(F.lit(3725.9)).alias("e")).first().e == "01:02:05"
