@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -12,9 +13,13 @@ from pyspark.sql import types as T
 
 # fixed values: structured-data types that mark an article
 ARTICLE_TYPES = {"article", "newsarticle", "report", "analysisnewsarticle", "liveblogposting"}
-SKIPPED = {"script", "style", "noscript", "template", "nav", "header", "footer", "aside", "form"}
-# fixed values: parts of class or id names that mark boilerplate
-BOILERPLATE_HINTS = ["nav", "menu", "footer", "sidebar", "cookie", "banner", "promo", "share", "social", "comment", "related", "subscribe", "newsletter", "advert"]
+# fixed values: elements without article text
+SKIPPED = {"script", "style", "noscript", "nav", "footer", "aside", "iframe", "form", "button", "input", "svg", "canvas"}
+# fixed values: parts of class or id names that mark boilerplate, and elements that no such name removes
+BOILERPLATE_HINTS = ["cookie", "consent", "subscribe", "newsletter", "advert", "ads", "promo", "share", "social", "related", "recommended", "breadcrumb", "menu", "header", "footer", "sidebar"]
+NEVER_BOILERPLATE = {"html", "body", "article", "main"}
+#: Characters of a paragraph that counts for its container, of a paragraph where no container does, and of an article.
+LONG_PARAGRAPH, SHORT_PARAGRAPH, LEAST_TEXT = 40, 30, 250
 
 
 class _Text(HTMLParser):
@@ -52,6 +57,7 @@ class _Page(HTMLParser):
     """Collects metadata, structured data and candidate containers in one pass."""
 
     VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
+    CLOSES_P = {"p", "div", "section", "article", "main", "aside", "nav", "header", "footer", "form", "ul", "ol", "dl", "table", "blockquote", "pre", "h1", "h2", "h3", "h4", "h5", "h6"}
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
@@ -61,6 +67,8 @@ class _Page(HTMLParser):
         self.blocks: list[dict] = []
         self.ld: list[str] = []
         self.paragraphs: list[str] = []
+        #: texts of all paragraphs, boilerplate or not, and whether an article holds them
+        self.every: list[tuple[bool, str]] = []
 
     def handle_starttag(self, tag, attrs):
         a = {k: v or "" for k, v in attrs}
@@ -76,10 +84,13 @@ class _Page(HTMLParser):
             self.time = self.time or a.get("datetime", "")
         if tag in self.VOID:
             return
+        if tag in self.CLOSES_P and any(e["tag"] == "p" for e in self.stack):
+            self.handle_endtag("p")  # a paragraph ends where the next block begins
         hint = f"{a.get('class', '')} {a.get('id', '')}".lower()
         parent_bad = bool(self.stack and self.stack[-1]["bad"])
-        bad = parent_bad or tag in SKIPPED or any(h in hint for h in BOILERPLATE_HINTS)
-        self.stack.append({"tag": tag, "bad": bad, "type": a.get("type", ""), "text": [], "chars": 0, "p": 0, "punct": 0, "link": 0, "tags": 1})
+        bad = parent_bad or tag in SKIPPED or (tag not in NEVER_BOILERPLATE and any(h in hint for h in BOILERPLATE_HINTS))
+        inside = tag == "article" or bool(self.stack and self.stack[-1]["article"])
+        self.stack.append({"tag": tag, "bad": bad, "article": inside, "type": a.get("type", ""), "text": [], "raw": [], "paras": [], "link": 0})
 
     def handle_endtag(self, tag):
         at = next((i for i in range(len(self.stack) - 1, -1, -1) if self.stack[i]["tag"] == tag), None)
@@ -95,27 +106,28 @@ class _Page(HTMLParser):
             self.title = text
         elif e["tag"] == "script" and "ld+json" in e["type"]:
             self.ld.append("".join(e["text"]))
-        if e["tag"] == "p" and not e["bad"] and text:
-            self.paragraphs.append(text)
-        if e["tag"] in ("article", "main", "section", "div", "body") and not e["bad"]:
+        if e["tag"] == "p":
+            whole = " ".join("".join(e["raw"]).split())
+            if whole:
+                self.every.append((e["article"], whole))
+            if not e["bad"] and text:
+                self.paragraphs.append(text)
+                e["paras"].append(text)
+        if e["tag"] in ("article", "main", "section", "div") and not e["bad"]:
             self.blocks.append({**e, "text": text})
         if self.stack:
             up = self.stack[-1]
-            if e["tag"] not in ("script", "style", "title") and not e["bad"]:
-                up["text"] += [" ", *e["text"], " "]
-            up["p"] += e["p"] + (e["tag"] == "p")
-            up["chars"] += e["chars"]
-            up["punct"] += e["punct"]
-            up["link"] += e["chars"] if e["tag"] == "a" else e["link"]
-            up["tags"] += e["tags"]
+            if e["tag"] not in ("script", "style", "title"):
+                up["raw"] += [" ", *e["raw"], " "]
+                if not e["bad"]:
+                    up["text"] += [" ", *e["text"], " "]
+                    up["paras"] += e["paras"]
+                    up["link"] += len(text) if e["tag"] == "a" else e["link"]
 
     def handle_data(self, data):
         if self.stack:
-            e = self.stack[-1]
-            e["text"].append(data)
-            if e["tag"] not in ("script", "style"):
-                e["chars"] += len(data.strip())
-                e["punct"] += sum(data.count(x) for x in ".,;:!?")
+            self.stack[-1]["text"].append(data)
+            self.stack[-1]["raw"].append(data)
 
     def finish(self):
         while self.stack:
@@ -159,18 +171,61 @@ def _authors(data: dict, meta: dict[str, str]) -> list[str]:
     return list(out.values())
 
 
-def density_text(page: _Page, least: int = 250) -> str:
-    """Text of the container with the best score of length, paragraphs, punctuation and density against links; below the
-    least length all longer paragraphs."""
+def density_text(page: _Page, least: int = LEAST_TEXT) -> str:
+    """Paragraphs of the container with the best score, of those with enough text; else all paragraphs that are not short.
 
-    def score(b: dict) -> float:
-        chars = max(1, b["chars"])
-        return b["chars"] + 120 * b["p"] + 1.5 * b["punct"] + 400 * min(1.0, chars / (80 * b["tags"])) - 500 * b["link"] / chars
+    The score counts characters and number of paragraphs, their punctuation and their share of the container's text, less
+    the share of links in it.
+    """
 
-    fits = [b for b in page.blocks if len(b["text"]) >= least]
-    if fits:
-        return max(fits, key=score)["text"]
-    return "\n".join(p for p in page.paragraphs if len(p) >= 30)
+    def scored(b: dict) -> tuple[float, str]:
+        long = [p for p in b["paras"] if len(p) >= LONG_PARAGRAPH]
+        text = "\n\n".join(long)
+        size = max(1, len(b["text"]))
+        marks = sum(text.count(x) for x in ".,;:!?")
+        return len(text) + 120 * len(long) + 1.5 * marks + 400 * len(text) / size - 500 * b["link"] / size, text
+
+    best = max((x for x in map(scored, page.blocks) if len(x[1]) >= least), key=lambda x: x[0], default=None)
+    return " ".join((best[1] if best else "\n\n".join(p for p in page.paragraphs if len(p) >= SHORT_PARAGRAPH)).split())
+
+
+def _parsed(html: str | None) -> _Page:
+    p = _Page()
+    p.feed(html or "")
+    p.close()
+    p.finish()
+    return p
+
+
+def article_paragraphs(html: str | None) -> str:
+    """All paragraphs inside articles, or of the whole page if there is none, blank lines between them."""
+    every = _parsed(html).every
+    return "\n\n".join(t for inside, t in every if inside) or "\n\n".join(t for _, t in every)
+
+
+def published_date(html: str | None) -> str:
+    """Date of a page as it says: published time, date or pubdate of its head, first time element, structured data."""
+    p = _parsed(html)
+    data = _article_data(p.ld)
+    chain = [p.meta.get("article:published_time"), p.meta.get("date"), p.meta.get("pubdate"), p.time, data.get("datePublished")]
+    return next((str(x) for x in chain if x), "")
+
+
+def extracted(html: str | None, fallbacks: dict[str, Callable[[str], str]] | None = None, least: int = LEAST_TEXT) -> tuple[str, str, str]:
+    """(title, text, method): by density; where that is too short, the longest text of it and the fallbacks in order. A
+    page that asks for consent has none. Fallbacks are functions of the page by name; paragraphs of articles by default."""
+    low = (html or "").lower()
+    if "before you continue to google" in low:
+        return "blocked_interstitial", "", "interstitial_blocked"
+    page = _parsed(html)
+    title = page.meta.get("og:title") or page.meta.get("twitter:title") or page.title
+    text, method = density_text(page, least), "density"
+    if len(text) < least:
+        for name, read in (fallbacks if fallbacks is not None else {"article_paragraphs": article_paragraphs}).items():
+            other = " ".join(read(html or "").split())
+            if len(other) > len(text):
+                text, method = other, name
+    return " ".join(title.split()), text, method
 
 
 PAGE_FIELDS = T.StructType([
@@ -181,10 +236,7 @@ PAGE_FIELDS = T.StructType([
 
 def read_page(html: str | None, final_url: str | None = "") -> dict[str, str]:
     """Metadata and main text of a page, each by its chain of sources; empty strings where there is none."""
-    p = _Page()
-    p.feed(html or "")
-    p.close()
-    p.finish()
+    p = _parsed(html)
     m, data = p.meta, _article_data(p.ld)
     first = lambda *xs: next((" ".join(str(x).split()) for x in xs if x and str(x).strip()), "")
     return {
@@ -197,6 +249,63 @@ def read_page(html: str | None, final_url: str | None = "") -> dict[str, str]:
     }
 
 
+def cards(html: str | None, item: str, title: str, kind: str, info: str, label: str, value: str, wanted: str) -> list[dict[str, str]]:
+    """(title, url, kind, value) of each card of a list page; classes name the parts of a card, `wanted` the label whose
+    value is taken. Cards without a title or an address are left out."""
+
+    class Cards(HTMLParser):
+        def __init__(self) -> None:
+            super().__init__(convert_charrefs=True)
+            self.out: list[dict] = []
+            self.stack: list[tuple[str, list[str]]] = []
+            self.label = ""
+
+        def handle_starttag(self, tag, attrs):
+            if tag in _Page.VOID:
+                return
+            a = dict(attrs)
+            classes = (a.get("class") or "").split()
+            self.stack.append((tag, classes))
+            if item in classes:
+                self.out.append({"title": "", "url": "", "kind": "", "value": ""})
+            if info in classes:
+                self.label = ""
+            if self.out and tag == "a" and self.within(title) and not self.out[-1]["url"]:
+                self.out[-1]["url"] = (a.get("href") or "").strip()
+
+        def handle_endtag(self, tag):
+            at = next((i for i in range(len(self.stack) - 1, -1, -1) if self.stack[i][0] == tag), None)
+            if at is not None:
+                del self.stack[at:]
+
+        def within(self, name: str) -> bool:
+            return any(name in c for _, c in self.stack)
+
+        def handle_data(self, data):
+            if not self.out or not self.within(item):
+                return
+            card = self.out[-1]
+            if self.within(label):
+                self.label += data
+            elif self.within(value) and " ".join(self.label.split()).lower() == wanted.lower():
+                card["value"] += data
+            elif self.within(title):
+                card["title"] += data
+            elif self.within(kind):
+                card["kind"] += data
+
+    p = Cards()
+    p.feed(html or "")
+    p.close()
+    clean = [{k: " ".join(v.split()) for k, v in c.items()} for c in p.out]
+    return [c for c in clean if c["title"] and c["url"]]
+
+
+def top_group(kinds: list[str], groups: tuple[str, ...] = ("aquatic", "terrestrial")) -> str:
+    """The first group that a kind begins with, unknown if none does."""
+    return next((g for k in kinds for g in groups if " ".join(k.split()).lower().startswith(g)), "unknown")
+
+
 @F.pandas_udf(T.StringType())
 def html_to_text(html: pd.Series) -> pd.Series:
     return html.map(strip_tags)

@@ -24,7 +24,6 @@ def strict_answer(raw: Column) -> Column:
     text = F.trim(F.coalesce(raw, F.lit("")))
     doc = F.try_parse_json(F.regexp_extract(text, r"(?s)(\{.*\})", 1))
     label = F.lower(F.trim(F.try_variant_get(doc, "$.label", "string")))
-    confidence = F.expr("try_cast(0 AS double)")
     confidence = F.try_variant_get(doc, "$.confidence", "double")
     rationale = F.left(F.coalesce(F.try_variant_get(doc, "$.rationale", "string"), F.lit("")), F.lit(280))
     error = (
@@ -59,10 +58,28 @@ def repair_json(raw: str | None) -> dict | None:
     return None
 
 
+def stated_answer(raw: str | None) -> dict | None:
+    """What an answer that is no JSON states: its relevance, and confidence, rationale and quoted spans where they are
+    given; None without a relevance."""
+    text = raw or ""
+    value = lambda name, form: re.search(rf"(?is)[\"']?\b{name}\b[\"']?\s*[:=]\s*{form}", text)
+    relevant = value("relevant", r"[\"']?(true|false|yes|no)\b")
+    if relevant is None:
+        return None
+    out: dict = {"relevant": relevant.group(1).lower() in ("true", "yes"), "confidence": 0.0, "rationale": "", "evidence_spans": []}
+    if number := value("confidence", r"[\"']?([01](?:\.\d+)?|\.\d+)"):
+        out["confidence"] = min(1.0, max(0.0, float(number.group(1))))
+    if said := value("rationale", r"(?:\"([^\"]*)\"|'([^']*)'|([^,\n\]}]+))"):
+        out["rationale"] = " ".join(next(x for x in said.groups() if x is not None).split())
+    if spans := value("evidence_spans?", r"\[(.*?)\]"):
+        out["evidence_spans"] = [" ".join(x.split()) for x in re.findall(r"\"([^\"]+)\"|'([^']+)'", spans.group(1)) for x in x if x]
+    return out
+
+
 @F.pandas_udf(T.StringType())
 def repaired_json(raw: pd.Series) -> pd.Series:
     def one(x):
-        got = repair_json(x if isinstance(x, str) else None)
+        got = repair_json(x if isinstance(x, str) else None) or stated_answer(x if isinstance(x, str) else None)
         return None if got is None else json.dumps(got, sort_keys=True, default=str)
 
     return raw.map(one)

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from presswork.functions.text import dedupe_ordered
+
 
 def ratio(a: Column, b: Column) -> Column:
     return F.coalesce(a / F.nullif(b, F.lit(0)), F.lit(0.0)).cast("double")
@@ -48,28 +50,68 @@ def confusion(df: DataFrame, predicted: Column, truth: Column, by: list[str] | N
     )
 
 
-def brier(df: DataFrame, p: Column, y: Column) -> DataFrame:
-    return df.agg(F.round(F.avg(F.pow(p - y, F.lit(2.0))), 6).alias("brier"))
+def brier(df: DataFrame, p: Column, y: Column, by: list[str] | None = None) -> DataFrame:
+    return df.groupBy(*(by or [])).agg(F.round(F.avg(F.pow(p - y, F.lit(2.0))), 6).alias("brier"))
 
 
-def calibration_bins(df: DataFrame, p: Column, y: Column, bins: int = 10) -> DataFrame:
+def calibration_bins(df: DataFrame, p: Column, y: Column, bins: int = 10, by: list[str] | None = None) -> DataFrame:
     """(bin, n, mean_p, mean_y) of equal-width bins; the top bin holds 1."""
     b = F.least(F.floor(p * bins), F.lit(bins - 1)).cast("bigint")
-    return df.groupBy(b.alias("bin")).agg(F.count(F.lit(1)).alias("n"), F.avg(p).alias("mean_p"), F.avg(y).alias("mean_y"))
+    return df.groupBy(*(by or []), b.alias("bin")).agg(F.count(F.lit(1)).alias("n"), F.avg(p).alias("mean_p"), F.avg(y).alias("mean_y"))
 
 
-def expected_calibration_error(df: DataFrame, p: Column, y: Column, bins: int = 10) -> DataFrame:
-    b = calibration_bins(df, p, y, bins)
-    return b.agg(F.round(F.sum(F.col("n") * F.abs(F.col("mean_p") - F.col("mean_y"))) / F.sum("n"), 6).alias("ece"))
+def expected_calibration_error(df: DataFrame, p: Column, y: Column, bins: int = 10, by: list[str] | None = None) -> DataFrame:
+    b = calibration_bins(df, p, y, bins, by)
+    return b.groupBy(*(by or [])).agg(F.round(F.sum(F.col("n") * F.abs(F.col("mean_p") - F.col("mean_y"))) / F.sum("n"), 6).alias("ece"))
 
 
-def average_precision(df: DataFrame, score: str, truth: Column) -> DataFrame:
-    """Area under the step curve of precision over recall, counted only where recall rises. Rows are first folded to one
-    per distinct score; the running sums run over those."""
-    per = df.groupBy(score).agg(F.count(F.lit(1)).alias("n"), F.sum(truth.cast("int")).alias("pos"))
-    w = Window.orderBy(F.col(score).desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    cum = per.select(F.sum("n").over(w).alias("cn"), F.sum("pos").over(w).alias("cp"), "pos")
-    return cum.agg(F.round(F.coalesce(F.sum(F.col("pos") * F.col("cp") / F.col("cn")) / F.nullif(F.sum("pos"), F.lit(0)), F.lit(0.0)), 6).alias("auprc"))
+def average_precision(df: DataFrame, score: str, truth: Column, by: list[str] | None = None) -> DataFrame:
+    """Area under the steps of precision over recall, counted only where recall rises; NULL without a true row.
+
+    Thresholds are the scores to six digits, 1 and 0; a row counts from the largest threshold on that its own score
+    reaches. Precision and recall are rounded to four digits first. Rows are folded to one per threshold, at most 10^6 + 1
+    of a group whatever its size, and the running sums run over those.
+    """
+    by = by or []
+    p = F.col(score)
+    reached = F.floor(p * 1e6).cast("bigint")
+    rows = df.select(*by, F.round(p * 1e6).cast("bigint").alias("at"), reached.alias("r"), truth.cast("int").alias("y"))
+    counts = rows.groupBy(*by, F.col("r").alias("at")).agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("pos"), F.lit(0).alias("is_t"))
+    none = [F.lit(0).cast("bigint").alias("n"), F.lit(0).cast("bigint").alias("pos"), F.lit(1).alias("is_t")]
+    marks = rows.select(*by, "at").distinct().select(*by, "at", *none)
+    ends = rows.select(*by).distinct().select(*by, F.explode(F.expr("array(0L, 1000000L)")).alias("at"), *none)
+    per = counts.unionByName(marks).unionByName(ends).groupBy(*by, "at").agg(F.sum("n").alias("n"), F.sum("pos").alias("pos"), F.max("is_t").alias("is_t"))
+    w = Window.partitionBy(*by).orderBy(F.col("at").desc())
+    cum = per.select(*by, "at", "is_t", F.sum("n").over(w).alias("cn"), F.sum("pos").over(w).alias("cp"), F.sum("pos").over(Window.partitionBy(*by)).alias("all")).where("is_t = 1")
+    steps = cum.select(*by, "at", "all", F.round(ratio(F.col("cp"), F.col("cn")), 4).alias("p"), F.round(ratio(F.col("cp"), F.col("all")), 4).alias("r"))
+    steps = steps.withColumn("rise", F.col("r") - F.coalesce(F.lag("r").over(w), F.lit(0.0)))
+    return steps.groupBy(*by).agg(F.round(F.when(F.max("all") > 0, F.sum(F.col("p") * F.col("rise"))), 4).alias("auprc"))
+
+
+def normalized_weights(rows: DataFrame, by: list[str], weight: str) -> DataFrame:
+    """Weights as shares of their group's positive sum, to six digits; negative and missing ones are 0, and where none is
+    positive all are equal."""
+    w = F.greatest(F.coalesce(F.col(weight), F.lit(0.0)), F.lit(0.0))
+    own = Window.partitionBy(*by)
+    total = F.sum(w).over(own)
+    return rows.withColumn(weight, F.when(total > 0, F.round(w / total, 6)).otherwise(F.lit(1.0) / F.count(F.lit(1)).over(own)))
+
+
+def consolidated_evidence(votes: DataFrame, item: str, relevant: str) -> DataFrame:
+    """(item, evidence): spans of all supporters in the order of their names if the item is relevant, else those of the
+    model with the most weight, then confidence; each span once without regard to case. votes: (item, alias, weight, p,
+    vote, spans, relevant)."""
+    best = F.max(F.struct("weight", "p", F.struct("spans").alias("s")))
+    lists = F.array_sort(F.collect_list(F.when(F.col("vote"), F.struct("alias", "spans"))))
+    g = votes.groupBy(item).agg(best.alias("b"), lists.alias("l"), F.max(relevant).alias("r"))
+    spans = F.when(F.col("r"), F.flatten(F.transform("l", lambda x: x["spans"]))).otherwise(F.col("b.s.spans"))
+    return g.select(item, dedupe_ordered(F.coalesce(spans, F.array().cast("array<string>"))).alias("evidence"))
+
+
+def missing_votes(votes: DataFrame, item: str = "item", label: str = "label") -> DataFrame:
+    """(missing, items): how many items lack how many labels."""
+    per = votes.groupBy(item).agg(F.sum(F.when(F.col(label).isNull() | (F.trim(label) == ""), 1).otherwise(0)).cast("bigint").alias("missing"))
+    return per.groupBy("missing").agg(F.count(F.lit(1)).alias("items"))
 
 
 def weight_grid(models: list[str], step: float = 0.25) -> list[dict[str, float]]:
@@ -137,6 +179,67 @@ def krippendorff_alpha(votes: DataFrame, item: str = "item", label: str = "label
     return j.select(*by, F.round(1 - (F.col("n") - 1) * F.col("d") / F.nullif(F.col("n") * F.col("n") - F.col("sq"), F.lit(0)), 6).alias("alpha"))
 
 
+def ordinal_alpha(votes: DataFrame, levels: list[str], item: str = "item", label: str = "label") -> DataFrame:
+    """Alpha of labels in rank order: two labels differ by the ratings between them, half of their own included. The
+    coincidence table has at most levels x levels rows."""
+    rank = F.coalesce(*[F.when(F.col(label) == x, i) for i, x in enumerate(levels)])
+    o = coincidences(votes.select(item, rank.alias(label)), item, label)
+    nc = o.groupBy("c").agg(F.sum("o").alias("n"))
+    up_to = F.sum("n").over(Window.orderBy("c").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    ranked = nc.select("c", "n", up_to.alias("up"))
+    l, r = ranked.selectExpr("c AS a", "n AS na", "up AS ua"), ranked.selectExpr("c AS b", "n AS nb", "up AS ub")
+    # a row per pair of levels
+    pairs = l.crossJoin(r).withColumn("dist", F.pow(F.abs(F.col("ub") - F.col("ua")) + F.when(F.col("b") > F.col("a"), F.col("na")).otherwise(F.col("nb")) - (F.col("na") + F.col("nb")) / 2, F.lit(2.0)))
+    seen = pairs.join(o, (F.col("a") == F.col("c")) & (F.col("b") == F.col("k")), "left")
+    sums = seen.agg(F.sum(F.coalesce("o", F.lit(0.0)) * F.col("dist")).alias("d"), F.sum(F.col("na") * F.col("nb") * F.col("dist")).alias("e")).crossJoin(nc.agg(F.sum("n").alias("n")))
+    return sums.select(F.round(1 - (F.col("n") - 1) * F.col("d") / F.nullif(F.col("e"), F.lit(0.0)), 6).alias("alpha"))
+
+
+def alpha_interval(votes: DataFrame, item: str = "item", label: str = "label", resamples: int = 2000, seed: int = 42, low: float = 2.5, high: float = 97.5) -> DataFrame:
+    """(alpha, low, high, resamples): nominal alpha with percentile bounds from resamples of the items with replacement.
+
+    Alpha depends on an item only through how often it got each label. Items are folded to these patterns, whose number is
+    bounded by the label set and the raters, not by the items; a resample is then a multinomial draw over the patterns'
+    counts, which has the same distribution as drawing the items one by one. Percentiles are linear.
+    """
+    import numpy as np
+
+    counts = votes.where(F.col(label).isNotNull()).groupBy(item, label).agg(F.count(F.lit(1)).alias("n"))
+    own = counts.groupBy(item).agg(F.array_sort(F.collect_list(F.struct(F.col(label).alias("l"), "n"))).alias("pattern"))
+    per = votes.select(item).distinct().join(own, item, "left").groupBy("pattern").agg(F.count(F.lit(1)).alias("items")).collect()
+    labels = sorted({x["l"] for r in per for x in r["pattern"] or []})
+    spark = votes.sparkSession
+    schema = "alpha double, low double, high double, resamples int"
+    if not labels:
+        return spark.createDataFrame([(None, None, None, resamples)], schema)
+    per.sort(key=lambda r: str(r["pattern"]))
+    table = np.zeros((len(per), len(labels)))
+    for i, r in enumerate(per):
+        for x in r["pattern"] or []:
+            table[i, labels.index(x["l"])] = x["n"]
+    items = np.array([r["items"] for r in per], dtype=np.int64)
+    m = table.sum(axis=1)
+    used = m >= 2
+    # coincidences of each pattern: on the diagonal n (n - 1), beside it n n', over m - 1
+    share = np.einsum("pc,pk->pck", table, table) - np.einsum("pc,ck->pck", table, np.eye(len(labels)))
+    share = np.where(used[:, None, None], share / np.maximum(m - 1, 1)[:, None, None], 0.0)
+
+    def alphas(weights: np.ndarray) -> np.ndarray:
+        o = np.tensordot(weights.astype(float), share, axes=1)
+        nc = o.sum(axis=2)
+        n = nc.sum(axis=1)
+        off = n - np.einsum("bcc->b", o)
+        expected = n * n - (nc * nc).sum(axis=1)
+        return np.where(expected > 0, 1 - (n - 1) * off / np.where(expected > 0, expected, 1), np.nan)
+
+    draws = np.random.default_rng(seed).multinomial(items.sum(), items / items.sum(), size=resamples)
+    got = alphas(draws)
+    got = got[~np.isnan(got)]
+    bounds = [None if not len(got) else round(float(np.percentile(got, q)), 6) for q in (low, high)]
+    own_alpha = float(alphas(items[None, :])[0])
+    return spark.createDataFrame([(None if own_alpha != own_alpha else round(own_alpha, 6), *bounds, resamples)], schema)
+
+
 def cohen_kappa(df: DataFrame, a: str, b: str) -> DataFrame:
     """Kappa of two raters from their contingency counts."""
     t = df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).groupBy(F.col(a).alias("a"), F.col(b).alias("b")).agg(F.count(F.lit(1)).alias("n"))

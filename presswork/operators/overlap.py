@@ -34,6 +34,16 @@ def pairwise(df: DataFrame, group: list[str], variant: str, article: str) -> Dat
     )
 
 
+def jaccard_summary(df: DataFrame, group: list[str], variant: str, article: str) -> DataFrame:
+    """(group, variants, mean, most, least): Jaccard of a group's pairs of variants; pairs of variants without articles are
+    equal, a group with one variant has none."""
+    p = pairwise(df, group, variant, article)
+    j = F.when(F.col("union_articles") == 0, 1.0).otherwise(F.col("shared_articles") / F.col("union_articles"))
+    have = df.groupBy(*group).agg(F.countDistinct(variant).alias("variants"))
+    s = p.groupBy(*group).agg(F.round(F.avg(j), 6).alias("mean_jaccard"), F.round(F.max(j), 6).alias("max_jaccard"), F.round(F.min(j), 6).alias("min_jaccard"))
+    return have.join(s, group, "left")
+
+
 def summary(df: DataFrame, group: list[str], variant: str, article: str) -> DataFrame:
     """Per group: variants, mentions, union, shares, exclusive and shared articles, the best single variant (ties to the
     first in order) and what the others add to it."""

@@ -35,6 +35,20 @@ def bootstrap(df_ids: DataFrame, rn: str, total: int, batches: int, draws: int,
     return grid.withColumn(rn, at).join(df_ids, rn)
 
 
+def discovery_samples(samples: DataFrame, batch: str, item: str, n: int, runs: int, seed: str) -> DataFrame:
+    """(batch, run, place, item): of each batch's distinct items the first n by hash, in another order for each run."""
+    own = stratified_sample(samples.select(batch, item).distinct(), batch, item, n, f"{seed}:take")
+    each = own.withColumn("run", F.explode(F.sequence(F.lit(1), F.lit(runs))))
+    w = Window.partitionBy(batch, "run").orderBy(hash_order(F.concat_ws("/", F.col(batch), F.col("run"), F.col(item)), seed), F.col(item))
+    return each.select(batch, "run", F.row_number().over(w).alias("place"), item)
+
+
+def overlap_means(overlap: DataFrame) -> DataFrame:
+    """(batch, mean): mean share of each batch over the others; batch NULL has the mean over pairs with left below right."""
+    per = overlap.groupBy(F.col("l").alias("batch")).agg(F.round(F.avg("share"), 4).alias("mean"))
+    return per.unionByName(overlap.where("l < r").agg(F.round(F.avg("share"), 4).alias("mean")).select(F.lit(None).cast(dict(overlap.dtypes)["l"]).alias("batch"), "mean"))
+
+
 def batch_overlap(samples: DataFrame, batch: str, item: str) -> DataFrame:
     """(left, right, share): share of the left batch's distinct items that the right batch has, from each item's batches."""
     own = samples.select(batch, item).distinct()

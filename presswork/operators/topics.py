@@ -77,14 +77,64 @@ def kmeans_topics(vectors: DataFrame, embedding: str, documents: int, clusters:
     return KMeans(k=k, seed=seed, featuresCol="__v", predictionCol="topic").fit(v).transform(v).drop("__v")
 
 
-def projection_2d(vectors: DataFrame, embedding: str) -> DataFrame:
-    """Adds x, y: the first two principal components, in place of a neighbour embedding."""
+def reduced(vectors: DataFrame, embedding: str, components: int, to: str) -> DataFrame:
+    """Adds an array of the first principal components, in place of a neighbour embedding."""
     from pyspark.ml.feature import PCA
     from pyspark.ml.functions import array_to_vector, vector_to_array
 
     v = vectors.withColumn("__v", array_to_vector(F.col(embedding).cast("array<double>")))
-    out = PCA(k=2, inputCol="__v", outputCol="__p").fit(v).transform(v).withColumn("__a", vector_to_array("__p"))
-    return out.withColumn("x", F.col("__a")[0]).withColumn("y", F.col("__a")[1]).drop("__v", "__p", "__a")
+    return PCA(k=components, inputCol="__v", outputCol="__p").fit(v).transform(v).withColumn(to, vector_to_array("__p")).drop("__v", "__p")
+
+
+def projection_2d(vectors: DataFrame, embedding: str) -> DataFrame:
+    """Adds x, y: the first two principal components."""
+    return reduced(vectors, embedding, 2, "__a").withColumn("x", F.col("__a")[0]).withColumn("y", F.col("__a")[1]).drop("__a")
+
+
+def clustered(vectors: DataFrame, embedding: str, documents: int, method: str = "kmeans", clusters: int = 10, least_size: int = 0, seed: int = 42) -> DataFrame:
+    """Adds topic (-1 for outliers) by one of the methods that scale out: "kmeans" or "bisecting". Topics with fewer than
+    `least_size` documents are outliers. Density clustering needs all pairs of distances and is refused by name."""
+    if method == "kmeans":
+        out = kmeans_topics(vectors, embedding, documents, clusters, seed)
+    elif method == "bisecting":
+        from pyspark.ml.clustering import BisectingKMeans
+        from pyspark.ml.functions import array_to_vector
+
+        v = vectors.withColumn("__v", array_to_vector(F.col(embedding).cast("array<double>")))
+        k = max(2, min(clusters, max(2, documents // 3)))
+        out = BisectingKMeans(k=k, seed=seed, minDivisibleClusterSize=float(max(1, least_size)), featuresCol="__v", predictionCol="topic").fit(v).transform(v).drop("__v")
+    else:
+        raise ValueError(f"unknown method {method!r}: kmeans and bisecting are there; hdbscan has no distributed form, use bisecting with a least size")
+    if least_size <= 0:
+        return out
+    # a row per topic
+    small = out.groupBy("topic").agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") < least_size).select("topic", F.lit(True).alias("__small"))
+    return out.join(F.broadcast(small), "topic", "left").withColumn("topic", F.when(F.col("__small"), -1).otherwise(F.col("topic"))).drop("__small")
+
+
+def silhouette(assigned: DataFrame, embedding: str, topic: str = "topic") -> float | None:
+    """Mean silhouette by squared distances of the documents that are no outliers; None with fewer than two topics."""
+    from pyspark.ml.evaluation import ClusteringEvaluator
+    from pyspark.ml.functions import array_to_vector
+
+    v = assigned.where(F.col(topic) >= 0).select(F.col(topic).cast("double").alias("prediction"), array_to_vector(F.col(embedding).cast("array<double>")).alias("features"))
+    if v.select("prediction").distinct().limit(2).count() < 2:
+        return None
+    return float(ClusteringEvaluator().evaluate(v))
+
+
+def document_topics(docs: DataFrame, topic: str, keywords: DataFrame, outlier: int = -1) -> DataFrame:
+    """Documents with topic_name, topic_keywords and is_outlier; keywords: (topic, keywords), a row per topic."""
+    j = docs.join(F.broadcast(keywords), topic, "left")
+    out = F.col(topic) == outlier
+    words = F.when(out, "outlier").otherwise(F.coalesce("keywords", F.lit("")))
+    name = F.concat_ws("_", F.col(topic).cast("string"), F.array_join(F.slice(F.split(words, ", "), 1, 4), "_"))
+    return j.withColumn("is_outlier", out).withColumn("topic_name", name).withColumn("topic_keywords", words).drop("keywords")
+
+
+def enough_documents(documents: int, least: int = 20) -> str:
+    """Why a topic model is not made, empty if it is."""
+    return "" if documents >= least else f"too_few_documents:{documents}<{least}"
 
 
 def mmr_keywords(weights: DataFrame, topic: str, pool: int = 30, top: int = 6, diversity: float = 0.5) -> DataFrame:

@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from presswork.functions import text
 from presswork.operators import evaluation as ev
 from presswork.operators import groups, overlap, reports, resample, state, topics
 from presswork.operators.resample import hash_number
@@ -54,19 +55,27 @@ def per_run_metrics(spark, d):
 
 
 def _scored(spark, d):
-    return _votes(spark, d).where("alias = 'm1'").join(_labels(spark, d), "item")
+    return _votes(spark, d).join(_labels(spark, d), "item")
 
 
 def brier(spark, d):
-    return ev.brier(_scored(spark, d), F.col("p"), F.col("truth").cast("double"))
+    return ev.brier(_scored(spark, d), F.col("p"), F.col("truth").cast("double"), ["alias"])
 
 
 def ece(spark, d):
-    return ev.expected_calibration_error(_scored(spark, d), F.col("p"), F.col("truth").cast("double"))
+    return ev.expected_calibration_error(_scored(spark, d), F.col("p"), F.col("truth").cast("double"), 10, ["alias"])
 
 
 def auprc(spark, d):
-    return ev.average_precision(_scored(spark, d), "p", F.col("truth"))
+    return ev.average_precision(_scored(spark, d), "p", F.col("truth"), ["alias"])
+
+
+def model_validation(spark, d):
+    """Per model: confusion counts and rates, calibration and the rows they rest on."""
+    s = _scored(spark, d)
+    m = ev.confusion(s, F.col("vote"), F.col("truth"), ["alias"])
+    n = s.groupBy("alias").agg(F.count(F.lit(1)).alias("scored"))
+    return m.join(brier(spark, d), "alias").join(ece(spark, d), "alias").join(n, "alias").select("alias", "precision", "recall", "f1", "brier", "ece", "scored")
 
 
 def threshold_tuning(spark, d):
@@ -175,11 +184,18 @@ def batch_overlap(spark, d):
 
 def _categories(spark, d):
     r = read_table(spark, d, "rss_items")
-    return r.select("item_id", F.col("pathogen_domain").alias("batch"), F.col("search_string").alias("label"), F.coalesce("rss_title", F.lit("")).alias("example")).where("label IS NOT NULL AND trim(label) <> ''")
+    return r.select(
+        "item_id", F.col("pathogen_domain").alias("batch"), F.col("batch_no").alias("run"), F.col("search_string").alias("label"), F.col("rss_title").alias("example"), F.col("source_hint").alias("cause")
+    ).where("label IS NOT NULL AND trim(label) <> ''")
+
+
+def _run_groups(spark, d):
+    return groups.build_groups(_categories(spark, d), ["batch", "run"], "label", "item_id", "example", "cause")
 
 
 def build_groups(spark, d):
-    return groups.build_groups(_categories(spark, d), ["batch"], "label", "item_id", "example", 5).select("batch", "label", "articles", "examples", F.col("rank").cast("bigint").alias("rank"))
+    g = groups.build_groups(_categories(spark, d), ["batch"], "label", "item_id", "example", "cause")
+    return g.select("batch", "label", "articles", "definition", text.serialize(F.col("evidence")).alias("evidence"), F.col("rank").cast("bigint").alias("rank"))
 
 
 def shortest_label(spark, d):
@@ -187,13 +203,21 @@ def shortest_label(spark, d):
 
 
 def harmonize_groups(spark, d):
-    g = groups.build_groups(_categories(spark, d), ["batch"], "label", "item_id", "example", 25)
-    return groups.leader_clusters(g.select("batch", "rank", "label", "examples"), "batch", "label", "examples", "rank")
+    """Groups of all runs of a batch, merged where their names and definitions are alike."""
+    g = _run_groups(spark, d).select("batch", "run", "rank", "label", "definition")
+    c = groups.leader_clusters(g, "batch", "label", "definition", ["run", "rank"])
+    return groups.cluster_summary(c, "batch", "label", "definition", ["run", "rank"])
 
 
 def adjudicate(spark, d):
-    c = _categories(spark, d).where("batch = 'human'")
-    return groups.adjudicate(c, "label", "batch", "item_id", 1, 1000, 0.5, 0.55)
+    """Labels without regard to case as clusters of each batch's runs."""
+    c = _categories(spark, d).withColumn("label", F.lower(F.trim("label")))
+    return groups.adjudicate(c, "batch", "label", "run", "item_id").select("batch", "label", "support", "coverage", "score", "consensus", "kept")
+
+
+def adjudication_metrics(spark, d):
+    c = _categories(spark, d).withColumn("label", F.lower(F.trim("label")))
+    return groups.adjudication_metrics(groups.adjudicate(c, "batch", "label", "run", "item_id"), c, "batch", "label", "run")
 
 
 def pair_similarity(spark, d):
@@ -302,7 +326,7 @@ QUERIES = {
         ensemble_vote, confusion_metrics, per_run_metrics, brier, ece, auprc, threshold_tuning, threshold_tuning_full, model_run_summary, agreement_summary, majority_vote,
         label_counts, krippendorff_alpha, alpha_bootstrap, cohen_kappa, overlap_pairwise, overlap_summary, membership_patterns, jaccard_matrix,
         variant_counts, peak_weeks, sample_split, stratified_sample, bootstrap_samples, batch_overlap, build_groups, shortest_label, harmonize_groups,
-        adjudicate, pair_similarity, ngram_counts, ngram_counts_all, ctfidf, topic_keywords, mmr_keywords, topic_summary, kmeans_topics, projection_2d, null_rates,
+        adjudicate, adjudication_metrics, model_validation, pair_similarity, ngram_counts, ngram_counts_all, ctfidf, topic_keywords, mmr_keywords, topic_summary, kmeans_topics, projection_2d, null_rates,
         value_share, length_describe, top_errors, hotspots, scan_overview, stage_summary, status_breakdown, deepest_stage, log_sessionize,
     )
 }
@@ -314,7 +338,7 @@ votes AS (SELECT item, alias, weight, h / 1000.0::DOUBLE AS p, h >= 500 AS vote
 labels AS (SELECT doc_id AS item, {_H.format(x="doc_id || ':t'")} % 2 = 0 AS truth FROM documents),
 pooled AS (SELECT item, sum(weight * p) / sum(weight) AS probability, avg(vote::INT) AS agreement, coalesce(string_agg(alias, ',' ORDER BY alias) FILTER (vote), '') AS supporters FROM votes GROUP BY 1),
 pr AS (SELECT *, probability >= 0.5 - 1e-12 AND agreement >= 0.34 - 1e-12 AS relevant FROM pooled),
-sc AS (SELECT * FROM votes JOIN labels USING (item) WHERE alias = 'm1')
+sc AS (SELECT * FROM votes JOIN labels USING (item))
 """
 _R = f"""WITH q AS (SELECT doc_id AS item, rater, {_H.format(x="doc_id || ':' || rater")} AS h FROM documents CROSS JOIN (VALUES ('r1'), ('r2'), ('r3'), ('r4')) t(rater)),
 ratings AS (SELECT item, rater, CASE WHEN h % 11 <> 0 THEN ['no', 'yes', 'unsure'][h % 3 + 1] END AS label FROM q)
@@ -345,7 +369,11 @@ _BOOT = f"""(WITH rd AS (SELECT doc_id AS item, row_number() OVER (ORDER BY doc_
   SELECT batch_id, draw, item, pick AS rn FROM s JOIN rd ON pick = rd.rn)"""
 _B4 = _BOOT.replace("{seed}", "b").replace("{batches}", "4")
 _B5 = _BOOT.replace("{seed}", "alpha").replace("{batches}", "5")
-_CAT = "WITH c AS (SELECT item_id, pathogen_domain AS batch, search_string AS label, coalesce(rss_title, '') AS example FROM rss_items WHERE trim(search_string) <> '')\n"
+_CAT = "WITH c AS (SELECT item_id, pathogen_domain AS batch, batch_no AS run, search_string AS label, nullif(trim(rss_title, ' '), '') AS t0, rss_title AS example, nullif(trim(source_hint, ' '), '') AS c0, source_hint AS cause FROM rss_items WHERE trim(search_string, ' ') <> '')\n"
+_ADJ = _CAT + """, b AS (SELECT batch, count(DISTINCT run) AS runs, count(DISTINCT item_id) AS arts FROM c GROUP BY 1), z AS (SELECT batch, lower(trim(label, ' ')) AS label, count(DISTINCT run) / any_value(runs) AS s, count(DISTINCT item_id) / any_value(arts) AS v FROM c JOIN b USING (batch) GROUP BY 1, 2),
+y AS (SELECT batch, label, round(s, 4) AS support, round(v, 4) AS coverage, round(0.5 * s + 0.5 * v, 4) AS score, round(s, 4) >= 0.6 AS consensus FROM z),
+j AS (SELECT *, consensus AND row_number() OVER (PARTITION BY batch, consensus ORDER BY score DESC, support DESC, label) <= 25 AS kept FROM y)
+"""
 _STOP = "[" + ", ".join(f"'{w}'" for w in topics.STOP_WORDS) + "]"
 _WORDS = f"list_filter(regexp_extract_all(lower(coalesce(text, '')), '[a-z]{{2,}}'), lambda x: NOT list_contains({_STOP}, x))"
 _CT = f"""WITH w AS (SELECT genre, doc_id, unnest({_WORDS}) AS term FROM documents WHERE text IS NOT NULL),
@@ -359,10 +387,15 @@ ORACLE = {
     "ensemble_vote": _V + "SELECT item, round(probability, 4) AS probability, round(agreement, 4) AS agreement, supporters, relevant FROM pr",
     "confusion_metrics": _V + _conf("(SELECT * FROM pr JOIN labels USING (item))", "relevant"),
     "per_run_metrics": _V + _conf("(SELECT * FROM votes JOIN labels USING (item))", "vote", "alias"),
-    "brier": _V + "SELECT round(avg(pow(p - truth::INT, 2)), 6) AS brier FROM sc",
-    "ece": _V + ", b AS (SELECT least(floor(p * 10), 9) AS b, count(*) AS n, avg(p) AS mp, avg(truth::INT) AS my FROM sc GROUP BY 1) SELECT round(sum(n * abs(mp - my)) / sum(n), 6) AS ece FROM b",
-    "auprc": _V + """, g AS (SELECT p, count(*) AS n, sum(truth::INT) AS pos FROM sc GROUP BY 1), c AS (SELECT pos, sum(n) OVER w AS cn, sum(pos) OVER w AS cp FROM g WINDOW w AS (ORDER BY p DESC ROWS UNBOUNDED PRECEDING))
-SELECT round(sum(pos * (cp / cn)) / sum(pos), 6) AS auprc FROM c""",
+    "brier": _V + "SELECT alias, round(avg(pow(p - truth::INT, 2)), 6) AS brier FROM sc GROUP BY 1",
+    "ece": _V + ", b AS (SELECT alias, least(floor(p * 10), 9) AS b, count(*) AS n, avg(p) AS mp, avg(truth::INT) AS my FROM sc GROUP BY 1, 2) SELECT alias, round(sum(n * abs(mp - my)) / sum(n), 6) AS ece FROM b GROUP BY 1",
+    "auprc": _V + """, t AS (SELECT DISTINCT alias, round(p, 6) AS t FROM sc UNION SELECT DISTINCT alias, 0.0 FROM sc UNION SELECT DISTINCT alias, 1.0 FROM sc),
+c AS (SELECT t.alias, t, count(*) FILTER (p >= t) AS n, count(*) FILTER (p >= t AND truth) AS tp, count(*) FILTER (truth) AS pos FROM t JOIN sc ON sc.alias = t.alias GROUP BY 1, 2),
+x AS (SELECT alias, t, pos, round(coalesce(tp / nullif(n, 0), 0), 4) AS pr, round(tp / pos, 4) AS r FROM c), y AS (SELECT alias, pr, r, r - coalesce(lag(r) OVER (PARTITION BY alias ORDER BY t DESC), 0) AS up FROM x)
+SELECT alias, round(sum(pr * up) FILTER (up > 0), 4) AS auprc FROM y GROUP BY 1""",
+    "model_validation": "WITH m AS (" + _V + _conf("(SELECT * FROM votes JOIN labels USING (item))", "vote", "alias") + "), q AS (" + _V
+    + """, b AS (SELECT alias, least(floor(p * 10), 9) AS b, count(*) AS n, avg(p) AS mp, avg(truth::INT) AS my FROM sc GROUP BY 1, 2), e AS (SELECT alias, round(sum(n * abs(mp - my)) / sum(n), 6) AS ece FROM b GROUP BY 1)
+SELECT alias, round(avg(pow(p - truth::INT, 2)), 6) AS brier, any_value(ece) AS ece, count(*)::BIGINT AS scored FROM sc JOIN e USING (alias) GROUP BY 1) SELECT alias, precision, recall, f1, brier, ece, scored FROM m JOIN q USING (alias)""",
     "threshold_tuning": _V + """, wide AS (SELECT item, max(p) FILTER (alias = 'm1') AS p1, max(p) FILTER (alias = 'm2') AS p2, max(p) FILTER (alias = 'm3') AS p3,
   max(vote::INT) FILTER (alias = 'm1') AS v1, max(vote::INT) FILTER (alias = 'm2') AS v2, max(vote::INT) FILTER (alias = 'm3') AS v3 FROM votes GROUP BY 1),
 ws(i, w1, w2, w3) AS (VALUES (0, 0.0, 0.0, 1.0), (1, 0.0, 0.5, 0.5), (2, 0.0, 1.0, 0.0), (3, 0.5, 0.0, 0.5), (4, 0.5, 0.5, 0.0), (5, 1.0, 0.0, 0.0)),
@@ -398,11 +431,15 @@ FROM (SELECT week, count(*) AS un, count(*) FILTER (k = 1) AS ex, count(*) FILTE
     "bootstrap_samples": f"SELECT batch_id, draw, item FROM {_B4}",
     "batch_overlap": f"""WITH s AS (SELECT DISTINCT batch_id AS b, item FROM {_B4}), n AS (SELECT b, count(*) AS n FROM s GROUP BY 1)
 SELECT x.b AS l, y.b AS r, round(count(*) / any_value(n), 6) AS share FROM s x JOIN s y ON x.item = y.item AND x.b <> y.b JOIN n ON n.b = x.b GROUP BY 1, 2""",
-    "build_groups": _CAT + """, g AS (SELECT batch, label, count(DISTINCT item_id) AS articles, array_to_string(list_sort(list(DISTINCT example))[1:2], ' | ') AS examples FROM c GROUP BY 1, 2)
-SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY batch ORDER BY articles DESC, label)::BIGINT AS rank FROM g) WHERE rank <= 5""",
+    "build_groups": _CAT + """, g AS (SELECT batch, label, count(DISTINCT item_id) AS articles, (list(example ORDER BY item_id) FILTER (t0 IS NOT NULL AND example <> 'N/A'))[1:3] AS e, (list(cause ORDER BY item_id) FILTER (c0 IS NOT NULL AND cause <> 'N/A'))[1:1] AS f FROM c GROUP BY 1, 2),
+h AS (SELECT *, coalesce(e[1:2], []) || coalesce(f, []) AS d, coalesce(e, []) AS e3 FROM g)
+SELECT batch, label, articles, left(array_to_string(list_filter(d, lambda x, i: list_position(d, x) = i), ' | '), 500) AS definition, array_to_string(list_filter(e3, lambda x, i: list_position(e3, x) = i), ' | ') AS evidence, rank
+FROM (SELECT *, row_number() OVER (PARTITION BY batch ORDER BY articles DESC, lower(label), label)::BIGINT AS rank FROM h) WHERE rank <= 25""",
     "shortest_label": _CAT + "SELECT lower(trim(label)) AS label_key, first(label ORDER BY length(label), label) AS label FROM c GROUP BY 1",
-    "adjudicate": _CAT + """, g AS (SELECT label, count(DISTINCT batch) / 1 AS s, count(DISTINCT item_id) / 1000 AS v FROM c WHERE batch = 'human' GROUP BY 1), z AS (SELECT label, round(s, 6) AS support, round(v, 6) AS coverage, round(0.5 * round(s, 6) + 0.5 * round(v, 6), 6) AS score FROM g)
-SELECT label, support, coverage, score, score >= 0.55 AND row_number() OVER (ORDER BY score DESC, label) <= 25 AS kept FROM z""",
+    "adjudicate": _ADJ + "SELECT batch, label, support, coverage, score, consensus, kept FROM j",
+    "adjudication_metrics": _ADJ + """, g AS (SELECT batch, count(*) AS n FROM (SELECT DISTINCT batch, run, lower(trim(label, ' ')) AS label FROM c) GROUP BY 1)
+SELECT batch, count(*)::BIGINT AS clusters, count(*) FILTER (consensus)::BIGINT AS agreed, count(*) FILTER (kept)::BIGINT AS retained, round((any_value(n) - count(*)) / any_value(n), 4) AS merge_rate,
+round(CASE WHEN count(*) FILTER (consensus) > 0 THEN 1 - count(*) FILTER (kept) / count(*) FILTER (consensus) ELSE 0.0 END, 4)::DOUBLE AS truncation_loss, round(count(*) FILTER (consensus) / count(*), 4) AS consensus_rate FROM j JOIN g USING (batch) GROUP BY 1""",
     "ngram_counts": f"""WITH w AS (SELECT lang, {_WORDS} AS w FROM documents WHERE lang IN ('en', 'fr')),
 t AS (SELECT lang, unnest(w || list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS term FROM w) SELECT lang, term, count(*)::BIGINT AS tf FROM t GROUP BY 1, 2 HAVING count(*) >= 20""",
     "ctfidf": _CT + "SELECT genre, term, tf::BIGINT AS tf, round(weight, 4) AS weight FROM ct",

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from presswork.plans import analysis_queries, flow_queries, record_queries, skew_queries, stream_queries, table_queries, text_queries
+from presswork.plans import analysis_queries, flow_queries, record_queries, skew_queries, stream_queries, study_queries, table_queries, text_queries
 
-MODULES = [skew_queries, text_queries, table_queries, analysis_queries, record_queries, flow_queries, stream_queries]
+MODULES = [skew_queries, text_queries, table_queries, analysis_queries, record_queries, flow_queries, study_queries, stream_queries]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

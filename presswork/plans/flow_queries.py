@@ -130,7 +130,7 @@ def manifest_order(spark, d):
     return state.global_rank(m, order).select("rn", "stage_rank", "locale_id", "search_string", "window_start")
 
 
-def scan_rows(spark, d):
+def scan_summary(spark, d):
     """The summary of every manifest row: entries by fallback, bucket by the threshold, what to do next, stage."""
     m = read_table(spark, d, "manifest")
     return windows.scan_summary(m).select("locale_id", "search_string", "window_start", "stage_label", "stage_rank", F.coalesce("entry_count", F.lit(-1)).alias("entry_count"), "threshold_bucket", "next_action")
@@ -183,14 +183,14 @@ def request_bodies_other(spark, d):
     return r.select("item_id", body.alias("line"))
 
 
-def needs_submission(spark, d):
+def pending_rows(spark, d):
     """Articles without a final action whose state is not active."""
     f = read_table(spark, d, "fulltext")
     batch_state = F.element_at(F.array(F.lit("in_progress"), F.lit("completed"), F.lit(""), F.lit("ended"), F.lit("canceling")), (F.pmod("article_id", F.lit(5)) + 1).cast("int"))
     return f.where(answers.needs_submission(F.when(F.pmod("article_id", F.lit(3)) == 0, F.col("final_action")), batch_state)).select("article_id")
 
 
-def batch_hydration(spark, d):
+def batch_hydrate(spark, d):
     """State of articles after the results of their batches, joined on batch and custom id."""
     f = read_table(spark, d, "fulltext").select("article_id")
     st = f.select(F.concat(F.lit("a"), "article_id").alias("custom_id"), F.concat(F.lit("b"), F.pmod("article_id", F.lit(4))).alias("batch_id"), F.lit("").alias("headline_label"))
@@ -244,7 +244,7 @@ def probability_semantics(spark, d):
     return v.select("item", "alias", *cols)
 
 
-def rationale_gate(spark, d):
+def quality_gate(spark, d):
     """Reasons for which rationales are refused; they are put together from the items' titles."""
     r = read_table(spark, d, "rss_items")
     rationale = F.concat(
@@ -300,8 +300,8 @@ QUERIES = {
     f.__name__: f
     for f in (
         feed_urls, daily_feed_urls, country_feed_urls, distinct_links, variant_requests, response_locales, link_resolution, url_fallback, iso_instants, consent_pages, cached_fetches,
-        problem_hosts, manifest_rows, manifest_load, manifest_order, scan_rows, completed_windows, leaf_metrics, log_runs, headline_prompts, request_bodies, request_bodies_other,
-        needs_submission, batch_hydration, batch_names, active_tokens, batch_rows_fitted, degenerate_batches, clean_descriptions, probability_semantics, rationale_gate, complete_rows,
+        problem_hosts, manifest_rows, manifest_load, manifest_order, scan_summary, completed_windows, leaf_metrics, log_runs, headline_prompts, request_bodies, request_bodies_other,
+        pending_rows, batch_hydrate, batch_names, active_tokens, batch_rows_fitted, degenerate_batches, clean_descriptions, probability_semantics, quality_gate, complete_rows,
         distinct_votes, rows_as_json, kept_headlines, sorted_outlets, topic_subset,
     )
 }
@@ -360,7 +360,7 @@ u AS (SELECT locale_id, window_role, coalesce(nullif(trim(status), ''), CASE WHE
 SELECT locale_id, coalesce(nullif(trim(window_role), ''), 'hierarchical_child') AS window_role, status, count(*)::BIGINT AS n, sum(try_cast(attempts AS BIGINT))::BIGINT AS attempts FROM u GROUP BY 1, 2, 3""",
     "manifest_order": f"""WITH m AS (SELECT *, try_cast(window_days AS INTEGER) AS d0, coalesce(try_cast(window_days AS INTEGER), 0) AS days FROM manifest)
 SELECT row_number() OVER (ORDER BY {_RANK}, locale_id NULLS FIRST, search_string NULLS FIRST, window_start NULLS FIRST, window_end NULLS FIRST, window_role NULLS FIRST, d0 NULLS FIRST)::BIGINT AS rn, {_RANK} AS stage_rank, locale_id, search_string, window_start FROM m""",
-    "scan_rows": f"""WITH m AS (SELECT *, coalesce(try_cast(window_days AS INTEGER), 0) AS days, coalesce(try_cast(entry_count AS BIGINT), try_cast(split_trigger_entries AS BIGINT), CASE WHEN status = 'empty' THEN 0 END) AS n, coalesce(nullif(trim(window_role), ''), 'species_scan') AS r FROM manifest)
+    "scan_summary": f"""WITH m AS (SELECT *, coalesce(try_cast(window_days AS INTEGER), 0) AS days, coalesce(try_cast(entry_count AS BIGINT), try_cast(split_trigger_entries AS BIGINT), CASE WHEN status = 'empty' THEN 0 END) AS n, coalesce(nullif(trim(window_role), ''), 'species_scan') AS r FROM manifest)
 SELECT locale_id, search_string, window_start, {_STAGE} AS stage_label, {_RANK} AS stage_rank, coalesce(n, -1) AS entry_count,
 CASE WHEN n IS NULL THEN 'unknown' WHEN n >= 100 THEN 'at_or_above_threshold' ELSE 'below_threshold' END AS threshold_bucket,
 CASE WHEN status IN ('success', 'empty') THEN 'scrape_now' WHEN status = 'split' AND r = 'species_scan' THEN 'split_into_coarse_periods' WHEN status = 'split' THEN 'split_into_smaller_windows' WHEN status IN ('throttled', 'failed') THEN 'retry_needed' ELSE 'pending' END AS next_action FROM m""",
@@ -376,8 +376,8 @@ GROUP BY 1, 2 HAVING bool_or(event_type = 'purchase')""",
     "request_bodies": f"""SELECT item_id, '{{"custom_id":"r' || item_id || '","method":"POST","url":"/v1/chat/completions","body":{{"model":"labeller-1","response_format":{{"type":"json_object"}},"messages":[{{"role":"system","content":"Be strict."}},{{"role":"user","content":"'
 || {_USER} || '"}}],"max_tokens":200,"temperature":0.0}}}}' AS line FROM rss_items""",
     "request_bodies_other": f"""SELECT item_id, '{{"custom_id":"r' || item_id || '","params":{{"model":"labeller-2","max_tokens":200,"system":"Be strict.","messages":[{{"role":"user","content":"' || {_USER} || '"}}],"temperature":0.5}}}}' AS line FROM rss_items""",
-    "needs_submission": "SELECT article_id FROM fulltext WHERE NOT (article_id % 3 = 0 AND coalesce(trim(final_action), '') <> '') AND article_id % 5 <> 0",
-    "batch_hydration": """WITH s AS (SELECT article_id AS a, article_id % 4 AS b, article_id % 3 <> 0 AS has, article_id % 7 <> 0 AS ok, article_id % 5 = 0 AS bad FROM fulltext)
+    "pending_rows": "SELECT article_id FROM fulltext WHERE NOT (article_id % 3 = 0 AND coalesce(trim(final_action), '') <> '') AND article_id % 5 <> 0",
+    "batch_hydrate": """WITH s AS (SELECT article_id AS a, article_id % 4 AS b, article_id % 3 <> 0 AS has, article_id % 7 <> 0 AS ok, article_id % 5 = 0 AS bad FROM fulltext)
 SELECT 'b' || b AS batch_id, CASE WHEN b = 0 AND has AND ok THEN (CASE WHEN bad THEN 'unsure' ELSE 'relevant' END) ELSE '' END AS headline_label, CASE WHEN b = 0 AND has AND ok THEN (CASE WHEN bad THEN 'invalid_label' ELSE '' END) END AS headline_parse_error,
 CASE WHEN b = 0 AND has AND NOT ok THEN 'http 500' WHEN b = 2 THEN 'batch_failed' ELSE '' END AS classification_error,
 CASE WHEN b = 0 AND has THEN (CASE WHEN ok THEN 'hydrated' ELSE 'error' END) WHEN b = 1 THEN 'in_progress' WHEN b = 2 THEN 'failed' ELSE '' END AS batch_state, count(*)::BIGINT AS n FROM s GROUP BY 1, 2, 3, 4, 5""",
@@ -390,7 +390,7 @@ t AS (SELECT *, max(rn) OVER (PARTITION BY batch) - rn AS back FROM c)
 SELECT batch, avg((guid IS NULL)::INT) >= 0.2 OR avg((coalesce(trim(source_hint), '') = '')::INT) >= 0.2 AS degenerate FROM t WHERE back < 100 GROUP BY 1""",
     "clean_descriptions": f"SELECT item_id, array_to_string(list_filter(string_split({_nws('replace(rss_title, chr(44), chr(45))')}, ' '), lambda x: x <> '')[1:5], ' ') AS short FROM rss_items",
     "probability_semantics": _V + "SELECT item, alias, round(CASE WHEN (vote AND p < 0.5) OR (NOT vote AND p > 0.5) THEN 1.0 - p ELSE p END, 6) AS auto, round(CASE WHEN vote THEN p ELSE 1.0 - p END, 6) AS decision_confidence, p AS relevance_probability FROM votes",
-    "rationale_gate": r"""WITH r AS (SELECT item_id, source_hint, trim((CASE WHEN item_id % 9 <> 0 THEN '[' || pathogen_domain || '] ' ELSE '' END) || coalesce(rss_title, '') || (CASE WHEN item_id % 7 <> 0 THEN '; linkage: ' || coalesce(search_string, '') ELSE '' END)) AS t FROM rss_items),
+    "quality_gate": r"""WITH r AS (SELECT item_id, source_hint, trim((CASE WHEN item_id % 9 <> 0 THEN '[' || pathogen_domain || '] ' ELSE '' END) || coalesce(rss_title, '') || (CASE WHEN item_id % 7 <> 0 THEN '; linkage: ' || coalesce(search_string, '') ELSE '' END)) AS t FROM rss_items),
 n AS (SELECT *, len(regexp_extract_all(t, '[\p{L}\p{N}_](?:[\p{L}\p{N}_''-]*[\p{L}\p{N}_])?')) AS n FROM r)
 SELECT item_id, CASE WHEN n < 12 THEN 'rationale_too_short:' || n || '<12' WHEN n > 24 THEN 'rationale_too_long:' || n || '>24' WHEN NOT (contains(t, '[') AND contains(t, ']')) THEN 'rationale_missing_domain_label'
 WHEN NOT contains(lower(t), 'linkage:') THEN 'rationale_missing_linkage_tag' WHEN NOT regexp_matches(lower(t), 'peste|fever|virus|gripe') THEN 'rationale_missing_target_reference' WHEN item_id % 2 = 0 AND source_hint IS NULL THEN 'relevant_missing_evidence_span' ELSE '' END AS reason FROM n""",

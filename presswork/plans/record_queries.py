@@ -32,13 +32,6 @@ def labels_join(spark, d):
     return r.groupBy("host").agg(F.count(F.lit(1)).alias("items")).join(labels_reference(spark, d), "host")
 
 
-def quality_gate(spark, d):
-    x = read_table(spark, d, "rss_items").select("item_id", text.normalize_ws(F.col("rss_title")).alias("t"))
-    n = text.word_count(F.col("t"))
-    reason = F.when(F.col("t") == "", "empty").when(n < 8, "too_few_words").when(n > 16, "too_many_words").when(~F.col("t").contains("-"), "no_place").otherwise("ok")
-    return x.select("item_id", reason.alias("reason"))
-
-
 def serialize_arrays(spark, d):
     f = read_table(spark, d, "fulltext").where("domain IS NOT NULL")
     return f.groupBy("domain").agg(text.serialize(F.array_sort(F.collect_set("article_language"))).alias("languages"))
@@ -78,19 +71,6 @@ def rss_pipeline(spark, d):
     return kept.groupBy("dataset_key").agg(F.count(F.lit(1)).alias("items"), F.countDistinct("host").alias("hosts"))
 
 
-def pending_rows(spark, d):
-    o = read_table(spark, d, "orders")
-    return o.where((F.col("o_orderstatus") == "O") & ~F.col("o_orderpriority").isin("1-URGENT")).groupBy("o_orderpriority").agg(F.count(F.lit(1)).alias("n"))
-
-
-def batch_hydrate(spark, d):
-    state = read_table(spark, d, "orders").select("o_orderkey", "o_orderstatus")
-    results = read_table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.max("l_returnflag").alias("answer"))
-    j = state.join(results, "o_orderkey", "left")
-    status = F.when(F.col("answer").isNull(), "waiting").when(F.col("answer") == "R", "failed").otherwise("labelled")
-    return j.groupBy("o_orderstatus", status.alias("state")).agg(F.count(F.lit(1)).alias("n"))
-
-
 def enqueued_tokens(spark, d):
     t = read_table(spark, d, "documents").select("source", text.prompt_tokens(F.col("text")).alias("tokens"))
     return t.groupBy("source").agg(F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("requests"))
@@ -113,15 +93,6 @@ def retry_pending(spark, d):
     return m.orderBy("next_at", "search_string", "locale_id", "window_start", "status").limit(200)
 
 
-def scan_summary(spark, d):
-    m = read_table(spark, d, "manifest")
-    n = F.coalesce(F.expr("try_cast(entry_count AS bigint)"), F.expr("try_cast(split_trigger_entries AS bigint)"), F.lit(0))
-    bucket = F.when(n == 0, "none").when(n < 100, "below").otherwise("at_cap")
-    days = F.coalesce(F.expr("try_cast(window_days AS int)"), F.lit(0))
-    action = F.when(F.col("status").isin("success", "empty"), "done").when(F.col("status") == "split", "follow_children").otherwise("retry")
-    return m.groupBy(windows.stage_label(days, windows.LADDER).alias("stage"), bucket.alias("bucket"), action.alias("action")).agg(F.count(F.lit(1)).alias("n"))
-
-
 def evidence_merge(spark, d):
     """Names of all supporting models' evidence, in model order, each kept once without regard to case."""
     v = _votes(spark, d).where("vote").select("item", "alias", F.element_at(F.array(F.lit("Alpha"), F.lit("alpha"), F.lit("Beta")), F.right("alias", F.lit(1)).cast("int")).alias("span"))
@@ -218,17 +189,6 @@ def rule_cascade(spark, d):
     return p.select("p_partkey", out.alias("profile"))
 
 
-def hit_score(spark, d):
-    """The best search string for each title's disease words, from the words both have, ties to the first in order."""
-    s = read_table(spark, d, "search_strings").where("trim(search_string) <> ''").select(F.trim("search_string").alias("term")).distinct()
-    term = s.select("term", F.explode(text.token_set(F.col("term"))).alias("w"))
-    t = read_table(spark, d, "rss_items").select("rss_title").distinct().select("rss_title", F.explode(text.token_set(F.col("rss_title"))).alias("w"))
-    # a fixed small table of terms on one side
-    hits = t.join(term, "w").groupBy("rss_title", "term").agg((2 * F.count(F.lit(1))).alias("score")).where("score >= 4")
-    best = F.min_by("term", F.struct(-F.col("score"), "term"))
-    return hits.groupBy("rss_title").agg(best.alias("term"), F.max("score").alias("score"))
-
-
 def page_text(spark, d):
     """Main text by container density, of pages put together from feed descriptions."""
     r = read_table(spark, d, "rss_items").where("rss_description IS NOT NULL")
@@ -236,19 +196,12 @@ def page_text(spark, d):
     return r.select("item_id", html.page_fields(page, F.col("source_url")).alias("f")).select("item_id", F.col("f.text").alias("body"))
 
 
-def pathogen_merge(spark, d):
-    """One row per pathogen stem with its names in one list; a name that is the stem of a longer twin is absorbed."""
-    s = read_table(spark, d, "search_strings").where("trim(search_string_en) <> ''").select(text.normalise_key(F.col("search_string_en")).alias("k")).distinct()
-    stem = s.select(F.split("k", " ")[0].alias("stem"), "k")
-    return stem.groupBy("stem").agg(F.array_join(F.array_sort(F.collect_set("k")), ", ").alias("names"), F.count(F.lit(1)).alias("n"))
-
-
 QUERIES = {
     f.__name__: f
     for f in (
-        scan_events, labels_reference, labels_join, quality_gate, serialize_arrays, extractive_summary, rss_pipeline, pending_rows, batch_hydrate, enqueued_tokens,
-        batch_result_normalize, backoff_schedule, retry_pending, scan_summary, evidence_merge, ensemble_gain, agreement_rate, resolution_summary, overlap_grains,
-        keep_signal, collapse_summary, flatten_impacts, assignment_summary, global_taxonomy, global_mapping, merge_parts, rule_cascade, hit_score, page_text, pathogen_merge,
+        scan_events, labels_reference, labels_join, serialize_arrays, extractive_summary, rss_pipeline, enqueued_tokens,
+        batch_result_normalize, backoff_schedule, retry_pending, evidence_merge, ensemble_gain, agreement_rate, resolution_summary, overlap_grains,
+        keep_signal, collapse_summary, flatten_impacts, assignment_summary, global_taxonomy, global_mapping, merge_parts, rule_cascade, page_text,
     )
 }
 
@@ -257,7 +210,6 @@ _PARTS = "list_filter(list_transform(string_split_regex(coalesce(authors, ''), '
 _IMPACTS = f"""WITH p AS (SELECT article_id, {_PARTS} AS l FROM fulltext), u AS (SELECT article_id, list_filter(l, lambda x, i: NOT list_contains(list_transform(l[1:i-1], lambda y: lower(y)), lower(x))) AS l FROM p),
 im AS (SELECT article_id, unnest(CASE WHEN len(l) = 0 THEN ['N/A'] ELSE l END) AS impact FROM u)
 """
-_TOK = "list_distinct(regexp_extract_all(lower(coalesce({c}, '')), '[a-z0-9]+'))"
 _REF = """WITH hh AS (SELECT regexp_replace(regexp_replace(lower(regexp_extract(trim(domain), '^(?:[A-Za-z]+://)?([^/?#:]*)', 1)), '^www\\.', ''), '\\.+$', '') AS host,
   CASE WHEN lower(trim(is_news_outlet)) IN ('true', '1', 'yes', 'y') THEN 1 WHEN lower(trim(is_news_outlet)) IN ('false', '0', 'no', 'n') THEN 0 END AS news, domain FROM domains_removed),
 ref AS (SELECT host, first(news ORDER BY domain) AS news FROM hh WHERE news IS NOT NULL AND host <> '' GROUP BY 1)
@@ -269,23 +221,15 @@ ORACLE = {
     "scan_events": "SELECT event_id, user_id, value FROM events WHERE event_type = 'purchase' AND value > 100",
     "labels_reference": _REF + "SELECT host, news FROM ref",
     "labels_join": _REF + ", r AS (SELECT regexp_replace(lower(trim(coalesce(source_domain, ''))), '^www\\.', '') AS host FROM rss_items) SELECT host, count(*)::BIGINT AS items, any_value(news) AS news FROM r JOIN ref USING (host) GROUP BY 1",
-    "quality_gate": f"""WITH t AS (SELECT item_id, {_NWS.format(c='rss_title')} AS t FROM rss_items), n AS (SELECT *, len(list_filter(string_split(t, ' '), lambda x: x <> '')) AS n FROM t)
-SELECT item_id, CASE WHEN t = '' THEN 'empty' WHEN n < 8 THEN 'too_few_words' WHEN n > 16 THEN 'too_many_words' WHEN t NOT LIKE '%-%' THEN 'no_place' ELSE 'ok' END AS reason FROM n""",
     "serialize_arrays": "SELECT domain, coalesce(array_to_string(list_sort(list(DISTINCT article_language) FILTER (article_language IS NOT NULL)), ' | '), '') AS languages FROM fulltext WHERE domain IS NOT NULL GROUP BY 1",
-    "pending_rows": "SELECT o_orderpriority, count(*)::BIGINT AS n FROM orders WHERE o_orderstatus = 'O' AND o_orderpriority <> '1-URGENT' GROUP BY 1",
     "rss_pipeline": _CASCADE.replace("FROM rss_items)", """FROM rss_items WHERE NOT EXISTS (SELECT 1 FROM (SELECT DISTINCT h FROM (SELECT regexp_replace(regexp_replace(lower(regexp_extract(trim(domain), '^(?:[A-Za-z]+://)?([^/?#:]*)', 1)), '^www\\.', ''), '\\.+$', '') AS h
   FROM domains_removed WHERE lower(trim(is_news_outlet)) = 'no') WHERE h <> '') WHERE regexp_replace(lower(trim(coalesce(source_domain, ''))), '^www\\.', '') = h OR ends_with(regexp_replace(lower(trim(coalesce(source_domain, ''))), '^www\\.', ''), '.' || h)))""", 1)
     + "SELECT dataset_key, count(*)::BIGINT AS items, count(DISTINCT regexp_replace(lower(trim(coalesce(source_domain, ''))), '^www\\.', ''))::BIGINT AS hosts FROM e2 GROUP BY 1",
-    "batch_hydrate": """SELECT o_orderstatus, CASE WHEN a IS NULL THEN 'waiting' WHEN a = 'R' THEN 'failed' ELSE 'labelled' END AS state, count(*)::BIGINT AS n
-FROM orders LEFT JOIN (SELECT l_orderkey, max(l_returnflag) AS a FROM lineitem GROUP BY 1) ON l_orderkey = o_orderkey GROUP BY 1, 2""",
     "enqueued_tokens": "SELECT source, sum(CASE WHEN coalesce(text, '') = '' THEN 0 ELSE greatest(1, length(text) // 4) END)::BIGINT AS tokens, count(*)::BIGINT AS requests FROM documents GROUP BY 1",
     "batch_result_normalize": """SELECT event_id::VARCHAR AS custom_id, event_id % 5 <> 0 AS success, CASE WHEN event_id % 5 = 0 THEN '' ELSE event_type END AS raw_text, CASE WHEN event_id % 5 = 0 THEN 'http_500' ELSE '' END AS error FROM events""",
     "backoff_schedule": "SELECT i::BIGINT AS attempt, least(300.0, 5 * pow(2, i - 1))::DOUBLE AS seconds FROM range(1, 9) t(i)",
     "retry_pending": """SELECT search_string, locale_id, window_start, status, coalesce(next_eligible_attempt_at, '') AS next_at FROM manifest WHERE status IN ('failed', 'throttled')
 ORDER BY next_at, search_string NULLS FIRST, locale_id NULLS FIRST, window_start NULLS FIRST, status LIMIT 200""",
-    "scan_summary": """WITH m AS (SELECT *, coalesce(try_cast(entry_count AS BIGINT), try_cast(split_trigger_entries AS BIGINT), 0) AS n, coalesce(try_cast(window_days AS INTEGER), 0) AS days FROM manifest)
-SELECT CASE WHEN days <= 1 THEN '1_day' WHEN days <= 3 THEN '3_day' WHEN days <= 7 THEN '7_day' WHEN days <= 14 THEN '14_day' WHEN days <= 30 THEN '30_day' ELSE 'coarse' END AS stage,
-  CASE WHEN n = 0 THEN 'none' WHEN n < 100 THEN 'below' ELSE 'at_cap' END AS bucket, CASE WHEN status IN ('success', 'empty') THEN 'done' WHEN status = 'split' THEN 'follow_children' ELSE 'retry' END AS action, count(*)::BIGINT AS n FROM m GROUP BY 1, 2, 3""",
     "evidence_merge": _V + """, e AS (SELECT item, bool_or(alias IN ('m1', 'm2')) AS a, bool_or(alias = 'm1') AS a1, bool_or(alias = 'm3') AS b FROM votes WHERE vote GROUP BY 1)
 SELECT item, concat_ws(' | ', CASE WHEN a THEN (CASE WHEN a1 THEN 'Alpha' ELSE 'alpha' END) END, CASE WHEN b THEN 'Beta' END) AS evidence FROM e""",
     "ensemble_gain": "WITH s AS (" + _E1 + "), p AS (" + _E2 + ") SELECT p.f1 AS ensemble_f1, (SELECT max(f1) FROM s) AS best_single, round(p.f1 - (SELECT max(f1) FROM s), 4) AS gain FROM p",
@@ -305,9 +249,4 @@ SELECT category, count(*)::BIGINT AS items, count(DISTINCT batch_no)::BIGINT AS
     "merge_parts": """WITH t AS (SELECT p_brand, list_transform(list_sort(list(DISTINCT p_type)), lambda x: string_split(x, ' ')[1]) AS l FROM part GROUP BY 1)
 SELECT p_brand, array_to_string(list_filter(l, lambda x, i: NOT list_contains(list_transform(l[1:i-1], lambda y: lower(y)), lower(x))), ', ') AS kinds FROM t""",
     "rule_cascade": "SELECT p_partkey, CASE " + " ".join(f"WHEN lower(p_type) LIKE '%{w}%' THEN '{k}'" for w, k in RULES) + " ELSE 'other' END AS profile FROM part",
-    "hit_score": f"""WITH s AS (SELECT DISTINCT trim(search_string, ' ') AS term FROM search_strings WHERE trim(search_string, ' ') <> ''), tw AS (SELECT term, unnest({_TOK.format(c='term')}) AS w FROM s),
-t AS (SELECT DISTINCT rss_title FROM rss_items), ww AS (SELECT rss_title, unnest({_TOK.format(c='rss_title')}) AS w FROM t), h AS (SELECT rss_title, term, 2 * count(*) AS score FROM ww JOIN tw USING (w) GROUP BY 1, 2 HAVING 2 * count(*) >= 4)
-SELECT rss_title, first(term ORDER BY score DESC, term) AS term, max(score)::BIGINT AS score FROM h GROUP BY 1""",
-    "pathogen_merge": """WITH k AS (SELECT DISTINCT lower(trim(regexp_replace(search_string_en, '\\s+', ' ', 'g'))) AS k FROM search_strings WHERE trim(search_string_en) <> '')
-SELECT string_split(k, ' ')[1] AS stem, string_agg(k, ', ' ORDER BY k) AS names, count(*)::BIGINT AS n FROM k GROUP BY 1""",
 }

@@ -21,19 +21,21 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
 
 
-def conform(df: DataFrame, schema: T.StructType, renames: dict[str, str] | None = None) -> DataFrame:
-    """The schema's columns in order: legacy names are renamed, missing columns are NULL, extra ones are dropped."""
+def conform(df: DataFrame, schema: T.StructType, renames: dict[str, str] | None = None, default: str | None = None) -> DataFrame:
+    """The schema's columns in order: legacy names are renamed, extra ones are dropped, missing columns hold the default
+    (NULL if none is given)."""
     for old, new in (renames or {}).items():
         if old in df.columns and new not in df.columns:
             df = df.withColumnRenamed(old, new)
     have = set(df.columns)
-    return df.select(*[(F.col(f"`{f.name}`") if f.name in have else F.lit(None)).cast(f.dataType).alias(f.name) for f in schema.fields])
+    return df.select(*[(F.col(f"`{f.name}`") if f.name in have else F.lit(default)).cast(f.dataType).alias(f.name) for f in schema.fields])
 
 
-def read_csv(spark: SparkSession, path: str, schema: T.StructType | None = None, encodings: tuple[str, ...] = ("UTF-8", "ISO-8859-1")) -> DataFrame:
+def read_csv(spark: SparkSession, path: str, schema: T.StructType | None = None, encodings: tuple[str, ...] = ("UTF-8", "ISO-8859-1"), fill: str | None = None) -> DataFrame:
     """A CSV table with a header, all columns text unless a schema is given; a missing file is an empty table.
 
-    The first encoding in which the file holds no replacement character is used; a byte order mark is dropped.
+    The first encoding in which the file holds no replacement character is used; a byte order mark is dropped. With `fill`
+    missing texts hold it, as in a table where the empty text stands for missing.
     """
     if not _exists(spark, path):
         return spark.createDataFrame([], schema or T.StructType())
@@ -48,7 +50,14 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType | None = None,
             break
         df = read(enc)
     df = df.toDF(*[c.lstrip("\ufeff") for c in df.columns])
-    return conform(df, schema) if schema else df
+    df = conform(df, schema) if schema else df
+    return df if fill is None else df.na.fill(fill)
+
+
+def worksheet_column(rows: list[list], row: int, column: int) -> list[str]:
+    """Distinct names of a worksheet's column from a row on (both from 0), in their order; blank cells are left out."""
+    cells = (" ".join(str(r[column]).split()) for r in rows[row:] if len(r) > column and r[column] is not None)
+    return list(dict.fromkeys(x for x in cells if x))
 
 
 def read_preferred(spark: SparkSession, stem: str, schema: T.StructType | None = None) -> DataFrame:
@@ -97,8 +106,13 @@ def read_workbook(spark: SparkSession, path: str, sheet: int | str = 0) -> DataF
 def read_first_column(spark: SparkSession, path: str, header: bool = True) -> DataFrame:
     """First comma-separated field of each line, without byte order mark, blank lines and the header's value."""
     v = F.trim(F.regexp_replace(F.split("value", ",", 2)[0], "^\ufeff", ""))
-    df = spark.read.text(path).select(v.alias("value"), F.monotonically_increasing_id().alias("__n")).where("value <> ''")
-    return df.where("__n > 0").select("value") if header else df.select("value")
+    own = F.col("_metadata.file_path"), F.col("_metadata.file_block_start")
+    df = spark.read.text(path).select(v.alias("value"), own[0].alias("__f"), own[1].alias("__b"), F.monotonically_increasing_id().alias("__n"))
+    if header:
+        # a file's first line is the first row of its first block
+        first = df.where("__b = 0").groupBy("__f").agg(F.min("__n").alias("__n"))
+        df = df.join(F.broadcast(first), ["__f", "__n"], "left_anti")
+    return df.where("value <> ''").select("value")
 
 
 def read_log(spark: SparkSession, path: str) -> DataFrame:

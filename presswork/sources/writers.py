@@ -84,6 +84,32 @@ def write_summary(spark: SparkSession, path: str, values: dict) -> None:
     write_text(spark, path, json.dumps(values, indent=2, default=str, sort_keys=True))
 
 
+def write_workbook(df: DataFrame, path: str) -> str:
+    """A small table as a workbook where a writer for those is installed, else as one CSV file beside that name; returns
+    the path written. Its rows go through the driver, as a workbook is one file."""
+    pdf = text_columns(df).toPandas()
+    try:
+        pdf.to_excel(path, index=False)
+        return path
+    except ImportError:
+        other = path.rsplit(".", 1)[0] + ".csv"
+        write_text(df.sparkSession, other, pdf.to_csv(index=False))
+        return other
+
+
+def write_batches(df: DataFrame, path: str, batch: str = "batch_id") -> None:
+    """JSON lines of each batch in a folder of its own; a batch written again replaces only itself."""
+    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(batch).json(path)
+
+
+def write_topics(path: str, summary: dict, **tables: DataFrame) -> None:
+    """Tables of a topic model, each in a folder of its name, and the summary beside them; the summary comes last, so it is
+    there only if the tables are."""
+    for name, df in tables.items():
+        replace_table(text_columns(df), f"{path.rstrip('/')}/{name}", "csv")
+    write_summary(next(iter(tables.values())).sparkSession, f"{path.rstrip('/')}/summary.json", summary)
+
+
 def text_columns(df: DataFrame, mark: str = " | ") -> DataFrame:
     """Array columns as joined text, for formats without arrays."""
     arrays = {n for n, t in df.dtypes if t.startswith("array<string>")}
