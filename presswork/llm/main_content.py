@@ -10,6 +10,8 @@ Short lines are also judged by all sites that have them, as a site may have one
 
 from __future__ import annotations
 
+import functools
+import itertools
 import re
 from collections.abc import Callable, Iterator
 
@@ -41,28 +43,32 @@ MARKUP = r"(?i)^\s*<(?:!doctype|!--|[a-z])|</(?:html|body|div|p|ul|ol|table|arti
 HEADLINE, PROSE, LIST, OTHER, BLANK = "h", "p", "l", "o", "b"
 
 
+@functools.cache
+def _pattern(text: str):
+    import regex
+
+    return regex.compile(text)
+
+
 class PageTree:
     """Blocks of one page with their kinds."""
 
     def __init__(self, text: str, url: str | None):
-        import regex
-
-        self.text, self.markup = text, bool(regex.search(MARKUP, text))
+        self.text, self.markup = text, "<" in text and bool(_pattern(MARKUP).search(text))
         self.shown = (render(text) if self.markup else text).split("\n")
         self.lines = [x.strip() for x in self.shown]
-        self.keys = [regex.sub(NUMBERS, "0", x).lower() for x in self.lines]
+        numbers = _pattern(NUMBERS).sub
+        self.keys = [numbers("0", x).lower() if x else x for x in self.lines]
         self.kinds = [self.kind(x) for x in self.lines]
         self.slug = self._slug(url)
 
     @staticmethod
     def _slug(url: str | None) -> list[str]:
         """Words of the last part of the address, lower case, without numbers and one-letter words."""
-        import regex
-
-        path = regex.sub(r"[?#].*$", "", (url or "").strip()).rstrip("/")
-        path = regex.sub(r"^(?:[a-zA-Z]+:)?//[^/]*", "", path)
+        path = _pattern(r"[?#].*$").sub("", (url or "").strip()).rstrip("/")
+        path = _pattern(r"^(?:[a-zA-Z]+:)?//[^/]*").sub("", path)
         last = path.rsplit("/", 1)[-1].lower()
-        return [w for w in regex.split(r"[^\p{L}]+", regex.sub(r"\.\w{2,5}$", "", last)) if len(w) > 1]
+        return [w for w in _pattern(r"[^\p{L}]+").split(_pattern(r"\.\w{2,5}$").sub("", last)) if len(w) > 1]
 
     @staticmethod
     def kind(line: str) -> str:
@@ -77,10 +83,8 @@ class PageTree:
 
     def content_after(self, i: int) -> bool:
         """The next block that is not blank is a paragraph or a list."""
-        for k in self.kinds[i + 1:]:
-            if k != BLANK:
-                return k in (PROSE, LIST)
-        return False
+        after = next((k for k in itertools.islice(self.kinds, i + 1, None) if k != BLANK), BLANK)
+        return after in (PROSE, LIST)
 
     def observations(self) -> Iterator[tuple[str, int, int]]:
         """(key, is sentence, followed by content) of each distinct line that could recur."""
@@ -107,11 +111,9 @@ class PageTree:
 
     def article(self, notices: set[int], subheads: set[int], recurrent: set[int]) -> set[int]:
         """Places of the shown lines that are the page's own article."""
-        import regex
-
         n = len(self.lines)
-        consent = regex.compile(CONSENT)
-        own = [k in (PROSE, LIST) and _hash(key) not in notices and not (k == PROSE and consent.search(x)) for k, key, x in zip(self.kinds, self.keys, self.lines)]
+        consent = _pattern(CONSENT)
+        own = [k in (PROSE, LIST) and (not notices or _hash(key) not in notices) and not (k == PROSE and consent.search(x)) for k, key, x in zip(self.kinds, self.keys, self.lines)]
         body = [i for i in range(n) if own[i]]
         head = self._headline(body)
         if head is None and (self.slug or not body):
@@ -145,21 +147,19 @@ class PageTree:
     def _headline(self, body: list[int]) -> int | None:
         """The first line that is no sentence and has the words of the address in their order; without an address, the
         last longer line before the first paragraph that shares a name with the paragraphs."""
-        import regex
-
         if self.slug:
             want = " ".join(self.slug)
             for i, k in enumerate(self.kinds):
                 if k not in (BLANK, LIST):
-                    flat = " ".join(regex.split(r"[^\p{L}]+", self.lines[i].lower()))
+                    flat = " ".join(_pattern(r"[^\p{L}]+").split(self.lines[i].lower()))
                     if want in flat and (not body or i <= body[0]):
                         return i
             return None
         if not body:
             return None
-        names = set(regex.findall(r"\p{Lu}\p{L}+(?:-\p{L}+)+", " ".join(self.lines[i] for i in body)))
+        names = set(_pattern(r"\p{Lu}\p{L}+(?:-\p{L}+)+").findall(" ".join(self.lines[i] for i in body)))
         # a path or bar of links has marks between its parts
-        plain = [i for i in range(body[0]) if self.kinds[i] == OTHER and not regex.search(r"\s[>»›/|·]\s", self.lines[i])]
+        plain = [i for i in range(body[0]) if self.kinds[i] == OTHER and not _pattern(r"\s[>»›/|·]\s").search(self.lines[i])]
         candidates = [i for i in plain if len(self.lines[i].split()) > MIN_SENTENCE]
         sharing = [i for i in candidates if any(x in self.lines[i] for x in names)]
         return sharing[-1] if sharing else candidates[-1] if candidates else None
@@ -169,8 +169,7 @@ def _hash(key: str) -> int:
     """64-bit hash of a line's key, signed as Spark has it."""
     import xxhash
 
-    h = xxhash.xxh64_intdigest(key)
-    return h - (1 << 64) if h >> 63 else h
+    return int.from_bytes(xxhash.xxh64_digest(key), "big", signed=True)
 
 
 def site(url: Column) -> Column:
