@@ -129,8 +129,9 @@ def weight_grid(models: list[str], step: float = 0.25) -> list[dict[str, float]]
     return [dict(zip(models, (round(x * step, 6) for x in c))) for c in compose(parts, len(models))]
 
 
-def tune(votes: DataFrame, labels: DataFrame, item: str, grid: list[dict[str, float]], thresholds: list[float], agreements: list[float], floor: float = 0.85) -> DataFrame:
-    """The best candidate (weights, threshold, agreement) of a bounded grid by recall floor, then F1, recall, threshold.
+def tune(votes: DataFrame, labels: DataFrame, item: str, grid: list[dict[str, float]], thresholds: list[float], agreements: list[float], floor: float = 0.85, objective: str = "f1") -> DataFrame:
+    """The best candidate (weights, threshold, agreement) of a bounded grid by recall floor, then the objective (f1 or
+    precision), F1, recall, threshold, agreement; the first one wins ties.
 
     Votes are folded to one row per item before the grid is joined; all candidates are evaluated in one aggregation.
     """
@@ -145,7 +146,7 @@ def tune(votes: DataFrame, labels: DataFrame, item: str, grid: list[dict[str, fl
     votes_for = sum(F.when(F.col(f"w_{m}") > 0, F.col(f"v_{m}")).otherwise(0) for m in models)
     scored = rows.crossJoin(F.broadcast(grid_df)).withColumn("hit", (F.round(prob, 9) >= F.col("threshold")) & (F.round(votes_for / used, 9) >= F.col("agreement")))
     m = confusion(scored, F.col("hit"), F.col("truth"), ["candidate", "threshold", "agreement"])
-    best = F.max_by(F.struct("candidate", "threshold", "agreement", "precision", "recall", "f1"), F.struct((F.col("recall") >= floor).cast("int"), "f1", "recall", "threshold", "agreement", -F.col("candidate")))
+    best = F.max_by(F.struct("candidate", "threshold", "agreement", "precision", "recall", "f1"), F.struct((F.col("recall") >= floor).cast("int"), F.col(objective).alias("o"), "f1", "recall", "threshold", "agreement", -F.col("candidate")))
     return m.agg(best.alias("b")).select("b.*")
 
 

@@ -179,3 +179,13 @@ def test_release_removes_written_tables(spark):
     kept, spark.sparkContext._presswork_paths = spark.sparkContext._presswork_paths[: before - 2], spark.sparkContext._presswork_paths[before - 2 :]
     assert release(spark) == 2 and not os.path.exists(path)
     spark.sparkContext._presswork_paths = kept
+
+
+def test_charts():
+    from xml.etree import ElementTree
+
+    from presswork.functions.charts import facet_bars
+
+    svg = facet_bars([("a & b", "x<", 2), ("a & b", "y", 4), ("c", "z", -1)], "t")
+    rects = [float(r.get("width")) for r in ElementTree.fromstring(svg).iter("{http://www.w3.org/2000/svg}rect")]
+    assert rects[1] == 2 * rects[0] and rects[2] == 0 and "a &amp; b" in svg and ElementTree.fromstring(facet_bars([])) is not None
