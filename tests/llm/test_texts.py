@@ -295,3 +295,21 @@ def test_packing_table(spark):
         assert all(a[0] + a[1] == b[0] for a, b in zip(parts, parts[1:]))
     assert sum(load.values()) / (64 * len(load)) > 0.93
     assert packing.pack(df.limit(0), 64).count() == 0
+
+
+def test_empty_tables_and_clashing_columns(spark):
+    art = articles(spark, [(1, "s", "The town is quiet today, said the mayor of the town.")])
+    empty = art.limit(0)
+    counts = site_lines.LineCounts(spark)
+    assert counts.add(site_lines.hashed(empty)).count() == 0 and counts.occurrences(site_lines.hashed(empty)).count() == 0
+    assert counts.add(site_lines.hashed(art)).count() == 0 and counts.lines().count() == 1
+    assert site_lines.cleaned(spark, empty, site_lines.hashed(empty).withColumn("part", F.lit(0)), 1).count() == 0
+    pages = spark.createDataFrame([(1, None, None, "x", "y", "z")], "page_id long, final_url string, full_text string, site string, page string, h string")
+    assert main_content.furniture_lines(pages).count() == 0 and main_content.main_text(pages).first().main_text == ""
+    assert main_content.furniture_lines(pages.limit(0)).count() == 0 and main_content.main_text(pages.limit(0)).count() == 0
+    model = languages.fitted([("the town is quiet", "en"), ("la ville est calme", "fr")], [])
+    titles = spark.createDataFrame([(1, None, "fr"), (2, "the town", "FR"), (3, "the town", None), (4, "the town", "en-GB"), (5, "the town", "en-GB")], "item_id long, t string, lang string")
+    assert sorted(r.item_id for r in languages.labelled(titles, model, "item_id", "t", "lang").collect()) == [2, 3]
+    assert languages.labelled(titles.limit(0), model, "item_id", "t", "lang").count() == 0
+    assert languages.article_segments(empty, model, "article_id", "full_text").count() == 0
+    assert residue.message_groups(residue.suspicious_lines(empty, "article_id", "domain", "full_text")).count() == 0
