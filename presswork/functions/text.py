@@ -86,6 +86,23 @@ def elapsed(seconds: Column) -> Column:
     return F.format_string("%02d:%02d:%02d", F.floor(s / 3600).cast("bigint"), F.floor(s % 3600 / 60).cast("bigint"), s % 60)
 
 
+def model_input(title: Column, body: Column, limit: int, summary: Column | None = None) -> Column:
+    """struct(title, text) for a model: the summary where there is one and a body to sum up, else the body, cut at the
+    limit."""
+    whole = normalize_ws(body)
+    chosen = whole if summary is None else F.when((whole != "") & (normalize_ws(summary) != ""), normalize_ws(summary)).otherwise(whole)
+    return F.struct(normalize_ws(title).alias("title"), F.left(chosen, F.lit(limit)).alias("text"))
+
+
+def first_rule(c: Column, rules: list[tuple[str, str]], default: str, whole: bool = False) -> Column:
+    """Outcome of the first rule (word, outcome) whose word the text holds, or is if `whole`, without regard to case."""
+    t = F.lower(normalize_ws(c))
+    out = F.lit(default)
+    for word, outcome in reversed(rules):
+        out = F.when(t == word.lower() if whole else t.contains(word.lower()), outcome).otherwise(out)
+    return out
+
+
 def token_set(c: Column) -> Column:
     """Distinct lower-case ASCII words, sorted."""
     return F.array_sort(F.array_distinct(F.regexp_extract_all(F.lower(text_or_empty(c)), F.lit("([a-z0-9]+)"))))

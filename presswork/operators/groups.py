@@ -53,6 +53,23 @@ def build_groups(rows: DataFrame, by: list[str], label: str, article: str, examp
     return g.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top)
 
 
+def assigned(rows: DataFrame, label: str, categories: DataFrame, name: str, other: str = "N/A") -> DataFrame:
+    """The rows of an apply run: labels that are one of the allowed categories without regard to case take its spelling,
+    all others are `other`. Categories are a list of at most a few hundred."""
+    known = categories.select(F.lower(F.trim(name)).alias("__k"), F.col(name).alias("__name")).dropDuplicates(["__k"])
+    j = rows.withColumn("__k", F.lower(F.trim(label))).join(known, "__k", "left")
+    return j.withColumn(label, F.coalesce("__name", F.lit(other))).drop("__k", "__name")
+
+
+def by_rule_table(rows: DataFrame, id_col: str, column: str, rules: DataFrame, default: str) -> DataFrame:
+    """(id, outcome): of each row the outcome of the first rule (rule_order, word, outcome) whose word its text holds.
+    Rules are a table of at most a few hundred; each row meets them once, and only hits are folded."""
+    t = rows.select(F.col(id_col), F.lower(F.col(column)).alias("__t"))
+    r = F.broadcast(rules.select("rule_order", F.lower("word").alias("__w"), "outcome"))
+    hits = t.join(r, F.col("__t").contains(F.col("__w"))).groupBy(id_col).agg(F.min_by("outcome", "rule_order").alias("outcome"))
+    return rows.select(id_col).join(hits, id_col, "left").select(id_col, F.coalesce("outcome", F.lit(default)).alias("outcome"))
+
+
 def shortest_label(rows: DataFrame, label: str) -> DataFrame:
     """One spelling per label without regard to case: the shortest, then the first in order."""
     return rows.where(F.trim(label) != "").groupBy(F.lower(F.trim(label)).alias("label_key")).agg(F.min_by(label, F.struct(F.length(label), label)).alias("label"))

@@ -183,10 +183,7 @@ RULES = [("steel", "metal"), ("brass", "metal"), ("tin", "metal"), ("copper", "m
 
 def rule_cascade(spark, d):
     p = read_table(spark, d, "part").select("p_partkey", F.lower("p_type").alias("t"))
-    out = F.lit("other")
-    for word, kind in reversed(RULES):
-        out = F.when(F.col("t").contains(word), kind).otherwise(out)
-    return p.select("p_partkey", out.alias("profile"))
+    return p.select("p_partkey", text.first_rule(F.col("t"), RULES, "other").alias("profile"))
 
 
 def page_text(spark, d):

@@ -188,6 +188,42 @@ def enriched_terms(spark, d):
     return row.select("name", *[text.search_string(F.col(x)).alias(f"search_{x}") for x in langs], text.search_string(every).alias("search_all")).distinct()
 
 
+def assigned_categories(spark, d):
+    """Items under the categories that discovery kept; labels outside them are N/A."""
+    c = _categories(spark, d)
+    kept = groups.build_groups(c, ["batch"], "label", "item_id", "example", "cause", 10).select("label").distinct()
+    least = kept.groupBy(F.lower(F.trim("label")).alias("k")).agg(F.min("label").alias("label")).select("label")
+    out = groups.assigned(c.select("item_id", "label"), "label", least, "label")
+    return out.groupBy("label").agg(F.count(F.lit(1)).alias("items"))
+
+
+def rule_table(spark, d):
+    """Profiles by a table of rules, the first that fits."""
+    rules = spark.createDataFrame([(1, "econ", "cheap"), (2, "o", "with o"), (3, "small", "size")], "rule_order int, word string, outcome string")
+    return groups.by_rule_table(read_table(spark, d, "part"), "p_partkey", "p_type", rules, "other")
+
+
+def first_token_rules(spark, d):
+    """Kinds by the first word of a name."""
+    p = read_table(spark, d, "part")
+    kind = text.first_rule(F.split(F.col("p_name"), " ")[0], [("red", "warm"), ("blue", "cold"), ("small", "size"), ("large", "size")], "other", True)
+    return p.groupBy(kind.alias("kind")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def model_inputs(spark, d):
+    """Inputs of a model: title and text cut at 500 characters."""
+    f = read_table(spark, d, "fulltext").select("article_id", text.model_input(F.col("rss_title"), F.col("full_text"), 500).alias("i"))
+    return f.select("article_id", F.col("i.title").alias("title"), F.md5("i.text").alias("text_hash"), F.length("i.text").alias("chars"))
+
+
+def relevant_outlets(spark, d):
+    """Rows that a column of any of the known names calls relevant."""
+    from presswork.sources.readers import relevance_mask
+
+    r = read_table(spark, d, "domains_removed").withColumnRenamed("is_news_outlet", "is_relevant")
+    return r.where(relevance_mask(r)).agg(F.count(F.lit(1)).alias("n"))
+
+
 def subtype_names(spark, d):
     p = read_table(spark, d, "part")
     return p.select("p_partkey", text.with_subtype(F.col("p_name"), F.col("p_type")).alias("name"))
@@ -225,7 +261,7 @@ QUERIES = {
     for f in (
         normalized_weights, evidence_consolidated, alpha_ordinal, alpha_interval, missing_votes, model_runs, overlap_jaccard, overlap_two_grains, peak_weeks_top, deepest_stage_last,
         discovery_samples, batch_overlap_means, impact_causes, impacts_with_base, collapse_examples, experiment_grid, global_assignment, taxonomy_summary, pathogen_merge, lookup_hits,
-        hit_score, enriched_terms, subtype_names, document_topics, bisecting_topics, silhouette, components_5,
+        hit_score, enriched_terms, assigned_categories, rule_table, first_token_rules, model_inputs, relevant_outlets, subtype_names, document_topics, bisecting_topics, silhouette, components_5,
     )
 }
 
@@ -284,6 +320,12 @@ SELECT count(*)::BIGINT AS labels, (count(*) FILTER (p >= 0.5))::BIGINT AS at_ha
     "hit_score": _HIT + "SELECT query, term, score FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, match_type <> 'label', term) AS n FROM h) WHERE n = 1 AND score >= 3",
     "enriched_terms": "WITH t AS (SELECT trim(search_string, ' ') AS name, " + ", ".join(f"{_DIST.format(l=v)} AS {k}" for k, v in _LIST.items()) + " FROM search_strings WHERE trim(search_string, ' ') <> ''), a AS (SELECT *, en || fr || es || pt AS l FROM t) SELECT DISTINCT name, "
     + ", ".join(f"{_OR.format(l=k)} AS search_{k}" for k in _LIST) + ", " + _OR.format(l=_DIST.format(l="l")) + " AS search_all FROM a",
+    "assigned_categories": _LC + """, n AS (SELECT batch, label, count(DISTINCT item_id) AS a FROM c GROUP BY 1, 2), k AS (SELECT DISTINCT label FROM (SELECT *, row_number() OVER (PARTITION BY batch ORDER BY a DESC, lower(label), label) AS r FROM n) WHERE r <= 10),
+m AS (SELECT lower(trim(label, ' ')) AS k, min(label) AS name FROM k GROUP BY 1) SELECT coalesce(name, 'N/A') AS label, count(*)::BIGINT AS items FROM c LEFT JOIN m ON k = lower(trim(label, ' ')) GROUP BY 1""",
+    "rule_table": "SELECT p_partkey, CASE WHEN contains(lower(p_type), 'econ') THEN 'cheap' WHEN contains(lower(p_type), 'o') THEN 'with o' WHEN contains(lower(p_type), 'small') THEN 'size' ELSE 'other' END AS outcome FROM part",
+    "first_token_rules": "SELECT CASE string_split(p_name, ' ')[1] WHEN 'red' THEN 'warm' WHEN 'blue' THEN 'cold' WHEN 'small' THEN 'size' WHEN 'large' THEN 'size' ELSE 'other' END AS kind, count(*)::BIGINT AS n FROM part GROUP BY 1",
+    "model_inputs": f"SELECT article_id, {_nws('rss_title')} AS title, md5(left({_nws('full_text')}, 500)) AS text_hash, length(left({_nws('full_text')}, 500))::INTEGER AS chars FROM fulltext",
+    "relevant_outlets": "SELECT count(*)::BIGINT AS n FROM domains_removed WHERE lower(trim(is_news_outlet)) IN ('1', 'true', 'yes', 'y', 'relevant')",
     "subtype_names": "SELECT p_partkey, CASE WHEN contains(lower(p_name), lower(p_type)) THEN p_name ELSE p_name || ' ' || p_type END AS name FROM part",
     "document_topics": "WITH k AS (" + _ANALYSIS["topic_keywords"] + """) SELECT doc_id, CASE d.genre WHEN 'article' THEN 0 WHEN 'brief' THEN 1 WHEN 'digest' THEN 2 WHEN 'report' THEN 3 WHEN 'sitrep' THEN 4 ELSE -1 END AS topic,
 CASE WHEN d.genre IN ('article', 'brief', 'digest', 'report', 'sitrep') THEN coalesce(keywords, '') ELSE 'outlier' END AS topic_keywords, coalesce(d.genre NOT IN ('article', 'brief', 'digest', 'report', 'sitrep'), true) AS is_outlier FROM documents d LEFT JOIN k ON k.genre = d.genre""",

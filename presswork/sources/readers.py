@@ -6,7 +6,7 @@ import re
 from collections.abc import Callable, Iterator
 from xml.etree import ElementTree
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -127,6 +127,21 @@ def preferred_column(df: DataFrame, names: list[str]) -> str | None:
     return next((n for n in names if n in df.columns), None)
 
 
+def relevance_mask(df: DataFrame) -> Column:
+    """Which rows are relevant, by the first column of those that say so; all rows if the table has none of them."""
+    if "final_label" in df.columns:
+        return F.coalesce(F.trim("final_label") == "relevant", F.lit(False))
+    flag = preferred_column(df, ["RelevantYN", "relevant", "is_relevant"])
+    if flag is None:
+        return F.lit(True)
+    return F.coalesce(F.lower(F.trim(F.col(flag).cast("string"))).isin("1", "true", "yes", "y", "relevant"), F.lit(False))
+
+
+def feed_item_count(xml: Column) -> Column:
+    """Number of items in the text of a feed."""
+    return F.regexp_count(F.coalesce(xml, F.lit("")), F.lit(r"<item[\s>/]"))
+
+
 def batch_results(df: DataFrame, raw: str = "value") -> DataFrame:
     """(custom_id, success, raw_text, error) of result lines of batch services in either of two layouts."""
     doc = F.try_parse_json(F.col(raw))

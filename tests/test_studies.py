@@ -189,3 +189,20 @@ def test_charts():
     svg = facet_bars([("a & b", "x<", 2), ("a & b", "y", 4), ("c", "z", -1)], "t")
     rects = [float(r.get("width")) for r in ElementTree.fromstring(svg).iter("{http://www.w3.org/2000/svg}rect")]
     assert rects[1] == 2 * rects[0] and rects[2] == 0 and "a &amp; b" in svg and ElementTree.fromstring(facet_bars([])) is not None
+
+
+def test_masks_rules_and_inputs(spark):
+    from presswork.functions import text
+
+    label = spark.createDataFrame([(" relevant ",), ("x",), (None,)], "final_label string")
+    assert label.where(readers.relevance_mask(label)).count() == 1
+    flag = spark.createDataFrame([("Yes",), ("0",), (None,)], "relevant string")
+    assert flag.where(readers.relevance_mask(flag)).count() == 1 and flag.drop("relevant").where(readers.relevance_mask(flag.drop("relevant"))).count() == 3
+    assert spark.range(1).select(readers.feed_item_count(F.lit("<item><b/></item><item a='1'/><items>")).alias("n")).first().n == 2
+    df = spark.createDataFrame([("T", "long  body", "sum"), (None, "", "sum"), ("T", "body", None)], "t string, b string, s string")
+    got = [tuple(r.i) for r in df.select(text.model_input(F.col("t"), F.col("b"), 6, F.col("s")).alias("i")).collect()]
+    assert got == [("T", "sum"), ("", ""), ("T", "body")]
+    rows = spark.createDataFrame([(1, "Old barn"), (2, "barn"), (3, None)], "id int, x string")
+    rules = spark.createDataFrame([(2, "barn", "b"), (1, "OLD", "a")], "rule_order int, word string, outcome string")
+    assert {r.id: r.outcome for r in groups.by_rule_table(rows, "id", "x", rules, "none").collect()} == {1: "a", 2: "b", 3: "none"}
+    assert [r.x for r in groups.assigned(rows, "x", spark.createDataFrame([("BARN",)], "n string"), "n").orderBy("id").collect()] == ["N/A", "BARN", "N/A"]
