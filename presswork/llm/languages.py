@@ -25,6 +25,8 @@ LANGUAGES = ["en", "fr", "es", "pt", "de"]
 #: The most rows the model is fitted on: labelled sentences (language_samples has 150), then titles and articles of the
 #: corpus with their own labels.
 FIT_ROWS, FIT_TITLES, FIT_ARTICLES = 100_000, 20_000, 1_000
+#: Characters of the longest text that is drawn for the fit, so that the drawn rows are bounded in size too.
+FIT_CHARS = 100_000
 #: Least confidence of the first model in a label for its text to be in the second.
 AGREED = 0.9
 #: Temperatures tried for the confidence, and the words of the pieces of sentences it is judged on.
@@ -191,7 +193,8 @@ def fit(samples: DataFrame, titles: DataFrame | None = None, articles: DataFrame
     lines = []
     for frame, bound in ((titles, FIT_TITLES), (articles, FIT_ARTICLES)):
         if frame is not None:
-            labelled_rows = frame.select("text", label_language(F.col("label")).alias("label")).where(F.col("label").isin(LANGUAGES))
+            short = frame.where(F.length("text") <= FIT_CHARS)
+            labelled_rows = short.select("text", label_language(F.col("label")).alias("label")).where(F.col("label").isin(LANGUAGES))
             lines += [(line, r[1]) for r in _bounded_sample(labelled_rows, bound).collect() for line in (r[0] or "").split("\n")]
     return fitted(base, lines)
 
