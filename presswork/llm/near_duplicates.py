@@ -39,6 +39,10 @@ FUNCTIONS, BAND_HASHES, USES = 1024, 6, 3
 #: Bits of the fingerprint of long sets, and the standard deviations by which a pair at the threshold may miss its expected
 #: distance: one such pair in 300,000 exceeds it.
 SIGNATURE_BITS, DEVIATIONS = 512, 4.5
+#: Bands by which groups of many near copies are noticed, records of a key that make such a group, records of a block.
+PROBE_BANDS, GROUP_LEAST, BLOCK = 8, 300, 200
+#: Tokens that a pair of blocks compares at a time.
+COLUMNS = 4096
 #: Sets from this size on use single prefix tokens as keys instead of pairs of them.
 PAIR_KEYS_BELOW = 40
 FOLD_BITS = 128
@@ -258,8 +262,57 @@ def _coordinates_within(threshold: float) -> str:
     return " AND ".join(f"abs((shiftright(l.v1, {8 * k}) & 255) - (shiftright(r.v1, {8 * k}) & 255)) <= {_bound(threshold)}" for k in range(8))
 
 
-def candidates(classes: DataFrame, threshold: float, long_sets: bool) -> DataFrame:
-    """(a, b, na, nb), a < b: classes that share a key and survive the coordinates' test.
+def near_copy_groups(classes: DataFrame) -> DataFrame:
+    """(id, n, grp): classes of long sets in a group of many near copies, named by its first class.
+
+    Near copies meet in nearly every band, so a group of n would be compared n^2 / 2 times in each. A key of the first
+    PROBE_BANDS that GROUP_LEAST classes hold makes a group of them; a class with several belongs to the one that begins
+    first. Pairs inside a group are compared once, in blocks (group_links); all other pairs still meet by their keys.
+    """
+    rows = classes.select("id", "n", F.posexplode(F.slice("keys", 1, PROBE_BANDS)).alias("band", "key"))
+    hot = rows.groupBy("band", "key").agg(F.min("id").alias("grp"), F.count(F.lit(1)).alias("m")).where(F.col("m") >= GROUP_LEAST).drop("m")
+    return rows.join(hot, ["band", "key"]).groupBy("id", "n").agg(F.min("grp").alias("grp"))
+
+
+def group_links(groups: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """(a, b, similarity) of all similar pairs within each group, compared on their token sets.
+
+    A group is cut into blocks of about BLOCK classes; each pair of blocks is a task's work of the same size, however large
+    the group, and carries its sets once instead of once per pair. A class is sent to as many block pairs as its group has
+    blocks.
+    """
+    blocks = groups.groupBy("grp").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    own = groups.join(blocks, "grp").withColumn("at", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).join(sets, "id")
+    left = own.select("grp", F.col("at").alias("i"), F.explode(F.sequence("at", F.col("blocks") - 1)).alias("j"), "id", "tokens", F.lit(True).alias("is_left"))
+    right = own.select("grp", F.explode(F.sequence(F.lit(0), F.col("at"))).alias("i"), F.col("at").alias("j"), "id", "tokens", F.lit(False).alias("is_left"))
+
+    def compare(t: pa.Table) -> pa.Table:
+        t = t.combine_chunks()
+        ids, is_left, tokens = t.column("id").to_numpy(), t.column("is_left").to_numpy(), t.column("tokens").chunk(0)
+        sizes = np.diff(tokens.offsets.to_numpy())
+        _, token, often = np.unique(tokens.flatten().to_numpy(), return_inverse=True, return_counts=True)
+        owner, shared = np.repeat(np.arange(len(ids)), sizes), often[token] >= 2
+        owner, token = owner[shared], np.unique(token[shared], return_inverse=True)[1]
+        l, r = np.nonzero(is_left)[0], np.nonzero(~is_left)[0]
+        common = np.zeros((len(l), len(r)), dtype=np.float32)
+        for lo in range(0, int(token.max(initial=-1)) + 1, COLUMNS):  # a slice of the tokens at a time
+            part = (token >= lo) & (token < lo + COLUMNS)
+            has = np.zeros((len(ids), COLUMNS), dtype=np.float32)
+            has[owner[part], token[part] - lo] = 1
+            common += has[l] @ has[r].T
+        similarity = common.astype(np.float64) / (sizes[l][:, None] + sizes[r][None, :] - common)
+        hit = similarity >= threshold - 1e-9
+        if t.column("i")[0] == t.column("j")[0]:
+            hit &= ids[l][:, None] < ids[r][None, :]  # a block with itself
+        x, y = np.nonzero(hit)
+        a, b = ids[l][x], ids[r][y]
+        return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b), "similarity": similarity[x, y]})
+
+    return left.unionByName(right).groupBy("grp", "i", "j").applyInArrow(compare, "a long, b long, similarity double")
+
+
+def candidates(classes: DataFrame, threshold: float, long_sets: bool, groups: DataFrame | None = None) -> DataFrame:
+    """(a, b, na, nb), a < b: classes that share a key and survive the coordinates' test, without pairs inside a group.
 
     Sizes are the coordinate of the empty reference set. Short sets carry eight distances to fixed reference fingerprints
     and the fingerprint through the join: coordinates discard most pairs there, the true distance nearly all others. For
@@ -268,9 +321,10 @@ def candidates(classes: DataFrame, threshold: float, long_sets: bool) -> DataFra
     adaptive execution on both sides.
     """
     if long_sets:
-        rows = classes.select("id", "n", F.posexplode("keys").alias("band", "key"))
-        rows = rows.select("id", "n", F.expr("shiftleft(cast(band AS bigint), 32) | (key & 4294967295L)").alias("key"))
-        tests = []
+        grouped = classes.withColumn("grp", F.lit(None).cast("long")) if groups is None else classes.join(groups.select("id", "grp"), "id", "left")
+        rows = grouped.select("id", "n", "grp", F.posexplode("keys").alias("band", "key"))
+        rows = rows.select("id", "n", *([] if groups is None else ["grp"]), F.expr("shiftleft(cast(band AS bigint), 32) | (key & 4294967295L)").alias("key"))
+        tests = [] if groups is None else ["coalesce(l.grp <> r.grp, true)"]
     else:
         rows = classes.select("id", "n", F.col("fold")[0].alias("f0"), F.col("fold")[1].alias("f1"), "keys")
         rows = rows.withColumn("v1", F.expr(packed_exprs("f0", "f1")[0]))
@@ -288,8 +342,8 @@ def candidates(classes: DataFrame, threshold: float, long_sets: bool) -> DataFra
     return both.where(F.expr(f"{distance} <= {int(limit)}")).select("a", "b", "na", "nb")
 
 
-def verified(pairs: DataFrame, records: DataFrame, id_col: str, text: str, threshold: float, run: int, least_words: int) -> DataFrame:
-    """(a, b, similarity) of the candidate pairs whose token sets are similar; only their records are tokenised again."""
+def token_sets(needed: DataFrame, records: DataFrame, id_col: str, text: str, run: int, least_words: int) -> DataFrame:
+    """(id, tokens) of the needed ids; only their records are tokenised."""
 
     def tokenise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = Tokens(run, least_words)
@@ -299,9 +353,14 @@ def verified(pairs: DataFrame, records: DataFrame, id_col: str, text: str, thres
                 at, t, bounds = tokens.sets(texts[lo : lo + SLICE])
                 yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at + lo)), _lists(t.view(np.int64), np.diff(bounds))], names=["id", "tokens"])
 
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     raw = records.select(F.col(id_col).cast("long").alias("id"), text).join(needed, "id", "left_semi")
-    sets = raw.mapInArrow(tokenise, "id long, tokens array<long>")
+    return raw.mapInArrow(tokenise, "id long, tokens array<long>")
+
+
+def verified(pairs: DataFrame, records: DataFrame, id_col: str, text: str, threshold: float, run: int, least_words: int) -> DataFrame:
+    """(a, b, similarity) of the candidate pairs whose token sets are similar."""
+    needed = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    sets = token_sets(needed, records, id_col, text, run, least_words)
     both = pairs.join(sets.selectExpr("id AS a", "tokens AS ta"), "a").join(sets.selectExpr("id AS b", "tokens AS tb"), "b")
     both = both.select("a", "b", "na", "nb", F.size(F.array_intersect("ta", "tb")).alias("common"))
     similarity = F.col("common") / (F.col("na") + F.col("nb") - F.col("common"))
@@ -326,8 +385,15 @@ class NearDuplicates:
         # copies are the exception; written, their size is known, and below Spark's threshold no fingerprint is shuffled
         copies = written(self.members.where("id <> cls").select("id"), "copies")
         reps = feats.join(copies, "id", "left_anti")
-        found = written(candidates(reps, threshold, long_sets), "candidates")
+        groups = None
+        if long_sets:
+            groups = written(near_copy_groups(reps), "groups")
+            groups = None if groups.isEmpty() else groups
+        found = written(candidates(reps, threshold, long_sets, groups), "candidates")
         self.links = written(verified(found, records, id_col, text, threshold, run, least_words), "links")
+        if groups is not None:
+            sets = token_sets(groups.select("id"), records, id_col, text, run, least_words)
+            self.links = self.links.unionByName(written(group_links(groups, sets, threshold), "group-links"))
 
     def pairs(self) -> DataFrame:
         """(id_a, id_b), id_a < id_b: all pairs of records, those of equal sets included.

@@ -117,6 +117,22 @@ def test_large_group_of_near_copies_loses_no_pair(spark):
     assert got == set(itertools.combinations(range(200), 2)) == brute(rows, 0.5, 3, 60)
 
 
+def test_groups_of_near_copies_are_compared_in_blocks(spark, monkeypatch):
+    # groups below and above the least size, of several blocks, and articles that link two groups
+    monkeypatch.setattr(near_duplicates, "GROUP_LEAST", 20)
+    monkeypatch.setattr(near_duplicates, "BLOCK", 16)
+    monkeypatch.setattr(near_duplicates, "COLUMNS", 64)
+    rng, rows = random.Random(8), []
+    for g, (n, own) in enumerate([(60, 6), (45, 30), (8, 10)]):
+        common = [f"g{g}c{k}" for k in range(100)]
+        rows += [(g * 1000 + i, " ".join(common + [f"g{g}i{i}x{k}" for k in range(own + rng.randrange(3))])) for i in range(n)]
+    rows += [(9000 + i, " ".join([f"g0c{k}" for k in range(75)] + [f"g1c{k}" for k in range(75 - i)])) for i in range(3)]
+    df = spark.createDataFrame(rows, "article_id long, full_text string")
+    nd = near_duplicates.NearDuplicates(df, "article_id", "full_text", 0.5, 3, 60, True)
+    got = [tuple(r) for r in nd.pairs().collect()]
+    assert len(got) == len(set(got)) and set(got) == brute(rows, 0.5, 3, 60) and len(got) > 60 * 59 // 2
+
+
 @pytest.mark.parametrize("copies", [5, 200, 20_000])
 def test_versions_of_an_often_copied_story_stay_linked(spark, copies):
     # similarity of the story and its versions, and of the versions, lies between 0.5 and 0.56
