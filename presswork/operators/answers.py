@@ -103,6 +103,7 @@ def rationale_reason(rationale: Column, relevant: Column, spans: Column, aliases
     named = F.lit(False)
     for a in aliases:
         named = named | F.lower(t).contains(a.lower())
+    # fixed values: the reason codes
     return (
         F.when(n < least, F.concat(F.lit("rationale_too_short:"), n.cast("string"), F.lit(f"<{least}")))
         .when(n > most, F.concat(F.lit("rationale_too_long:"), n.cast("string"), F.lit(f">{most}")))

@@ -80,6 +80,7 @@ def scan_summary(manifest: DataFrame, threshold: int = THRESHOLD, levels: list[i
     as_int = lambda c: F.expr(f"try_cast({c} AS bigint)")
     n = F.coalesce(as_int("entry_count"), as_int("split_trigger_entries"), F.when(F.col("status") == "empty", 0))
     role = F.coalesce(F.nullif(F.trim("window_role"), F.lit("")), F.lit("species_scan"))
+    # fixed values: names of buckets and of what to do next
     bucket = F.when(n.isNull(), "unknown").when(n >= threshold, "at_or_above_threshold").otherwise("below_threshold")
     action = (
         F.when(F.col("status").isin("success", "empty"), "scrape_now")

@@ -95,6 +95,7 @@ def _impacts(spark, d):
     r = read_table(spark, d, "rss_items")
     na = lambda c: F.coalesce(F.nullif(F.trim(c), F.lit("")), F.lit("N/A"))
     observed, cause = na("rss_title"), na("rss_description_text")
+    # fixed values: the characters that do not count when two texts are compared
     canon = lambda c: F.regexp_replace(F.lower(c), r"[\s\"“”‘’'`~.,;:!?()\[\]{}<>-]+", " ")
     same = (F.trim(canon(observed)) != "") & (F.trim(canon(observed)) == F.trim(canon(cause)))
     return r.select("item_id", observed.alias("observed"), F.when(same, "N/A").otherwise(cause).alias("cause"))
