@@ -6,6 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from presswork import session
 from presswork.llm import history, lookalikes, near_duplicates, pivots
 
 ITEM = "item_id long, google_news_redirect_url string, guid string, batch_no int, key string, n string"
@@ -32,6 +33,30 @@ def test_links_and_guids_in_other_spellings(spark):
     assert repeats(spark, [first + second]) == [6, 8, 10, 13]
 
 
+def test_different_identities_of_equal_fingerprint_are_not_repeats(spark):
+    # two guids of which both 64-bit hashes agree
+    a, b = "zzrFvHCUV=nQtoecHkmFeEfekFjfpdgupJIAcl0zPfew:GhnjGeaGavtrFjahA", "zzrFvHCUV=nA/DecHkmFeEfekFjfpdgupJIAcl02Vf.QyFhnjGeaGavtrFjahA"
+    one = spark.createDataFrame([("g:" + a, "g:" + b)], "x string, y string").select(*pivots.fingerprint(F.col("x")), *pivots.fingerprint(F.col("y"))).first()
+    assert one[:2] == one[2:]
+    first, second = [(1, None, a)], [(2, None, b), (3, None, a), (4, None, b)]
+    assert repeats(spark, [first, second]) == [3, 4]
+    assert repeats(spark, [first + second]) == [3, 4]
+    assert repeats(spark, [second, [(5, None, a), (6, None, b), (7, None, a + "x")]]) == [4, 5, 6]
+
+
+def test_a_batch_does_not_shuffle_the_history(spark):
+    h = history.PivotHistory(spark, buckets=4)
+    guids = lambda n, m: history.identities(spark.range(n, m).selectExpr("id AS item_id", "cast(null AS string) AS google_news_redirect_url", "concat('g', id % 2000) AS guid"))
+    h.admit(guids(0, 1000))
+    with session.setting(spark, *history.BY_CELL):
+        plan = h._fresh(guids(1000, 3000))._jdf.queryExecution().executedPlan().toString()
+    scans = [x for x in plan.splitlines() if h.name in x]
+    assert scans and all("Bucketed: true" in x for x in scans)
+    assert sorted(r.item_id for r in h.admit(guids(1000, 3000)).collect()) == list(range(2000, 3000))
+    assert spark.conf.get(history.BY_CELL[0]) == "true"
+    h.drop()
+
+
 def test_third_of_rows_share_an_identity(spark):
     rows = [(i, None, "hot" if i % 3 == 0 else f"g{i}") for i in range(1, 91)]
     assert repeats(spark, [rows[:50], rows[50:]]) == [i for i in range(6, 91, 3)]
